@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, sharding, tokens
+from . import decontam, fingerprints, mixing, neardup, quality, sharding, tokens
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +39,12 @@ def op7_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = No
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_tokens, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op7_tokens, op8_neardup, op10_sharding)}
