@@ -43,7 +43,7 @@ def postings(docs: DataFrame, terms: DataFrame, rows: int, reach: int = WINDOW -
 
     around holds the document's words from `reach` before pos (or its first) to `reach` after.
     """
-    at = keyed(docs).select("doc_id", "key", "words", F.posexplode("words").alias("pos", "_word"))
+    at = keyed(docs).select("doc_id", "key", "words", F.posexplode_outer("words").alias("pos", "_word"))
     at = at.withColumn("_word", ascii_lower(F.col("_word")))
     met = at.join(_sent(terms.select("term"), rows), F.col("_word") == F.col("term"))
     first = F.greatest(F.col("pos") - reach, F.lit(0))
@@ -104,7 +104,10 @@ def within(docs: DataFrame, terms: list[str], width: int) -> DataFrame:
     lists = at.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("pos", "no"))).alias("met"))
 
     def back(x: Column) -> Column:
-        last = [F.array_max(F.transform(F.filter("met", lambda y, k=k: (y["no"] == k) & (y["pos"] <= x["pos"])), lambda y: y["pos"])) for k in range(len(names))]
+        def latest(k: int) -> Column:
+            return F.array_max(F.transform(F.filter("met", lambda y: (y["no"] == k) & (y["pos"] <= x["pos"])), lambda y: y["pos"]))
+
+        last = [latest(k) for k in range(len(names))]
         least = F.array_min(F.array(*last))
         full = last[0].isNotNull()
         for c in last[1:]:

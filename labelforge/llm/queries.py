@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, fingerprints, mixing, neardup, quality, sharding, tokens
+from . import decontam, fingerprints, mixing, neardup, pii, quality, sharding, tokens
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +51,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op7_tokens, op8_neardup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op7_tokens, op8_neardup, op10_sharding)}
