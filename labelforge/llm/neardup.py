@@ -139,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(_star(_star(now, False), True), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, for links of 100 * intersection >= percent * union.
 
     Null and wordless texts have an empty set and stand alone. Rows that repeat an id share its
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return named.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, with its columns; of rows that repeat a kept id one stays.
 
     Null ids are all kept.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, fingerprints, mixing, neardup, pii, quality, sharding, tokens
+from . import decontam, fingerprints, html, lm, mixing, neardup, pii, quality, sharding, tokens
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     if tokenizer_path is None:
         import public_tokenizers
@@ -44,11 +48,15 @@ def op7_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = No
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op7_tokens, op8_neardup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op6_html, op7_tokens, op8_neardup, op9_lm, op10_sharding)}
