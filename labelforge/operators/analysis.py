@@ -18,23 +18,19 @@ def term_pattern(term: Column) -> Column:
 def contains_term(item: Column, term: Column) -> Column:
     """Whether an item holds a term; blank items and terms hold and are nothing."""
     i, t = text.low(item), text.low(term)
-    return (i != "") & (t != "") & F.when(t.contains(" "), i.contains(t)).otherwise(i.rlike(term_pattern(term)))
+    return (i != "") & (t != "") & F.when(t.contains(" "), i.contains(t)).otherwise(F.rlike(i, term_pattern(term)))
 
 
 def matched_terms(items: Column, category: str) -> Column:
-    """The category's terms, in order, that any item holds: one literal pattern per term."""
-    low = F.filter(F.transform(items, text.low), lambda i: i != "")
+    """The category's terms, in order, that any item holds.
 
-    def hit(term: str) -> Column:
-        if " " in term:
-            return F.exists(low, lambda i: i.contains(term))
-        pattern = f"(?<![a-z0-9]){text.quoted(term)}(?![a-z0-9])"
-        return F.exists(low, lambda i: i.rlike(pattern))
-
-    each = [F.when(hit(t), F.lit(t)) for t in fixed.TERMS[category]]
-    # One pattern for all terms decides first whether any of them needs a look.
-    any_term = "(?<![a-z0-9])" + text.phrases(t for t in fixed.TERMS[category] if " " not in t) + "(?![a-z0-9])|" + text.phrases(t for t in fixed.TERMS[category] if " " in t)
-    return F.when(F.exists(low, lambda i: i.rlike(any_term)), F.array_compact(F.array(*each))).otherwise(F.array().cast("array<string>"))
+    A word of letters and digits stands between other characters exactly if it is one of the tokens between
+    them, so words are looked up among the tokens and only terms of several words are searched.
+    """
+    low = F.transform(items, F.lower)
+    tokens = F.array_distinct(F.flatten(F.transform(low, lambda i: F.split(i, "[^a-z0-9]+"))))
+    terms = F.array(*[F.lit(t) for t in fixed.TERMS[category]])
+    return F.filter(terms, lambda t: F.when(t.contains(" "), F.exists(low, lambda i: i.contains(t))).otherwise(F.array_contains(tokens, t)))
 
 
 def rule_warnings(items: Column, profile: dict[str, Column] | None = None) -> Column:
@@ -84,9 +80,8 @@ def checked_replies(replies: DataFrame) -> DataFrame:
 
     Warnings that are no list become none; any warning makes the reply unsafe.
     """
-    v = F.try_parse_json("raw")
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.warnings", "variant"))
-    whole = F.get_json_object("raw", "$.is_safe").isNotNull() & F.get_json_object("raw", "$.warnings").isNotNull() & F.get_json_object("raw", "$.analysis_result").isNotNull()
-    listed = F.when(kind.startswith("ARRAY"), F.from_json(F.get_json_object("raw", "$.warnings"), "array<string>")).otherwise(F.array().cast("array<string>"))
-    safe = F.get_json_object("raw", "$.is_safe").isin("true", "1") & (F.size(listed) == 0)
-    return replies.withColumns({"valid": whole, "is_safe": F.when(whole, safe), "warnings": F.when(whole, listed), "analysis_result": F.when(whole, F.get_json_object("raw", "$.analysis_result"))})
+    field = {k: F.get_json_object("raw", f"$.{k}") for k in ("is_safe", "warnings", "analysis_result")}
+    whole = field["is_safe"].isNotNull() & field["warnings"].isNotNull() & field["analysis_result"].isNotNull()
+    listed = F.when(field["warnings"].startswith("["), F.from_json(field["warnings"], "array<string>")).otherwise(F.array().cast("array<string>"))
+    safe = field["is_safe"].isin("true", "1") & (F.size(listed) == 0)
+    return replies.withColumns({"valid": whole, "is_safe": F.when(whole, safe), "warnings": F.when(whole, listed), "analysis_result": F.when(whole, field["analysis_result"])})
