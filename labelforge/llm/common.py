@@ -48,6 +48,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix with which no column of df begins, compared without case."""
+    prefix = "_lf"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Adds the long column `name`: each row's place, from 0, in its group by order (nulls first).
 
@@ -55,22 +63,23 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str)
     are, numbered per partition and written; the offsets come from one small row per partition and group.
     Equal rows get neighbouring places in any order.
     """
-    at, part = free_name(df, "_at"), free_name(df, "_part")
+    x = free_prefix(df)
+    at, part, there, off = x + "at", x + "part", x + "there", x + "off"
     cols = [F.col(c) for c in (*group, *order)]
     laid = saved(
         df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(at, F.monotonically_increasing_id()),
         "ranked",
     ).withColumn(part, F.shiftright(at, 33))
-    names = [f"_g{i}" for i in range(len(group))]
-    spans = laid.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(part).alias("_p")).agg(
-        F.min(at).alias("_lo"), F.count(F.lit(1)).alias("_n")
+    names = [f"{x}g{i}" for i in range(len(group))]
+    spans = laid.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(part).alias(there)).agg(
+        F.min(at).alias("lo"), F.count(F.lit(1)).alias("n")
     )
-    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).drop("_lo", "_n")
-    same = laid[part] == spans["_p"]
+    before = Window.partitionBy(*names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(off, F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).drop("lo", "n")
+    same = laid[part] == spans[there]
     for c, n in zip(group, names):
         same = same & laid[c].eqNullSafe(spans[n])
-    return laid.join(spans, same).withColumn(name, F.col(at) + F.col("_off")).drop(at, part, "_p", "_off", *names)
+    return laid.join(spans, same).withColumn(name, F.col(at) + F.col(off)).drop(at, part, there, off, *names)
 
 
 def word_count(text: Column) -> Column:

@@ -64,24 +64,23 @@ def mix(
     """
     wanted = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     wanted = wanted.withColumn("mix_size", common.word_count(F.col(text)) if size is None else size)
-    place = common.free_name(wanted, "_place")
+    x = common.free_prefix(wanted)
+    place, whose, step, start = x + "place", x + "source", x + "step", x + "start"
     laid = common.ranked(wanted, [source], ["mix_size", doc_id], place)
     sums = laid.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    targets = source_targets(sums, weights, share, most).withColumn(
-        "_step",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(1 << UNIT_BITS)))).otherwise(F.lit(0)).cast("long"),
-    ).withColumn("_start", start_of(F.col("source"), seed))
-    targets = targets.select(
-        F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "_step", "_start"
-    )
-    below = F.shiftright(F.col(place) * F.col("_step") + F.col("_start"), UNIT_BITS)
-    above = F.shiftright((F.col(place) + 1) * F.col("_step") + F.col("_start"), UNIT_BITS)
-    out = laid.join(targets, laid[source].eqNullSafe(targets["_source"]))
-    return out.withColumn("mix_copies", above - below).drop(place, "_source", "_step", "_start")
+    rate = F.floor(F.col("target") / F.col("source_size") * F.lit(float(1 << UNIT_BITS)))
+    targets = source_targets(sums, weights, share, most).select(
+        F.col("source").alias(whose), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
+        F.when(F.col("source_size") > 0, rate).otherwise(F.lit(0)).cast("long").alias(step), start_of(F.col("source"), seed).alias(start),
+    )
+    below = F.shiftright(F.col(place) * F.col(step) + F.col(start), UNIT_BITS)
+    above = F.shiftright((F.col(place) + 1) * F.col(step) + F.col(start), UNIT_BITS)
+    out = laid.join(targets, laid[source].eqNullSafe(targets[whose]))
+    return out.withColumn("mix_copies", above - below).drop(place, whose, step, start)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns it came with."""
-    kept = mixed.filter("mix_copies > 0")
-    turns = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("_turn")
-    return kept.select("*", turns).drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "_turn")
+    kept, turn = mixed.filter("mix_copies > 0"), common.free_name(mixed, "_turn")
+    turns = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias(turn)
+    return kept.select("*", turns).drop("mix_size", "mix_source_size", "mix_target", "mix_copies", turn)

@@ -144,11 +144,12 @@ def shard(rows: DataFrame, key: str, size: str, shards: int | None = None, capac
     items = [(r[0], r[1]) for r in own.unionAll(lots).collect()]
     placed = pack_into(items, shards) if shards else pack(items, capacity)
     made = spark.createDataFrame(sorted(placed.items()), "_item string, _shard int")
-    single = made.filter(F.col("_item").startswith("g")).select(F.col("_item").alias("_gi"), F.col("_shard").alias("_gs"))
-    mixed = made.filter(F.col("_item").startswith("l")).select(F.col("_item").alias("_li"), F.col("_shard").alias("_ls"))
-    out = rows.drop("shard").join(F.broadcast(single), F.concat(F.lit("g"), name) == F.col("_gi"), "left")
-    out = out.join(F.broadcast(mixed), F.concat(F.lit("l"), lot) == F.col("_li"), "left")
-    return out.withColumn("shard", F.coalesce("_gs", "_ls")).drop("_gi", "_gs", "_li", "_ls")
+    x = common.free_prefix(rows)
+    single = made.filter(F.col("_item").startswith("g")).select(F.col("_item").alias(x + "g"), F.col("_shard").alias(x + "gs"))
+    mixed = made.filter(F.col("_item").startswith("l")).select(F.col("_item").alias(x + "l"), F.col("_shard").alias(x + "ls"))
+    out = rows.drop("shard").join(F.broadcast(single), F.concat(F.lit("g"), name) == F.col(x + "g"), "left")
+    out = out.join(F.broadcast(mixed), F.concat(F.lit("l"), lot) == F.col(x + "l"), "left")
+    return out.withColumn("shard", F.coalesce(x + "gs", x + "ls")).drop(x + "g", x + "gs", x + "l", x + "ls")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
