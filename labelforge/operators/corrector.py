@@ -11,6 +11,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from .metrics import indel_ratio
@@ -40,17 +41,17 @@ def variants(word: str) -> list[str]:
     return sorted({"".join(c for k, c in enumerate(p) if k not in gone) for n in range(DISTANCE + 1) for gone in combinations(range(len(p)), min(n, len(p)))})
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _variants(words: pd.Series) -> pd.Series:
     return words.map(variants)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, DISTANCE) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
 

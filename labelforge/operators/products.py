@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.fixed import FUNCTIONAL_HEADS
@@ -122,7 +123,7 @@ def repaired_json(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair(raw: pd.Series) -> pd.Series:
     return pd.Series([repaired_json(r if isinstance(r, str) else None) for r in raw], dtype=object)
 

@@ -11,7 +11,7 @@ from ..sources import views
 from . import sqltext as s
 from .catalog import add
 
-P, T = F.col("predicted"), F.col("truth")
+P, T = "predicted", "truth"
 _LOW = "list_distinct(list_transform({}, lambda x: " + s.low("x") + "))"
 _SP, _ST = _LOW.format("predicted"), _LOW.format("truth")
 _BOTH = f"len(list_intersect({_SP}, {_ST}))"

@@ -11,23 +11,22 @@ from ..sources import readers, views
 from . import sqltext as s
 from .catalog import add
 
-_K = F.col("p_partkey")
 
 
 def _responses(sp, d):
     """Product replies of the parts, as JSON text."""
-    e = F.when(_K % 3 == 0, F.lit("")).otherwise(F.initcap("p_name"))
+    e = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.initcap("p_name"))
     product = F.struct(
-        _K.cast("string").alias("code"), F.col("p_name").alias("product_name"), e.alias("product_name_en"), F.col("p_brand").alias("brands"),
+        F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("product_name"), e.alias("product_name_en"), F.col("p_brand").alias("brands"),
         F.concat(F.lit("Ingredients: "), F.col("p_name"), F.lit(" 30%, salt (sea, rock), x,  milk. ")).alias("ingredients_text"), F.lit("en:milk,en:tree-nuts").alias("allergens"),
-        F.array(F.lit("en:milk"), F.lit("en:tree-nuts"), F.lit("en:soy-beans")).alias("allergens_tags"), F.when(_K % 2 == 0, "en:egg").alias("traces"),
+        F.array(F.lit("en:milk"), F.lit("en:tree-nuts"), F.lit("en:soy-beans")).alias("allergens_tags"), F.when(F.col("p_partkey") % 2 == 0, "en:egg").alias("traces"),
     )
-    return table(sp, d, "part").select(_K.cast("string").alias("code"), F.to_json(F.struct(F.when(_K % 4 == 0, 0).otherwise(1).alias("status"), product.alias("product"))).alias("raw"))
+    return table(sp, d, "part").select(F.col("p_partkey").cast("string").alias("code"), F.to_json(F.struct(F.when(F.col("p_partkey") % 4 == 0, 0).otherwise(1).alias("status"), product.alias("product"))).alias("raw"))
 
 
 def _lookup(sp, d):
     replies = _responses(sp, d).withColumn("r", F.from_json("raw", f"status int, product struct<{products.PRODUCT}>")).select("code", "r.status", "r.product")
-    scans = table(sp, d, "part").select(_K.alias("scan_id"), F.when(_K % 7 == 0, " ").when(_K % 11 == 0, "a1").otherwise(F.concat(F.lit(" "), _K.cast("string"))).alias("code"))
+    scans = table(sp, d, "part").select(F.col("p_partkey").alias("scan_id"), F.when(F.col("p_partkey") % 7 == 0, " ").when(F.col("p_partkey") % 11 == 0, "a1").otherwise(F.concat(F.lit(" "), F.col("p_partkey").cast("string"))).alias("code"))
     return products.lookup(scans, replies)
 
 
@@ -55,7 +54,7 @@ add("s2_truth_lists", lambda sp, d: readers.truth_lists(views.pairs(sp, d).selec
 add("s3_detection_map", lambda sp, d: readers.detection_map(table(sp, d, "labels").select(F.concat(F.lit('{"_meta": [], "img'), F.col("doc_id").cast("string"), F.lit('": [{"bbox": [[0, 0], [4, 0], [4, 2], [0, 2]], "text": "t", "confidence": 0.5}]}')).alias("raw"))).select("image_id", F.size("detections").alias("n")), "SELECT 'img' || doc_id AS image_id, 1 AS n FROM labels")
 add("s8_uploads", lambda sp, d: readers.accepted_uploads(table(sp, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "text/plain").otherwise("image/png").alias("mime"), (F.col("n_chars") * 4000).alias("length"))).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND n_chars * 4000 <= 10485760")
 add("s13_vocabulary", lambda sp, d: readers.vocabulary(sp), "SELECT term, weight FROM (VALUES " + ", ".join(f"({s.q(t)}, {w})" for t, w in readers.VOCABULARY) + ") t(term, weight)")
-add("f28_normalized_scan", lambda sp, d: table(sp, d, "part").select("p_partkey", F.when(_K % 3 == 0, F.lit(None)).when(_K % 3 == 1, F.concat("p_name", F.lit(", a\n b ,"))).otherwise(F.to_json(F.array("p_name", F.lit("  "), F.lit("z")))).alias("raw")).select("p_partkey", F.array_join(readers.as_list(F.col("raw")), "|").alias("items")), "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name || '|a|b' ELSE p_name || '|z' END AS items FROM part")
+add("f28_normalized_scan", lambda sp, d: table(sp, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(", a\n b ,"))).otherwise(F.to_json(F.array("p_name", F.lit("  "), F.lit("z")))).alias("raw")).select("p_partkey", F.array_join(readers.as_list(F.col("raw")), "|").alias("items")), "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name || '|a|b' ELSE p_name || '|z' END AS items FROM part")
 add("f15_corrections", lambda sp, d: corrector.corrections(views.ingredients(sp, d).select(F.col("term").alias("raw")), readers.vocabulary(sp), readers.aliases(sp)))
 add("f16_corrected_lists", lambda sp, d: corrector.corrected_lists(views.lists(sp, d), readers.vocabulary(sp), readers.aliases(sp)).select("doc_id", F.array_join("items", "|").alias("items")))
 add("j12_closest_terms", lambda sp, d: corrector.closest(views.ingredients(sp, d).select(text.clean_ocr(F.col("term")).alias("word")).distinct(), readers.vocabulary(sp)))
