@@ -15,8 +15,11 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE - coales
 t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS place FROM d),
 x AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size * 16777216)::BIGINT ELSE 0 END AS step,
-  ('0x' || substr(md5('mix:' || coalesce(r.source, '')), 1, 6))::BIGINT AS start FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source, source_size, target, ((((place + 1) * step + start) // 16777216) - ((place * step + start) // 16777216)) * size AS taken FROM x
+  ('0x' || substr(md5('mix:' || coalesce(r.source, '')), 1, 6))::BIGINT AS start FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT source, k, abs(sum(((((place + 1) * step + (start + k * 1048576) % 16777216) // 16777216) - ((place * step + (start + k * 1048576) % 16777216) // 16777216)) * size) - any_value(target)) AS miss FROM x, (SELECT unnest(range(16)) AS k) GROUP BY source, k),
+b AS (SELECT source, k FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
+SELECT doc_id, size, x.source, source_size, target, ((((place + 1) * step + (start + k * 1048576) % 16777216) // 16777216) - ((place * step + (start + k * 1048576) % 16777216) // 16777216)) * size AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
 DECONTAMINATION = f"""
