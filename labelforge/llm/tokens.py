@@ -12,7 +12,9 @@ Level 0 has a chunk of each id (its low 8 bits); entry i of level k goes on at e
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,12 @@ CHUNK = 8
 BLOCK = 512
 #: A file is closed at so many tokens; texts are tokenised in pieces of about so many characters.
 FILE_TOKENS = 1 << 20
-PIECE_CHARS = 1 << 20
-CACHED_WORDS = 1 << 19
+PIECE_CHARS = 1 << 21
+#: Distinct stretches that an encoder keeps, at most, and how many words it encodes in one string.
+CACHED_WORDS = 1_000_000
+LEARN_WORDS = 4096
+#: ASCII marks: a run of them at a stretch's end is a word of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 WRITTEN = "part int, seq long, n_docs long, n_tokens long, payload binary"
 READ = "part int, seq long, at long, doc_id long, n_tokens long, ids_crc32 long"
@@ -121,54 +127,123 @@ class TokenFile:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class _Known:
+    """Strings and their ids, kept in flat arrays; forgets all when it would hold more than limit."""
+
+    def __init__(self, encode, limit: int) -> None:
+        self._encode, self._limit = encode, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words = pa.array([], pa.string())
+        self.ids, self._used = np.zeros(1 << 16, np.uint32), 0
+        self.starts = self.lens = np.zeros(0, np.int32)
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in starts and lens; unknown ones are encoded first."""
+        at = pc.index_in(words, value_set=self._words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            if len(self._words) + len(new) > self._limit:
+                self._forget()
+                new = words
+            flat, lens = self._encode(new.to_pylist())
+            while self._used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids] * 2)
+            self.ids[self._used : self._used + len(flat)] = flat
+            self.starts = np.concatenate([self.starts, (self._used + np.cumsum(lens) - lens).astype(np.int32)])
+            self.lens = np.concatenate([self.lens, lens])
+            self._used += len(flat)
+            self._words = pa.concat_arrays([self._words, new])
+            at = pc.index_in(words, value_set=self._words)
+        return at.to_numpy()
+
+
+def spread(ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids one after the other, and where each ends."""
+    ends = np.cumsum(lens, dtype=np.int32)
+    at = np.repeat(starts - ends + lens, lens)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], ends
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, asked once for each distinct stretch between white space.
+    """Ids of texts by the tokenizers library, asked once for each distinct word that it has not kept.
 
-    Only for tokenizers whose pre-tokenizer drops ASCII white space and never joins across it, so that a
-    text's ids are those of its stretches one after the other.
+    Only for tokenizers whose pre-tokenizer drops ASCII white space, never joins across it, takes runs of
+    letters and runs of marks apart and ignores the case of A-Z, and whose words all end in a token with
+    the suffix </w>. Then a text's ids are those of its stretches between white space one after the other;
+    letters and the marks after them are looked up apart, and words of letters are encoded many at a time:
+    the suffix tells where each one ends. All other stretches are encoded as they are.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._starts, self._lens, self._used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._known) + len(words) > CACHED_WORDS:
-            self._forget()
-        n = len(self._known)
-        made = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lens = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(lens.sum()))
-        while n + len(words) > len(self._starts):
-            self._starts, self._lens = np.concatenate([self._starts] * 2), np.concatenate([self._lens] * 2)
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids] * 2)
-        self._ids[self._used : self._used + len(flat)] = flat
-        self._starts[n : n + len(words)] = self._used + np.cumsum(lens) - lens
-        self._lens[n : n + len(words)] = lens
-        self._used += len(flat)
-        self._known.update(zip(words, range(n, n + len(words))))
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._letters = _Known(self._together, CACHED_WORDS)
+        self._others = _Known(self._singly, CACHED_WORDS // 4)
+
+    @staticmethod
+    def shared(tokenizer_json: str) -> Encoder:
+        """The one encoder of this process, kept from task to task with what it has learnt."""
+        import sys
+        import types
+
+        state = sys.modules.setdefault("_labelforge_state", types.ModuleType("_labelforge_state"))
+        if getattr(state, "vocabulary", None) != tokenizer_json:
+            state.vocabulary, state.encoder = tokenizer_json, Encoder(tokenizer_json)
+        return state.encoder
+
+    def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [self._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        lens = np.fromiter(map(len, made), np.int32, len(made))
+        return np.fromiter((i for ids in made for i in ids), np.uint32, int(lens.sum())), lens
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lens = [], []
+        for k in range(0, len(words), LEARN_WORDS):
+            some = words[k : k + LEARN_WORDS]
+            ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self._ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            flat.append(ids)
+            lens.append(np.diff(stops, prepend=0).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(lens)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct stretches: flat, first places, lengths."""
+        cores = pc.ascii_lower(pc.utf8_rtrim(words, characters=MARKS))
+        plain = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()
+        for k in np.flatnonzero(~plain & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)):
+            core = cores[int(k)].as_py()
+            plain[k] = core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
+        starts, lens = np.zeros((len(words), 2), np.int32), np.zeros((len(words), 2), np.int32)
+        mask = pa.array(plain)
+        coded = pc.dictionary_encode(cores.filter(mask))
+        at = self._letters.rows(coded.dictionary)[coded.indices.to_numpy()]
+        starts[plain, 0], lens[plain, 0] = self._letters.starts[at], self._letters.lens[at]
+        other = pc.if_else(mask, pc.replace_substring_regex(words, f"^[^{re.escape(MARKS)}]+", ""), words)
+        coded = pc.dictionary_encode(other)
+        at = self._others.rows(coded.dictionary)[coded.indices.to_numpy()]
+        starts[:, 1], lens[:, 1] = self._others.starts[at] + self._letters._used, self._others.lens[at]
+        ids = np.concatenate([self._letters.ids[: self._letters._used], self._others.ids[: self._others._used]])
+        flat, ends = spread(ids, starts.ravel(), lens.ravel())
+        size = lens.sum(1, dtype=np.int32)
+        return flat, ends[1::2] - size, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. Null: none."""
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = pc.dictionary_encode(parts.flatten())
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self._known]
-        if new:
-            self._learn(new if len(self._known) + len(new) <= CACHED_WORDS else words)
-        rows = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lens = self._lens[rows]
-        ends = np.cumsum(lens)
-        flat = self._ids[np.repeat(self._starts[rows] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
-        edge = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        ids, starts, lens = self._distinct(coded.dictionary)
+        rows = coded.indices.to_numpy(zero_copy_only=False)
+        flat, ends = spread(ids, starts[rows], lens[rows])
+        edge = np.concatenate([np.zeros(1, np.int32), ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return flat, np.diff(edge)
 
 
@@ -217,7 +292,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, doc_id:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder, ids, runs, held = Encoder(vocabulary.value), [], [], 0
+        encoder, ids, runs, held = Encoder.shared(vocabulary.value), [], [], 0
         end = np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
