@@ -3,12 +3,14 @@
 1. Each document's distinct shingles, signature and a 128-bit digest of its set (one pass, narrow rows).
 2. Equal sets are one class; the class's least doc_id stands for it in all that follows.
 3. Signatures are cut into bands. A bucket is what representatives share a band with.
-4. Rounds. In each bucket that still holds several components a few hubs are compared with the members
+4. What no text of a bucket shares with any other candidate cannot be common: texts and pairs that cannot reach the
+   limit with what is left are out, exactly.
+5. Rounds. In each bucket that still holds several components a few hubs (those with the least of their own) are compared with the members
    of other components; pairs are pruned by the posterior of their likeness after each batch of hashes,
    survivors are confirmed on full sets, and confirmed links merge components. A hub leaves its bucket
    once it has met all, and a bucket is done once it is of one component. So all pairs of a bucket whose
    answer could still change the result are tested, while a group of copies costs one pair per member.
-5. Links are contracted by alternating large and small stars, in tables, never on the driver.
+6. Links are contracted by alternating large and small stars, in tables, never on the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -115,6 +117,27 @@ def _confirmed(percent: int):
     return work
 
 
+def unshared(texts: DataFrame) -> DataFrame:
+    """rep, own: how many of a text's shingles no other of these texts (doc_id, text) has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            low = 0
+            while low < len(sizes):
+                high, held = low + 1, int(sizes[low])
+                while high < len(sizes) and held + sizes[high] <= PIECE_BYTES:
+                    held += int(sizes[high])
+                    high += 1
+                found = shingles.sets(batch.column(1).slice(low, high - low))
+                ids = np.repeat(batch.column(0).slice(low, high - low).to_numpy(), [len(s) for s in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found).view(np.int64))], ["rep", "shingle"])
+                low = high
+
+    met = texts.select("doc_id", "text").mapInArrow(work, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    return met.filter("n = 1").groupBy(F.col("rep").alias("_rep")).agg(F.count(F.lit(1)).alias("own"))
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if small:
@@ -163,42 +186,58 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         members = F.broadcast(members)
     texts = saved(texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
 
+    # A text has at most its shared shingles in common with any other: most false candidates end here.
+    lone = saved(unshared(texts), "unshared")
+    # Ids that stand for several texts get the widest bounds.
+    sized = signed.groupBy(F.col("rep").alias("_id")).agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("texts"))
+    buckets = buckets.join(sized, F.col("rep") == F.col("_id")).join(lone, F.col("rep") == F.col("_rep"), "left")
+    shared = F.when(F.col("texts") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("own", F.lit(0)))
+    buckets = saved(buckets.select("key", "rep", "n", shared.alias("s")).filter(100 * F.col("s") >= percent * F.col("n")).distinct(), "buckets")
+
+    def possible(common: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m elements with so many in common at most can be alike enough."""
+        return 100 * common >= percent * (n + m - common)
+
     found: DataFrame | None = None  # rep to component, for those not their own
     met: DataFrame | None = None  # pairs tested
     hubs = HUBS
     while known:
         placed = buckets.withColumn("comp", F.col("rep"))
         if found is not None:
-            placed = buckets.join(found, F.col("rep") == F.col("u"), "left").select("key", "rep", F.coalesce("v", "rep").alias("comp"))
-        open_keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("rep").alias("_hub")).filter("_a < _b")
-        placed = placed.join(open_keys.select("_key", "_hub"), F.col("key") == F.col("_key")).drop("_key")
+            placed = buckets.join(found, F.col("rep") == F.col("u"), "left").select("key", "rep", "n", "s", F.coalesce("v", "rep").alias("comp"))
+        hub = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "rep")).alias("_hub")
+        open_keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("n").alias("_least"), hub).filter("_a < _b")
+        placed = placed.join(open_keys.select("_key", "_hub", "_least"), F.col("key") == F.col("_key")).drop("_key")
+        # The smallest set of the bucket is the best partner that a member can hope for.
+        placed = placed.filter(possible(F.col("s"), F.col("n"), F.greatest("_least", "s")))
+        place = F.struct((F.col("n") - F.col("s")).alias("own"), "rep")
         if hubs == 1:
-            chosen = placed.filter("rep = _hub").select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("comp").alias("_bc"))
-            after = placed.filter("rep > _hub").drop("_hub")
+            chosen, after = placed.filter(place == F.col("_hub")), placed.filter(place > F.col("_hub"))
         else:
-            turn = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-            placed = saved(placed.drop("_hub").withColumn("_turn", turn), "turns")
-            chosen = placed.filter(F.col("_turn") <= hubs).select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("comp").alias("_bc"))
-            after = placed.filter(F.col("_turn") > hubs).drop("_turn")
-        pairs = placed.join(chosen, (F.col("key") == F.col("_key")) & (F.col("rep") > F.col("b")) & (F.col("comp") != F.col("_bc")))
+            turn = F.row_number().over(Window.partitionBy("key").orderBy(place))
+            placed = saved(placed.drop("_hub", "_least").withColumn("_turn", turn), "turns")
+            chosen, after = placed.filter(F.col("_turn") <= hubs), placed.filter(F.col("_turn") > hubs)
+        chosen = chosen.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("comp").alias("_bc"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+        later = place > F.struct((F.col("_n") - F.col("_s")).alias("own"), F.col("b").alias("rep"))
+        pairs = placed.join(chosen, (F.col("key") == F.col("_key")) & later & (F.col("comp") != F.col("_bc")) & possible(F.least("s", "_s"), F.col("n"), F.col("_n")))
         pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        left = saved(after.select("key", "rep"), "buckets")
-        if pairs.isEmpty() and left.isEmpty():
+        left = saved(after.select("key", "rep", "n", "s"), "buckets")
+        if left.isEmpty() and pairs.isEmpty():
             break
-        met = pairs if met is None else met.unionAll(pairs)
-        x, y = (signed.select(F.col("rep").alias(f"_{c}"), F.col("sig").alias(f"_s{c}"), F.col("n_shingles").alias(f"_n{c}")) for c in "ab")
-        sized = (100 * F.least("_na", "_nb")) >= (percent * F.greatest("_na", "_nb"))
-        likely = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).filter(sized)
-        likely = likely.filter(_plausible(percent)(F.col("_sa"), F.col("_sb"))).select("a", "b")
-        x, y = (texts.select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
-        told = likely.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
-        links = told.mapInArrow(_confirmed(percent), "a long, b long, ok boolean").filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if found is not None:
-            links = links.unionAll(found)
-        found = components(links)
+        if not pairs.isEmpty():
+            met = pairs if met is None else met.unionAll(pairs)
+            x, y = (signed.select(F.col("rep").alias(f"_{c}"), F.col("sig").alias(f"_s{c}")) for c in "ab")
+            likely = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
+            likely = likely.filter(_plausible(percent)(F.col("_sa"), F.col("_sb"))).select("a", "b")
+            x, y = (texts.select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
+            told = likely.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+            links = told.mapInArrow(_confirmed(percent), "a long, b long, ok boolean").filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if found is not None:
+                links = links.unionAll(found)
+            found = components(links)
         buckets, hubs = left, hubs * MORE_HUBS
 
     named = rows.join(classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("n_shingles").alias("_n"), "rep"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")), "left")
