@@ -205,31 +205,46 @@ def labelled(wrapper: list) -> list:
     return walk(wrapper, False, False)
 
 
+def united(nodes: list) -> dict:
+    """What may lie in these elements: use and, in turn, contents by label, of all their slots of that label.
+
+    A use follows from the labels down to a slot, so slots of one label and place are of one use.
+    """
+    slots: dict[str, list] = {}
+
+    def add(items: list) -> None:
+        for c in items:
+            if c[0] == "()":
+                add(c[2])
+            else:
+                slots.setdefault(c[0], []).append(c)
+
+    for node in nodes:
+        add(node[2])
+    return {name: (of[0][3], united(of)) for name, of in slots.items()}
+
+
 def read(page: list, wrapper: list) -> str:
     """The main text of a page's tree through its host's labelled wrapper, blocks joined by line ends.
 
-    Slots in a root of main text count; where these hold nothing, the other text slots do.
+    Slots in a root of main text count; where these hold nothing, the other text slots do. Each child finds
+    its slot among all of its label, as alignment only joins or adds nodes; one without a slot is an error.
     """
+    return _read(page, united([wrapper]))
+
+
+def _read(page: list, frame: dict) -> str:
     found: dict[int, list[str]] = {0: [], 1: [], 2: []}
 
-    def flat(items: list) -> list:
-        return [x for c in items for x in (flat(c[2]) if c[0] == "()" else [c])]
-
-    def walk(node: list, frame: list) -> None:
-        slots: dict[str, list] = {}
-        for c in flat(frame[2]):
-            slots.setdefault(c[0], []).append(c)
-        for child in node[1]:
-            # Slots of one label and parent have one use; of several elements the one that knows most is taken.
-            slot = max(slots.get(child[0], ()), key=lambda c: len(c[2]), default=None)
-            if slot is None:
-                continue
-            if child[0].startswith("#"):
-                found[slot[3]].append(child[1])
+    def walk(node: list, frame: dict) -> None:
+        for name, inner in node[1]:
+            use, within = frame[name]
+            if name.startswith("#"):
+                found[use].append(inner)
             else:
-                walk(child, slot)
+                walk([name, inner], within)
 
-    walk(page, wrapper)
+    walk(page, frame)
     return "\n".join(found[2] or found[1])
 
 
@@ -273,13 +288,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars. Null html is empty; null urls share one host; an empty table gives no rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
+        known: dict[str, dict] = {}
         for b in batches:
             texts = []
             for page, wrapper in zip(b["html"], b["wrapper"]):
                 if wrapper not in known:
-                    known[wrapper] = labelled(json.loads(wrapper))
-                texts.append(read(tree(page), known[wrapper]))
+                    known[wrapper] = united([labelled(json.loads(wrapper))])
+                texts.append(_read(tree(page), known[wrapper]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     made = wrappers(pages)

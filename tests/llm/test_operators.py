@@ -231,6 +231,17 @@ def test_wrapper_alignment():
     assert html.folded([["dt", "", []], ["dd", "", []]] * 3) == [["()", "+", [["dt", "", []], ["dd", "", []]]]]
 
 
+def test_html_keeps_what_only_another_slot_knows(spark):
+    pages = {
+        "<article><blockquote><p>A</p></blockquote><p>B</p><blockquote>C</blockquote></article>": "A\nB\nC",
+        "<article><h1>H</h1><p>text</p><ul><li>x</ul><p><a>link only</a></p></article>": "H\ntext\nx\nlink only",
+        "<main><div><p>1</p><p>2</p></div><h2>3</h2><div><ul><li>4</ul>5</div><h3>6</h3><div><h4>7</h4></div></main>": "1\n2\n3\n4\n5\n6\n7",
+    }
+    rows = [(k, f"https://h{k}.example/", p) for k, p in enumerate(pages)] + [(k + 10, "https://all.example/", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k + at: t for k, t in enumerate(pages.values()) for at in (0, 10)}
+
+
 # 7 -----------------------------------------------------------------------------------------------
 def test_token_files(spark, docs, empty, monkeypatch):
     import public_tokenizers
