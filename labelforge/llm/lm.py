@@ -27,8 +27,8 @@ SLOTS = CLASSES * MEMBERS
 #: Slots of their own for the most frequent words; the last slot stands beyond a document's ends.
 OWN = 640
 EDGE = SLOTS - 1
-#: Each round learns from every STRIDE-th token of every document, another one each time; all are scored.
-ROUNDS, STRIDE, STEP, BATCH = 2, 16, 0.3, 512
+#: The rounds share out the tokens of every document: together they learn from each token once.
+ROUNDS, STEP, BATCH = 2, 0.3, 512
 #: Parameter vectors that the driver averages at once, at most.
 FEW = 64
 PIECE_BYTES = 1 << 21
@@ -139,7 +139,10 @@ def learn(flat: np.ndarray, stream: np.ndarray, at: np.ndarray, step: float = ST
         p["bias"] -= rate * back.sum(0)
         moved = back[None] * p["pos"][:, None]
         p["pos"] -= rate * (seen * back[None]).sum(1)
-        np.subtract.at(p["emb"], near.ravel(), rate * 8 * moved.reshape(-1, WIDTH))
+        by_slot = np.argsort(near, axis=None, kind="stable")
+        met = near.ravel()[by_slot]
+        first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
+        p["emb"][met[first]] -= rate * 8 * np.add.reduceat(moved.reshape(-1, WIDTH)[by_slot], first)
 
 
 def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int]]:
@@ -154,6 +157,16 @@ def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the tokens of these documents stand in their stream."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def targets(starts: np.ndarray, sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The tokens to learn from in a round: every rounds-th, so each token is a target of one round."""
+    return places(starts, sizes)[turn % rounds :: rounds]
+
+
 def train(docs: DataFrame, words: list[str], share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after the rounds; the same input in the same partitions gives the same ones."""
     sc, flat = docs.sparkSession.sparkContext, first_parameters(share)
@@ -168,9 +181,7 @@ def train(docs: DataFrame, words: list[str], share: np.ndarray, rounds: int = RO
             for batch in batches:
                 for low, high in batches_of(batch, 0):
                     stream, (starts, sizes) = slots(batch.column(0).slice(low, high - low), own)
-                    inner = np.zeros(len(stream), bool)
-                    inner[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = True
-                    at = np.flatnonzero(inner)[turn * 7 % STRIDE :: STRIDE]
+                    at = targets(starts, sizes, turn, rounds)
                     learn(flat, stream, at)
                     n += len(at)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "flat"])
@@ -209,7 +220,7 @@ def scores(docs: DataFrame, flat: np.ndarray, words: list[str]) -> DataFrame:
         for batch in batches:
             for low, high in batches_of(batch, 1):
                 stream, (starts, sizes) = slots(batch.column(1).slice(low, high - low), own)
-                at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                at = places(starts, sizes)
                 logs = np.concatenate([forward(p, stream, at[k : k + 16384])[0] for k in range(0, len(at), 16384)] or [np.zeros(0)])
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=float)])[np.concatenate([[0], np.cumsum(sizes)])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes.astype(np.int64)), pa.array(sums)], ["doc_id", "n_tokens", "log_prob"])

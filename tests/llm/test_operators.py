@@ -364,6 +364,13 @@ def test_lm(spark, docs, empty):
     assert all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got) and lm.score_documents(empty).count() == 0
 
 
+def test_lm_learns_from_every_token():
+    for texts in (["one", "", "two words", None, " ".join(f"w{k}" for k in range(37)), "x"], ["a"] * 50):
+        stream, (starts, sizes) = lm.slots(pa.array(texts), pa.array(["one"]))
+        met = np.concatenate([lm.targets(starts, sizes, turn, lm.ROUNDS) for turn in range(lm.ROUNDS)])
+        assert sorted(met) == list(np.flatnonzero(stream != lm.EDGE)) and len(met) == sum(len(words(t)) for t in texts)
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(0)
     flat = rng.normal(0, 0.3, lm.first_parameters(np.full(lm.SLOTS, 1 / lm.SLOTS)).shape).astype(np.float32)
