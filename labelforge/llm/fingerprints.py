@@ -21,6 +21,8 @@ KEPT = 128
 #: Documents of a bucket of neighbours, about, and buckets at most.
 BUCKET_ROWS, BUCKETS = 256, 50_000
 _INNER = K - S
+#: From so many tokens on one k-mer at least is chosen: of any _INNER neighbours, the least s-mer ends or starts one.
+SURE = K + _INNER - 1
 
 
 def token_hashes(text: Column) -> Column:
@@ -51,11 +53,11 @@ def _hashes(smers: Column) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted least anchor hashes of a text; under K tokens, the tokens' own hashes. Empty: none."""
+    """Adds the sorted least anchor hashes of a text; under SURE tokens, the tokens' own hashes. No token: none."""
     tok, smer = f"_t_{name}", f"_s_{name}"
     out = df.withColumn(tok, token_hashes(F.col(text))).withColumn(smer, smer_hashes(F.col(tok)))
     short = F.transform(tok, lambda t: F.shiftrightunsigned(t, 32))
-    chosen = F.when(F.size(tok) < K, short).otherwise(F.array_compact(_hashes(F.col(smer))))
+    chosen = F.when(F.size(tok) < SURE, short).otherwise(F.array_compact(_hashes(F.col(smer))))
     return out.withColumn(name, F.slice(F.sort_array(F.array_distinct(chosen)), 1, KEPT)).drop(tok, smer)
 
 

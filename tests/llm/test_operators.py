@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labelforge.llm import common, decontam, fingerprints, html, lm, mixing, neardup, pii, quality, sharding, shingles, tokens
 
@@ -131,6 +132,15 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited(empty).count() == 0
 
 
+def test_no_text_with_a_token_has_an_empty_fingerprint(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:04d}" for x in rng.integers(0, 10_000, n)) for n in range(1, 13) for _ in range(60)]
+    df = fingerprints.with_sketch(spark.createDataFrame([(t, t[:-4] + "edit") for t in texts], "text string, changed string"), "text", "a")
+    got = fingerprints.with_sketch(df, "changed", "b").withColumn("near", fingerprints.likeness(F.col("a"), F.col("b"))).collect()
+    assert all(r.a and r.b for r in got)
+    assert all(0 < r.near < 1 for r in got if 1 < len(r.text.split()) < fingerprints.SURE)
+
+
 def test_next_document_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 8)
     ids = [k * k % 997 for k in range(300)]
