@@ -11,8 +11,6 @@ from . import common
 
 #: Fixed-point ones of an expected copy; ranks up to 2**37 stay exact in a long.
 UNIT_BITS = 24
-#: Offsets at even distances from a source's random one; the one that takes the words nearest to target holds.
-OFFSETS = 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -58,8 +56,7 @@ def mix(
     Every document of a source has the same expected copies, target over source size. They are added up
     along (size, doc_id) within the source, a random offset is added, and a row is emitted once for each
     integer that its stretch crosses: copies differ from the expectation by less than one, and since
-    neighbours are of like size the words taken stay within about one large document of the target. Of OFFSETS
-    offsets at even distances from the random one a source takes the one that comes nearest.
+    neighbours are of like size the words taken stay within about one large document of the target.
 
     Null text: size 0. Null source: a source of its own, last. Empty table: no rows. Sources without
     words: target 0, no copies. Equal rows are mixed each for itself. Other columns pass through; names
@@ -81,12 +78,7 @@ def mix(
     def copies(first: Column) -> Column:
         return F.shiftright((F.col(place) + 1) * F.col(step) + first, UNIT_BITS) - F.shiftright(F.col(place) * F.col(step) + first, UNIT_BITS)
 
-    tries = [(F.col(start) + (k << UNIT_BITS) // OFFSETS) % (1 << UNIT_BITS) for k in range(OFFSETS)]
-    taken = met.groupBy(whose).agg(F.first("mix_target").alias("t"), *[F.sum(copies(c) * F.col("mix_size")).alias(f"k{k}") for k, c in enumerate(tries)])
-    best = taken.select(F.col(whose).alias(x + "s"), F.least(*[F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("miss"), F.lit(k).alias("k")) for k in range(OFFSETS)])["k"].alias(x + "k"))
-    out = met.join(best, met[whose].eqNullSafe(best[x + "s"]))
-    chosen = (F.col(start) + F.shiftleft(F.col(x + "k").cast("long"), UNIT_BITS) / OFFSETS) % (1 << UNIT_BITS)
-    return out.withColumn("mix_copies", copies(chosen.cast("long"))).drop(place, whose, step, start, x + "s", x + "k")
+    return met.withColumn("mix_copies", copies(F.col(start))).drop(place, whose, step, start)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
