@@ -5,12 +5,14 @@
 3. Signatures are cut into bands. A bucket is what representatives share a band with.
 4. What no text of a bucket shares with any other candidate cannot be common: texts and pairs that cannot reach the
    limit with what is left are out, exactly.
-5. Rounds. In each bucket that still holds several components a few hubs (those with the least of their own) are compared with the members
-   of other components; pairs are pruned by the posterior of their likeness after each batch of hashes,
-   survivors are confirmed on full sets, and confirmed links merge components. A hub leaves its bucket
-   once it has met all, and a bucket is done once it is of one component. So all pairs of a bucket whose
-   answer could still change the result are tested, while a group of copies costs one pair per member.
-6. Links are contracted by alternating large and small stars, in tables, never on the driver.
+5. Hub rounds. In each bucket that still holds several components one hub (the member with the fewest shingles of
+   its own that no hub of the bucket is linked with yet) is compared with all others. Pairs are pruned by the
+   posterior of their likeness after each batch of hashes, survivors are confirmed on full sets, and confirmed links
+   merge components. A group of copies so costs one pair per member.
+6. What is left. With i shingles in common with the hub and s shared with anyone, two members have at most
+   min(i, i') + min(s - i, s' - i') in common. All pairs of different components that this bound allows are compared,
+   each in the first band that it shares; one side is always outside the component of the bucket's first hub.
+7. Links are contracted by alternating large and small stars, in tables, never on the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -31,8 +33,8 @@ from .common import saved
 BANDS, ROWS = 24, 5
 #: Hashes compared before each test of the posterior, and the chance that a test drops a true link.
 BATCH, MISS = 24, 1e-7
-#: Hubs of a bucket in the first round, and how many times more in each next.
-HUBS, MORE_HUBS = 1, 8
+#: Rounds with one hub a bucket, before all pairs that are left are compared.
+HUB_ROUNDS = 2
 #: Ids sent to all executors to pick out texts, at most; beyond it the texts are joined by shuffling.
 SENT_IDS = 500_000
 PIECE_BYTES = 1 << 20
@@ -103,18 +105,18 @@ def _plausible(percent: int):
     return test
 
 
-def _confirmed(percent: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: tuple[int | None, np.ndarray | None] = (None, None)
-            a, b, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k in range(len(a)):
-                if held[0] != b[k] or b[k] is None:
-                    held = (b[k], shingles.sets(batch.column(3).slice(k, 1))[0])
-                ok.append(shingles.alike(shingles.sets(batch.column(2).slice(k, 1))[0], held[1], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return work
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text of a, text of b) to (a, b, i, n, m): the sizes of the intersection and of both full sets."""
+    for batch in batches:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        found, b = [], batch.column(1).to_pylist()
+        for k in range(len(b)):
+            if held[0] != b[k]:
+                held = (b[k], shingles.sets(batch.column(3).slice(k, 1))[0])
+            own = shingles.sets(batch.column(2).slice(k, 1))[0]
+            found.append((len(np.intersect1d(own, held[1], assume_unique=True)), len(own), len(held[1])))
+        sizes = np.array(found, np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(sizes[:, k]) for k in range(3)]], ["a", "b", "i", "n", "m"])
 
 
 def unshared(texts: DataFrame) -> DataFrame:
@@ -162,6 +164,89 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(_star(_star(now, False), True), "links")
 
 
+_BUCKET = ("key", "band", "rep", "n", "s", "single", "met")
+
+
+def _possible(common: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m elements with so many in common at most can be alike enough."""
+    return 100 * common >= percent * (n + m - common)
+
+
+def _bound(s: str, met: str, other_s: str, other_met: str) -> Column:
+    """The most that two members of a bucket can have in common.
+
+    Through a hub: what both have in common with it, and what they have beside it. Where one intersection is not
+    known the other alone bounds the pair (least and array_min pass over nulls).
+    """
+    s, other_s = F.col(s), F.col(other_s)
+    through = F.zip_with(met, other_met, lambda h, g: F.least(h["i"], g["i"]) + F.least(s - h["i"], other_s - g["i"]))
+    return F.least(s, other_s, F.array_min(through))
+
+
+def _with_components(df: DataFrame, found: DataFrame | None, rep: str = "rep", name: str = "comp") -> DataFrame:
+    if found is None:
+        return df.withColumn(name, F.col(rep))
+    known = found.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return df.join(known, F.col(rep) == F.col("_u"), "left").withColumn(name, F.coalesce("_v", rep)).drop("_u", "_v")
+
+
+def open_members(buckets: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
+    """Members of buckets with several components: comp, and of the bucket's next hub _hub, _n, _s, _met, _comp.
+
+    The hub is a member that no hub before is linked with; null if there is none. Members that even the smallest set
+    of the bucket could not be linked with are left out.
+    """
+    placed = _with_components(buckets, found)
+    fresh = ~F.exists("met", lambda h: h["linked"])
+    place = F.struct((F.col("n") - F.col("s")).alias("own"), "rep", "n", "s", "comp", "met")
+    keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min("n").alias("_least"), F.min(F.when(fresh, place)).alias("_h"))
+    keys = keys.filter("_low < _high").select("_key", "_least", F.col("_h.rep").alias("_hub"), *[F.col(f"_h.{c}").alias(f"_{c}") for c in ("n", "s", "met", "comp")])
+    return placed.join(keys, F.col("key") == F.col("_key")).filter(_possible(F.col("s"), F.col("n"), F.greatest("_least", "s"), percent)).drop("_key", "_least")
+
+
+def compared(pairs: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the posterior does not prune: a, b, i (in common, null where it is not one number), ok."""
+    x, y = (signed.select(F.col("rep").alias(f"_{c}"), F.col("sig").alias(f"_s{c}")) for c in "ab")
+    likely = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
+    likely = likely.filter(_plausible(percent)(F.col("_sa"), F.col("_sb"))).select("a", "b").distinct()
+    x, y = (texts.select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
+    both = likely.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+    got = both.mapInArrow(_common, "a long, b long, i long, n long, m long")
+    got = got.withColumn("ok", _possible(F.col("i"), F.col("n"), F.col("m"), percent) & (F.col("n") > 0) & (F.col("m") > 0))
+    one = F.when(F.count(F.lit(1)) == 1, F.max("i"))
+    return got.groupBy("a", "b").agg(one.alias("i"), F.max("ok").alias("ok"))
+
+
+def merged(told: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """Components after the links that were found."""
+    links = told.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(links if found is None else links.unionAll(found))
+
+
+def left_over(buckets: DataFrame, found: DataFrame | None, banded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that no bound excludes, each once, in the first band that it shares.
+
+    Every such pair has a side outside the component of the bucket's first hub: those are few, as the hub has taken
+    what is like it.
+    """
+    placed = _with_components(buckets, found)
+    keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min("n").alias("_least"), F.max(F.get("met", F.lit(0))["hub"]).alias("_hub"))
+    keys = _with_components(keys.filter("_low < _high"), found, "_hub", "_first").select("_key", "_least", "_first")
+    placed = placed.join(keys, F.col("key") == F.col("_key")).drop("_key")
+    placed = placed.filter(_possible(F.col("s"), F.col("n"), F.greatest("_least", "s"), percent))
+    placed = placed.withColumn("away", ~F.col("comp").eqNullSafe(F.col("_first"))).drop("_least", "_first")
+    # Ids that stand for several texts have no one list of bands: their pairs are made in every band.
+    reps = placed.filter("single").select(F.col("rep").alias("_rep")).distinct()
+    cuts = banded.join(reps, F.col("rep") == F.col("_rep")).groupBy("_rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("cuts"))
+    placed = saved(placed.join(cuts, F.col("rep") == F.col("_rep"), "left").drop("_rep"), "left")
+    other = placed.filter("away").select(*[F.col(c).alias(f"_{c}") for c in ("key", "rep", "comp", "n", "s", "met", "cuts")])
+    once = ~F.col("away") | (F.col("rep") < F.col("_rep"))
+    first = F.array_position(F.zip_with("cuts", "_cuts", lambda x, y: x == y), True) - 1 == F.col("band")
+    fits = _possible(_bound("s", "met", "_s", "_met"), F.col("n"), F.col("_n"), percent)
+    met = placed.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & once & fits & F.coalesce(first, F.lit(True)))
+    return met.select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, for links of 100 * intersection >= percent * union.
 
@@ -175,14 +260,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         "classes",
     )
     cut = F.array(*[F.xxhash64(F.expr(f"substring(sig, {1 + 4 * ROWS * k}, {4 * ROWS})"), F.lit(k)) for k in range(BANDS)])
-    banded = classes.select("rep", F.explode(cut).alias("key"))
+    banded = classes.select("rep", F.posexplode(cut).alias("band", "key"))
     shared = banded.groupBy(F.col("key").alias("_key")).agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).filter("_a < _b").select("_key")
-    buckets = saved(banded.join(shared, F.col("key") == F.col("_key")).select("key", "rep").distinct(), "buckets")
+    buckets = saved(banded.join(shared, F.col("key") == F.col("_key")).select("key", "band", "rep").distinct(), "buckets")
     signed = classes.select("rep", "sig", "n_shingles")
     members = buckets.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = members.count()
-    if known <= SENT_IDS:
+    if members.count() <= SENT_IDS:
         members = F.broadcast(members)
     texts = saved(texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
 
@@ -191,54 +275,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Ids that stand for several texts get the widest bounds.
     sized = signed.groupBy(F.col("rep").alias("_id")).agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("texts"))
     buckets = buckets.join(sized, F.col("rep") == F.col("_id")).join(lone, F.col("rep") == F.col("_rep"), "left")
-    shared = F.when(F.col("texts") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("own", F.lit(0)))
-    buckets = saved(buckets.select("key", "rep", "n", shared.alias("s")).filter(100 * F.col("s") >= percent * F.col("n")).distinct(), "buckets")
-
-    def possible(common: Column, n: Column, m: Column) -> Column:
-        """Whether sets of n and m elements with so many in common at most can be alike enough."""
-        return 100 * common >= percent * (n + m - common)
+    most_shared = F.when(F.col("texts") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("own", F.lit(0)))
+    no_hub = F.array().cast("array<struct<i:bigint,hub:bigint,linked:boolean>>")
+    buckets = buckets.select("key", "band", "rep", "n", most_shared.alias("s"), (F.col("texts") == 1).alias("single"), no_hub.alias("met"))
+    buckets = buckets.filter(100 * F.col("s") >= percent * F.col("n")).distinct()
 
     found: DataFrame | None = None  # rep to component, for those not their own
-    met: DataFrame | None = None  # pairs tested
-    hubs = HUBS
-    while known:
-        placed = buckets.withColumn("comp", F.col("rep"))
-        if found is not None:
-            placed = buckets.join(found, F.col("rep") == F.col("u"), "left").select("key", "rep", "n", "s", F.coalesce("v", "rep").alias("comp"))
-        hub = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "rep")).alias("_hub")
-        open_keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("n").alias("_least"), hub).filter("_a < _b")
-        placed = placed.join(open_keys.select("_key", "_hub", "_least"), F.col("key") == F.col("_key")).drop("_key")
-        # The smallest set of the bucket is the best partner that a member can hope for.
-        placed = placed.filter(possible(F.col("s"), F.col("n"), F.greatest("_least", "s")))
-        place = F.struct((F.col("n") - F.col("s")).alias("own"), "rep")
-        if hubs == 1:
-            chosen, after = placed.filter(place == F.col("_hub")), placed.filter(place > F.col("_hub"))
-        else:
-            turn = F.row_number().over(Window.partitionBy("key").orderBy(place))
-            placed = saved(placed.drop("_hub", "_least").withColumn("_turn", turn), "turns")
-            chosen, after = placed.filter(F.col("_turn") <= hubs), placed.filter(F.col("_turn") > hubs)
-        chosen = chosen.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("comp").alias("_bc"), F.col("n").alias("_n"), F.col("s").alias("_s"))
-        later = place > F.struct((F.col("_n") - F.col("_s")).alias("own"), F.col("b").alias("rep"))
-        pairs = placed.join(chosen, (F.col("key") == F.col("_key")) & later & (F.col("comp") != F.col("_bc")) & possible(F.least("s", "_s"), F.col("n"), F.col("_n")))
-        pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
-        if met is not None:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        left = saved(after.select("key", "rep", "n", "s"), "buckets")
-        if left.isEmpty() and pairs.isEmpty():
+    for _ in range(HUB_ROUNDS):
+        placed = saved(open_members(buckets, found, percent), "open")
+        fits = _possible(_bound("s", "met", "_s", "_met"), F.col("n"), F.col("_n"), percent)
+        pairs = saved(placed.filter("comp <> _comp and rep <> _hub").filter(fits).select(F.col("rep").alias("a"), F.col("_hub").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            buckets = placed.select(*_BUCKET)
             break
-        if not pairs.isEmpty():
-            met = pairs if met is None else met.unionAll(pairs)
-            x, y = (signed.select(F.col("rep").alias(f"_{c}"), F.col("sig").alias(f"_s{c}")) for c in "ab")
-            likely = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
-            likely = likely.filter(_plausible(percent)(F.col("_sa"), F.col("_sb"))).select("a", "b")
-            x, y = (texts.select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
-            told = likely.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
-            links = told.mapInArrow(_confirmed(percent), "a long, b long, ok boolean").filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if found is not None:
-                links = links.unionAll(found)
-            found = components(links)
-        buckets, hubs = left, hubs * MORE_HUBS
+        told = saved(compared(pairs, signed, texts, percent), "told")
+        found = merged(told, found)
+        told = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "i", "ok")
+        placed = placed.join(told, (F.col("rep") == F.col("_a")) & (F.col("_hub") == F.col("_b")), "left")
+        i = F.when(F.col("rep") == F.col("_hub"), F.when(F.col("single"), F.col("n"))).otherwise(F.col("i"))
+        linked = (F.col("rep") == F.col("_hub")) | F.coalesce("ok", F.lit(False)) | (F.col("comp") == F.col("_comp"))
+        one = F.struct(i.alias("i"), F.col("_hub").alias("hub"), linked.alias("linked"))
+        buckets = saved(placed.withColumn("met", F.when(F.col("_hub").isNotNull(), F.array_append("met", one)).otherwise(F.col("met"))).select(*_BUCKET), "buckets")
+
+    pairs = saved(left_over(buckets, found, banded, percent), "pairs")
+    if not pairs.isEmpty():
+        found = merged(saved(compared(pairs, signed, texts, percent), "told"), found)
 
     named = rows.join(classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("n_shingles").alias("_n"), "rep"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")), "left")
     comp = F.coalesce("rep", "doc_id")
