@@ -12,6 +12,7 @@ Level 0 has a chunk of each id (its low 8 bits); entry i of level k goes on at e
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import unicodedata
@@ -31,13 +32,16 @@ CHUNK = 8
 BLOCK = 512
 #: A file is closed at so many tokens; texts are tokenised in pieces of about so many characters.
 FILE_TOKENS = 1 << 20
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 23
 #: Distinct stretches that an encoder keeps, at most, and how many words it encodes in one string.
 CACHED_WORDS = 1_000_000
 LEARN_WORDS = 4096
 #: ASCII marks: a run of them at a stretch's end is a word of its own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: This process's encoder by the digest of its tokenizer.
+ENCODERS: dict[str, "Encoder"] = {}
+
 WRITTEN = "part int, seq long, n_docs long, n_tokens long, payload binary"
 READ = "part int, seq long, at long, doc_id long, n_tokens long, ids_crc32 long"
 
@@ -130,33 +134,43 @@ class TokenFile:
 class _Known:
     """Strings and their ids, kept in flat arrays; forgets all when it would hold more than limit."""
 
-    def __init__(self, encode, limit: int) -> None:
-        self._encode, self._limit = encode, limit
+    def __init__(self, encode, limit: int, fits=None) -> None:
+        self._encode, self._limit, self._fits = encode, limit, fits
         self._forget()
 
     def _forget(self) -> None:
-        self._words = pa.array([], pa.string())
-        self.ids, self._used = np.zeros(1 << 16, np.uint32), 0
+        self._at: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts = self.lens = np.zeros(0, np.int32)
 
-    def rows(self, words: pa.Array) -> np.ndarray:
-        """Places of distinct words in starts and lens; unknown ones are encoded first."""
-        at = pc.index_in(words, value_set=self._words)
-        if at.null_count:
-            new = words.filter(pc.is_null(at))
-            if len(self._words) + len(new) > self._limit:
-                self._forget()
-                new = words
-            flat, lens = self._encode(new.to_pylist())
-            while self._used + len(flat) > len(self.ids):
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        """Places of distinct words in starts and lens, -1 where they do not fit; unknown ones are encoded first."""
+        known = self._at
+        found = [known.get(w) for w in words]
+        new = [w for w, k in zip(words, found) if k is None]
+        if not new:
+            return np.array(found, np.int64)
+        if len(known) + len(new) > self._limit and known:
+            self._forget()
+            return self.rows(words)
+        mine = new if self._fits is None else [w for w in new if self._fits(w)]
+        if self._fits is not None:
+            known.update(dict.fromkeys(new, -1))
+        if mine:
+            flat, lens = self._encode(mine)
+            while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids] * 2)
-            self.ids[self._used : self._used + len(flat)] = flat
-            self.starts = np.concatenate([self.starts, (self._used + np.cumsum(lens) - lens).astype(np.int32)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            known.update(zip(mine, range(len(self.lens), len(self.lens) + len(mine))))
+            self.starts = np.concatenate([self.starts, (self.used + np.cumsum(lens) - lens).astype(np.int32)])
             self.lens = np.concatenate([self.lens, lens])
-            self._used += len(flat)
-            self._words = pa.concat_arrays([self._words, new])
-            at = pc.index_in(words, value_set=self._words)
-        return at.to_numpy()
+            self.used += len(flat)
+        return np.array([known[w] if k is None else k for w, k in zip(words, found)], np.int64)
+
+
+def of_letters(word: str) -> bool:
+    """Whether a word in lower case is of letters alone, also after composition."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 def spread(ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +198,17 @@ class Encoder:
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self._letters = _Known(self._together, CACHED_WORDS)
+        self._letters = _Known(self._together, CACHED_WORDS, of_letters)
         self._others = _Known(self._singly, CACHED_WORDS // 4)
 
     @staticmethod
     def shared(tokenizer_json: str) -> Encoder:
         """The one encoder of this process, kept from task to task with what it has learnt."""
-        import sys
-        import types
-
-        state = sys.modules.setdefault("_labelforge_state", types.ModuleType("_labelforge_state"))
-        if getattr(state, "vocabulary", None) != tokenizer_json:
-            state.vocabulary, state.encoder = tokenizer_json, Encoder(tokenizer_json)
-        return state.encoder
+        digest = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+        if digest not in ENCODERS:
+            ENCODERS.clear()
+            ENCODERS[digest] = Encoder(tokenizer_json)
+        return ENCODERS[digest]
 
     def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [self._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -217,21 +229,20 @@ class Encoder:
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct stretches: flat, first places, lengths."""
-        cores = pc.ascii_lower(pc.utf8_rtrim(words, characters=MARKS))
-        plain = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()
-        for k in np.flatnonzero(~plain & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)):
-            core = cores[int(k)].as_py()
-            plain[k] = core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
+        trimmed = pc.utf8_rtrim(words, characters=MARKS)
+        coded = pc.dictionary_encode(pc.ascii_lower(trimmed))
+        at = self._letters.rows(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+        plain = at >= 0
         starts, lens = np.zeros((len(words), 2), np.int32), np.zeros((len(words), 2), np.int32)
-        mask = pa.array(plain)
-        coded = pc.dictionary_encode(cores.filter(mask))
-        at = self._letters.rows(coded.dictionary)[coded.indices.to_numpy()]
-        starts[plain, 0], lens[plain, 0] = self._letters.starts[at], self._letters.lens[at]
-        other = pc.if_else(mask, pc.replace_substring_regex(words, f"^[^{re.escape(MARKS)}]+", ""), words)
+        starts[plain, 0], lens[plain, 0] = self._letters.starts[at[plain]], self._letters.lens[at[plain]]
+        # What is left to look up: marks after letters, and all other stretches as they are.
+        marked = np.flatnonzero(~plain | (pc.binary_length(words).to_numpy() > pc.binary_length(trimmed).to_numpy()))
+        some = words.take(pa.array(marked))
+        other = pc.if_else(pa.array(plain[marked]), pc.replace_substring_regex(some, f"^[^{re.escape(MARKS)}]+", ""), some)
         coded = pc.dictionary_encode(other)
-        at = self._others.rows(coded.dictionary)[coded.indices.to_numpy()]
-        starts[:, 1], lens[:, 1] = self._others.starts[at] + self._letters._used, self._others.lens[at]
-        ids = np.concatenate([self._letters.ids[: self._letters._used], self._others.ids[: self._others._used]])
+        at = self._others.rows(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+        starts[marked, 1], lens[marked, 1] = self._others.starts[at] + self._letters.used, self._others.lens[at]
+        ids = np.concatenate([self._letters.ids[: self._letters.used], self._others.ids[: self._others.used]])
         flat, ends = spread(ids, starts.ravel(), lens.ravel())
         size = lens.sum(1, dtype=np.int32)
         return flat, ends[1::2] - size, size
