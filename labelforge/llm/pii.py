@@ -1,9 +1,10 @@
 """Personal data: exact patterns and bootstrapped contextual extraction, in DataFrame functions alone.
 
-Seeds are the spans of the exact patterns. The words before a seed make lexical patterns (the last word,
-the last two). Pattern and instance scores are computed in turn on the graph between them:
-    pattern:  the share of all its occurrences in the corpus that stand before a known instance;
-    instance: 1 - product of (1 - score) over the good patterns that it stands after.
+Seeds are the spans of the exact patterns. The words around a seed make lexical patterns: the last word before it (or
+the label glued to it, as in tel:0207...), the last two, the next word after it, the next two. Pattern and instance
+scores are computed in turn on the graph between them, until no instance is added:
+    pattern:  the share of all its occurrences in the corpus that stand at a known instance;
+    instance: 1 - product of (1 - score) over the good patterns that it stands at.
 Patterns are good with SUPPORT different known instances and a score of SURE; instances become known at
 ACCEPT. Candidates are strings of an identifier's shape that no exact pattern takes.
 """
@@ -35,9 +36,8 @@ SHAPES = {
     "card": r"^(?:[0-9][ /.-]?){11,18}[0-9]$",
     "phone": r"^[(]?(?:[0-9][ ()./-]{0,3}){6,14}[0-9]$",
 }
-SUPPORT, SURE, ACCEPT, ROUNDS = 3, 0.5, 0.5, 3
-#: Characters before a span in which its context words are sought.
-REACH = 60
+SUPPORT, SURE, ACCEPT = 3, 0.5, 0.5
+SPACE = r"[\x20\x09-\x0D]"
 SENT_ROWS = 200_000
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -106,60 +106,102 @@ def candidate_spans(text: Column, base: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, base spans, and mentions: spans and candidates with the words before each."""
+    """doc_id, key of the text, base spans, and mentions: spans and candidates with the words around each.
+
+    The text is cut at the mentions once; a mention's words are those of the pieces before and after it.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("free", candidate_spans(F.col("text"), F.col("base")))
+    rows = rows.withColumn("all", F.array_sort(F.concat("base", "free"))).withColumn("low", F.lower("text"))
+
+    def piece(i: Column) -> Column:
+        """From the mention before place i to the one at i, or to the end of the text."""
+        start = F.coalesce(F.get("all", i - 1)["stop"], F.lit(0))
+        return F.substring("low", start + 1, F.greatest(F.coalesce(F.get("all", i)["start"], F.length("low")) - start, F.lit(0)))
+
+    pieces = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), F.size("all")), piece))
+    rows = rows.withColumn("pieces", pieces)
+    # A word that begins or ends at a mention is no whole word; before a mention it is the label glued to it.
 
-    def mention(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.lower(F.substring("text", low + 1, s["start"] - low))
-        words = F.regexp_extract_all(before, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value"), F.coalesce(F.get(words, F.size(words) - 1), F.lit("")).alias("last"), F.coalesce(F.get(words, F.size(words) - 2), F.lit("")).alias("prior"))
+    def words(x: Column, i: Column) -> Column:
+        after = F.when(i > 0, F.regexp_replace(x, r"^[^\x20\x09-\x0D]+", "")).otherwise(x)
+        glued = F.regexp_extract(x, r"([^\x20\x09-\x0D]+)\z", 1)
+        glued = F.when(i < F.size("all"), glued).otherwise(F.lit(""))
+        own = F.filter(F.split(F.substring(after, F.lit(1), F.greatest(F.length(after) - F.length(glued), F.lit(0))), SPACE), lambda w: w != "")
+        return F.struct(own.alias("own"), F.when(glued.rlike(r"[^\p{L}\p{N}]\z"), glued).otherwise(F.lit("")).alias("label"), (glued != "").alias("joined"))
 
-    return rows.select("doc_id", "key", "base", F.transform(F.concat("base", "free"), mention).alias("mentions"))
+    rows = rows.withColumn("around", F.transform("pieces", words))
+
+    def mention(s: Column, i: Column) -> Column:
+        before, after = F.get("around", i), F.get("around", i + 1)["own"]
+        label, own = before["label"], before["own"]
+        last = F.when(label != "", label).when(~before["joined"], F.get(own, F.size(own) - 1))
+        prior = F.when(label != "", F.get(own, F.size(own) - 1)).when(~before["joined"], F.get(own, F.size(own) - 2))
+        return F.struct(
+            s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value"),
+            F.coalesce(last, F.lit("")).alias("last"), F.coalesce(prior, F.lit("")).alias("prior"), F.coalesce(F.get(after, F.lit(0)), F.lit("")).alias("next"), F.coalesce(F.get(after, F.lit(1)), F.lit("")).alias("second"),
+        )
+
+    return rows.select("doc_id", "key", "base", F.coalesce(F.transform("all", mention), F.array()).alias("mentions"))
 
 
 def _patterns(mentions: DataFrame) -> DataFrame:
-    """Each mention under its patterns: the last word, and the last two."""
-    both = F.array(F.struct(F.lit("").alias("prior"), F.col("last").alias("last")), F.struct("prior", "last"))
-    own = F.when(F.col("prior") == "", F.slice(both, 1, 1)).otherwise(both)
-    return mentions.filter("last <> ''").withColumn("p", F.explode(own)).select("kind", "value", F.col("p.prior").alias("prior"), F.col("p.last").alias("last"))
+    """Each mention under its patterns (side, near, far): one word beside it, far empty, or two."""
+
+    def of(side: str, near: str, far: str) -> Column:
+        one = F.struct(F.lit(side).alias("side"), F.col(near).alias("near"), F.lit("").alias("far"))
+        two = F.struct(F.lit(side).alias("side"), F.col(near).alias("near"), F.col(far).alias("far"))
+        return F.when(F.col(near) == "", F.array().cast("array<struct<side:string,near:string,far:string>>")).when(F.col(far) == "", F.array(one)).otherwise(F.array(one, two))
+
+    every = F.concat(of("before", "last", "prior"), of("after", "next", "second"))
+    return mentions.withColumn("p", F.explode(every)).select("kind", "value", "p.side", "p.near", "p.far")
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern's words stand in all texts: prior, last, total."""
-    rows = docs.select(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+").alias("words"))
-    rows = rows.select("words", F.posexplode_outer("words").alias("pos", "word")).select("word", F.get("words", F.col("pos") - 1).alias("before"))
-    listed = patterns.select(F.col("prior").alias("_prior"), F.col("last").alias("_last")).distinct()
+    """How often each pattern's words stand in all texts: side, near, far, total.
+
+    Before: whole words, and labels at the start of longer words that end in no letter or digit. After: whole words.
+    """
+    rows = docs.select(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE).alias("words")).select(F.filter("words", lambda w: w != "").alias("words"))
+    rows = rows.select("words", F.posexplode("words").alias("pos", "word")).select("word", F.get("words", F.col("pos") - 1).alias("left"), F.get("words", F.col("pos") + 1).alias("right"))
+    listed = patterns.select(F.col("side").alias("_side"), F.col("near").alias("_near"), F.col("far").alias("_far")).distinct()
     listed = F.broadcast(listed) if listed.count() <= SENT_ROWS else listed
-    met = rows.join(listed, (F.col("word") == F.col("_last")) & ((F.col("_prior") == "") | (F.col("_prior") == F.col("before"))))
-    return met.groupBy(F.col("_prior").alias("prior"), F.col("_last").alias("last")).agg(F.count(F.lit(1)).alias("total"))
+    # Labels: what comes before each further character of a word, after a mark.
+    ends = F.filter(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring("word", n, F.lit(1)).rlike(r"[^\p{L}\p{N}]"))
+    labels = F.transform(ends, lambda n: F.struct(F.lit("before").alias("side"), F.substring("word", F.lit(1), n).alias("near"), F.col("left").alias("far")))
+    labels = F.when((F.length("word") > 1) & F.col("word").rlike(r"[^\p{L}\p{N}]."), labels)
+    whole = F.array(F.struct(F.lit("before").alias("side"), F.col("word").alias("near"), F.col("left").alias("far")), F.struct(F.lit("after").alias("side"), F.col("word").alias("near"), F.col("right").alias("far")))
+    rows = rows.select(F.explode(F.concat(whole, F.coalesce(labels, F.array().cast("array<struct<side:string,near:string,far:string>>")))).alias("x")).select("x.*")
+    met = rows.join(listed, (F.col("side") == F.col("_side")) & (F.col("near") == F.col("_near")) & ((F.col("_far") == "") | (F.col("_far") == F.col("far"))))
+    return met.groupBy(F.col("_side").alias("side"), F.col("_near").alias("near"), F.col("_far").alias("far")).agg(F.count(F.lit(1)).alias("total"))
+
 
+PATTERN = ["side", "near", "far"]
 
-def bootstrap(docs: DataFrame, mentions: DataFrame, support: int = SUPPORT, sure: float = SURE, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+
+def bootstrap(docs: DataFrame, mentions: DataFrame, support: int = SUPPORT, sure: float = SURE, accept: float = ACCEPT) -> DataFrame:
     """Accepted instances beyond the seeds: kind, value. The graph's tables are aggregated; nothing is collected."""
-    edges = saved(_patterns(mentions).groupBy("prior", "last", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
+    edges = saved(_patterns(mentions).groupBy(*PATTERN, "kind", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
     seeds = edges.filter("kind >= 0").select("kind", "value").distinct()
     shapes = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("value").rlike(SHAPES[n]).alias("fits")) for k, n in enumerate(KINDS)])
-    open_ = edges.filter("kind = -1").select("prior", "last", "value", "n", F.explode(F.filter(shapes, lambda s: s["fits"])).alias("s")).select("prior", "last", F.col("s.kind").alias("kind"), "value", "n")
-    graph = saved(edges.filter("kind >= 0").select("prior", "last", "kind", "value", "n").unionAll(open_), "graph")
+    open_ = edges.filter("kind = -1").select(*PATTERN, "value", "n", F.explode(F.filter(shapes, lambda s: s["fits"])).alias("s")).select(*PATTERN, F.col("s.kind").alias("kind"), "value", "n")
+    graph = saved(edges.filter("kind >= 0").select(*PATTERN, "kind", "value", "n").unionAll(open_), "graph")
     # Only patterns that could ever have the support are counted in the corpus.
-    wide = graph.groupBy("prior", "last", "kind").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
+    wide = graph.groupBy(*PATTERN, "kind").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
     totals = saved(occurrences(docs, saved(wide, "wide")), "totals")
     known = saved(seeds, "known")
     size = known.count()
-    for _ in range(rounds):
-        held = graph.join(known, ["kind", "value"]).groupBy("prior", "last", "kind").agg(F.sum("n").alias("pos"), F.count(F.lit(1)).alias("m"))
-        good = held.filter(F.col("m") >= support).join(totals, ["prior", "last"]).withColumn("score", F.least(F.col("pos") / F.col("total"), F.lit(0.999))).filter(F.col("score") >= sure)
-        told = graph.join(saved(good.select("prior", "last", "kind", "score"), "good"), ["prior", "last", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("score"))
+    while True:
+        held = graph.join(known, ["kind", "value"]).groupBy(*PATTERN, "kind").agg(F.sum("n").alias("pos"), F.count(F.lit(1)).alias("m"))
+        good = held.filter(F.col("m") >= support).join(totals, PATTERN).withColumn("score", F.least(F.col("pos") / F.col("total"), F.lit(0.999))).filter(F.col("score") >= sure)
+        told = graph.join(saved(good.select(*PATTERN, "kind", "score"), "good"), [*PATTERN, "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("score"))
         best = told.filter(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b")).select((-F.col("b.col2")).cast("int").alias("kind"), "value")
         known = saved(known.unionAll(best).distinct(), "known")
         now = known.count()
         if now == size:
-            break
+            return known.join(seeds, ["kind", "value"], "left_anti")
         size = now
-    return known.join(seeds, ["kind", "value"], "left_anti")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -183,7 +225,11 @@ def as_text(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, exact spans by kind, digest of the exact spans, and all spans as text."""
+    """Per row: doc_id, exact spans by kind, digest of the exact spans, and all spans as text.
+
+    Null text counts as empty: no spans. Rows that repeat give equal rows; columns other than doc_id and text are not
+    read; an empty table gives no rows.
+    """
     rows = find(docs)
 
     def count(k: int, kind: str) -> Column:
