@@ -1,10 +1,11 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-A text is cut into tokens of at most four characters, anew at each white space. Of its k-mers of tokens
-those are chosen whose least inner s-mer (by hash) is the first or the last: that depends on the k-mer
-alone, so equal passages choose equal anchors wherever they stand. A fingerprint keeps the least hashes of
-the anchors; likeness is the share of common ones among the least hashes of both (Jaccard's estimate, exact
-where both are complete).
+A text is cut into tokens whose ends follow from the characters themselves: after a vowel, a digit or any character
+of a script beyond the Latin, Greek and Cyrillic ones, and at white space. Of its k-mers of tokens those are chosen
+whose least inner s-mer (by hash) is the first or the last: that depends on the k-mer alone, so equal passages choose
+equal anchors wherever they stand, spaced or not. A fingerprint is the list of all anchors of the whole text in page
+order, each hashed with its distance from the anchor before; likeness is the share of such placed anchors that both
+have (Jaccard), so it tells texts with the same passages in another arrangement apart.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[^\x20\x09-\x0D]{1,4}"
-K, S = 6, 2
-#: Anchors in a fingerprint, at most.
-KEPT = 128
-#: Documents of a bucket of neighbours, about, and buckets at most.
+#: A token ends after one of these, or after RUN characters without one.
+ENDS = "aeiouAEIOU0-9\u00C0-\u00C6\u00C8-\u00D6\u00D8-\u00DD\u00E0-\u00E6\u00E8-\u00F6\u00F8-\u00FD\u03B1\u03B5\u03B7\u03B9\u03BF\u03C5\u03C9\u0430\u0435\u0438\u043E\u0443\u044B\u044D\u044E\u044F\u0590-\U0010FFFF"
+RUN = 8
+TOKEN = rf"[^\x20\x09-\x0D{ENDS}]{{0,{RUN - 1}}}+[{ENDS}]|[^\x20\x09-\x0D{ENDS}]{{1,{RUN}}}"
+K, S = 10, 2
+#: Documents of a bucket of neighbours, about, and buckets at most (a bucket is sorted and read as a stream).
 BUCKET_ROWS, BUCKETS = 256, 50_000
 _INNER = K - S
 #: From so many tokens on one k-mer at least is chosen: of any _INNER neighbours, the least s-mer ends or starts one.
 SURE = K + _INNER - 1
+#: Texts of fewer tokens have their tokens in the fingerprint besides the anchors.
+SHORT = 3 * SURE
 
 
 def token_hashes(text: Column) -> Column:
@@ -39,7 +43,7 @@ def _closed(smers: Column, x: Column, i: Column) -> Column:
 
 
 def _hash(smers: Column, x: Column, i: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(x, *[F.get(smers, i + d) for d in range(S, _INNER + 1, S)]), 32)
+    return F.xxhash64(x, *[F.get(smers, i + d) for d in range(S, _INNER + 1, S)])
 
 
 def anchors(smers: Column) -> Column:
@@ -48,26 +52,24 @@ def anchors(smers: Column) -> Column:
     return F.array_compact(chosen)
 
 
-def _hashes(smers: Column) -> Column:
-    return F.transform(smers, lambda x, i: F.when((i + _INNER < F.size(smers)) & _closed(smers, x, i), _hash(smers, x, i)))
-
-
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted least anchor hashes of a text; under SURE tokens, the tokens' own hashes. No token: none."""
-    tok, smer = f"_t_{name}", f"_s_{name}"
-    out = df.withColumn(tok, token_hashes(F.col(text))).withColumn(smer, smer_hashes(F.col(tok)))
-    short = F.transform(tok, lambda t: F.shiftrightunsigned(t, 32))
-    chosen = F.when(F.size(tok) < SURE, short).otherwise(F.array_compact(_hashes(F.col(smer))))
-    return out.withColumn(name, F.slice(F.sort_array(F.array_distinct(chosen)), 1, KEPT)).drop(tok, smer)
+    """Adds the placed anchors of a text as 32-bit hashes, in page order; after them the tokens of a short text.
+
+    Every text with a token has a fingerprint that is not empty; without a token it is.
+    """
+    tok, smer, at = f"_t_{name}", f"_s_{name}", f"_a_{name}"
+    out = df.withColumn(tok, token_hashes(F.col(text))).withColumn(smer, smer_hashes(F.col(tok))).withColumn(at, anchors(F.col(smer)))
+    gap = lambda x, i: x["pos"] - F.coalesce(F.get(at, i - 1)["pos"], x["pos"])
+    placed = F.transform(at, lambda x, i: F.shiftrightunsigned(F.xxhash64(x["hash"], gap(x, i)), 32))
+    tokens = F.transform(tok, lambda t: F.shiftrightunsigned(t, 32))
+    whole = F.when(F.size(tok) < SHORT, F.concat(placed, tokens)).otherwise(placed)
+    return out.withColumn(name, whole).drop(tok, smer, at)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two empty sketches are alike, an empty and another one are not."""
-    both = F.sort_array(F.array_union(a, b))
-    full = (F.size(a) >= KEPT) | (F.size(b) >= KEPT)
-    least = F.when(full, F.slice(both, 1, KEPT)).otherwise(both)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(least))
+    """0 to 1; two empty fingerprints are alike, an empty and another one are not."""
+    both, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
 def as_text(sketch: Column) -> Column:
@@ -103,7 +105,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Documents are dealt to buckets of neighbouring ids by bounds that are ids themselves; a bucket's first
     document is dealt to the bucket before as well (the very first to the last bucket), so each finds its
-    follower in its bucket and texts are shuffled once. Null ids come first; equal ids by hash of the text.
+    follower in its bucket and texts are shuffled once. Null ids come first; equal ids by hash of the text. Buckets
+    beyond BUCKETS grow instead of becoming more; rows of one id lie in one bucket.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_k"))
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_k"))
@@ -118,7 +121,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = rows.select("doc_id", "text", "_k", F.explode(F.when(opens, F.array(own, guest)).otherwise(F.array(own))).alias("_d"))
     dealt = dealt.select("doc_id", "text", "_k", "_d.b", "_d.guest", "_d.late").repartition(F.col("b"))
     dealt = with_sketch(dealt, "text", "sketch")
-    by_id = Window.partitionBy("b").orderBy("late", "_k", F.xxhash64("text"))
+    by_id = Window.partitionBy("b").orderBy("late", "_k", F.col("doc_id").isNotNull(), F.xxhash64("text"))
     out = dealt.withColumn("next_text", F.lead("text").over(by_id)).withColumn("next_sketch", F.lead("sketch").over(by_id))
     return out.filter("not guest").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
@@ -126,7 +129,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null text counts as empty. Equal texts have equal fingerprints. Empty table: no rows.
+    Null text counts as empty. Equal texts have equal fingerprints. Rows that repeat an id follow each other by the
+    hash of their texts, and equal rows give equal results up to the last one's follower. Columns other than doc_id
+    and text are not read. Empty table: no rows.
     """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
