@@ -1,17 +1,26 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page becomes a tree of its block elements with text slots; runs of equal siblings (or of equal groups of
-siblings) fold into repeated groups. Trees of a host are aligned one after the other: what only some have
-becomes optional, what repeats in any becomes repeated, texts become slots. The wrapper's slots are labelled
-as main text or not, and each page is read through its host's wrapper.
+1. A page becomes a tree of its block elements with its texts. Runs of equal siblings (or of equal groups of siblings)
+   fold into repeated groups: the page's own expression, without texts.
+2. Distinct expressions of a host are aligned one after the other: what only some have becomes optional, what repeats
+   in any becomes repeated. The result is the host's wrapper; its text places are numbered.
+3. All pages of the host are aligned with the wrapper once more, now with their texts. At each place texts that differ
+   from page to page are content (slots), a text that most pages of the place have is part of the template, and a
+   place whose characters stand mostly in links is a menu.
+4. Each page is read through its host's wrapper: texts in article or main elements count, but for the template's
+   notices in fixed places. A page without these elements gives the content of the other places: neither template nor
+   menu.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,12 +30,17 @@ from .common import saved
 
 #: Distinct trees of a host that one task aligns; more are aligned in groups first, then the groups' wrappers.
 ALIGNED = 256
-#: Wrappers sent to all executors, at most; beyond it pages and wrappers are joined by shuffling.
-SENT_HOSTS = 2000
-#: Groups of siblings are tried as repeated groups up to this length.
-PERIOD = 4
+#: Wrappers sent to all executors, at most; beyond it pages and wrappers are joined by shuffling, a host in SALTS parts.
+SENT_HOSTS, SALTS = 2000, 16
+#: Groups of siblings are tried as repeated groups up to this length; more than WIDE children that do not fold become
+#: one repeated group of optional elements, ( a? b? c? )*. Elements below DEEP levels stand at that level.
+PERIOD, WIDE, DEEP = 4, 64, 100
+#: A text is the template's if so many pages, and this share of those with its place, have it there: outside article
+#: and main; in them (at a place that does not repeat and is no heading).
+OUTSIDE, INSIDE = (2, 0.5), (8, 0.9)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+TELLING = re.compile("class|id|role|hidden", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 BLOCKS = frozenset(
     "html head body address article aside blockquote canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,50 +61,71 @@ WORDS = frozenset(
     "signup login popup modal overlay comment comments respond reply replies discussion disqus related recommended share sharing social pagination pager "
     "skip toolbar search form".split()
 )
+#: First parts of names that tell of something else than the element (no-sidebar, has-related).
+OTHERS = frozenset("no not has have with without is in".split())
+#: Classes and ids of reader comments, in which an article is a comment.
+COMMENTS = frozenset("comments comment-list commentlist comments-area respond disqus_thread replies discussion".split())
+#: What inline elements with text are out for, and articles whose whole class it is.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+ASIDES = ADVERTS | {"comment", "related", "recommended", "sidebar", "widget"}
 ROOTS = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def label(name: str, attributes: str) -> str:
-    """An element's name, and ! where its attributes say that it holds no main text."""
-    bad = name in DROPPED
-    for key, *values in ATTRIBUTE.findall(attributes or ""):
+def judged(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether name and attributes say that an element holds no main text, and that it holds reader comments."""
+    bad, comments = name in DROPPED, False
+    words = WORDS if name in BLOCKS else ADVERTS
+    for key, *values in ATTRIBUTE.findall(attributes) if TELLING.search(attributes) else ():
         value, key = "".join(values).lower(), key.lower()
         if key in ("class", "id"):
-            bad = bad or any(w in WORDS for w in re.split(r"[^a-z0-9]+", value))
+            for one in value.split():
+                parts = re.split(r"[^a-z0-9]+", one)
+                comments = comments or one in COMMENTS
+                if name in ROOTS:
+                    bad = bad or one in ASIDES
+                elif name not in ("html", "body"):
+                    bad = bad or (parts[0] not in OTHERS and any(w in words for w in parts))
         elif key == "role":
-            bad = bad or value in ROLES
+            bad = bad or (value in ROLES and name in BLOCKS)
         elif key in ("hidden", "aria-hidden"):
             bad = bad or value in ("", "hidden", "true")
-    return name + "!" * bad
+    return bad or comments, comments
+
+
+class _Element:
+    __slots__ = ("name", "bad", "comments", "root", "node")
+
+    def __init__(self, name: str, bad: bool, comments: bool, node: list) -> None:
+        self.name, self.bad, self.comments, self.root, self.node = name, bad, comments, name in ROOTS, node
 
 
 def tree(page: str | None) -> list:
-    """The page as [label, children]; texts are [slot label, text], "#" or, wholly in links, "#a"."""
+    """The page as [label, children]; a text is ["#" and its use, text, whether it is wholly in links].
+
+    Use 2: in an article or main element; 1: outside; 0: in an element that holds no main text. Names of elements
+    around the page's first article do not count against it (unless they hold comments).
+    """
     page = page or ""
     root: list = ["", []]
-    stack, text, links, outside = [root], [], 0, False
-    at, n = 0, len(page)
+    stack, text, links, outside = [_Element("", False, False, root)], [], 0, False
+    muted, rooted, at, n = [], False, 0, len(page)
 
     def flush() -> None:
         nonlocal outside
-        block = " ".join(html.unescape("".join(text)).split())
+        block = " ".join("".join(text).split())
         if block:
-            stack[-1][1].append(["#" if outside else "#a", block])
+            use = 0 if any(e.bad for e in stack) else 2 if any(e.root for e in stack) else 1
+            stack[-1].node[1].append([f"#{use}", block, not outside])
         text.clear()
         outside = False
 
     def add(piece: str) -> None:
         nonlocal outside
-        if piece:
-            text.append(piece)
+        if piece and not muted:
+            text.append(html.unescape(piece))
             outside = outside or (not links and not piece.isspace())
 
-    def close(name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0].rstrip("!") == name:
-                del stack[k:]
-                return
-
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
@@ -104,24 +139,41 @@ def tree(page: str | None) -> list:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else n
         elif name == "a":
-            links = max(0, links - 1) if end else links + 1
+            links = 0 if end else 1
         elif name == "br":
             text.append(" ")
         elif name in BLOCKS:
+            hidden = bool(muted)
+            muted.clear()
             flush()
             if end:
-                close(name)
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        del stack[k:]
+                        break
                 continue
-            top = stack[-1][0].rstrip("!")
-            if top == "p" and name in PARAGRAPHS:
+            if stack[-1].name == "p" and name in PARAGRAPHS:
                 stack.pop()
             for other in CLOSES.get(name, ()):
-                if stack[-1][0].rstrip("!") == other:
+                if stack[-1].name == other:
                     stack.pop()
-            node = [label(name, attributes), []]
-            stack[-1][1].append(node)
+            bad, comments = judged(name, attributes)
+            inside = name == "header" and any(e.root for e in stack)
+            bad = hidden or (not inside if name == "header" else bad)
+            if name in ROOTS and not rooted and not bad and not any(e.comments for e in stack):
+                rooted = True
+                for e in stack:
+                    e.bad = False
+            node = [name + "!" * bad, []]
+            stack[-1].node[1].append(node)
             if name not in VOID and not attributes.rstrip().endswith("/"):
-                stack.append(node)
+                stack.append(_Element(name, bad, comments, node if len(stack) < DEEP else stack[-1].node))
+        elif muted:
+            # Within an inline element that holds no main text: up to its own end.
+            if name == muted[0]:
+                muted.pop() if end else muted.append(name)
+        elif not end and name not in VOID and attributes and judged(name, attributes)[0]:
+            muted.append(name)
     add(page[at:])
     flush()
     return root
@@ -139,8 +191,10 @@ def _same(a: list, b: list) -> bool:
 
 
 def folded(items: list) -> list:
-    """Equal neighbours and equal neighbouring groups become repeated."""
+    """Equal neighbours and equal neighbouring groups become repeated; too many that stay apart, one group of all."""
     for period in range(1, PERIOD + 1):
+        if len(items) <= period:
+            break
         out: list = []
         k = 0
         while k < len(items):
@@ -157,7 +211,20 @@ def folded(items: list) -> list:
             out.append([node[0], quantifier(node[1] in ("?", "*"), True), node[2]])
             k += times * period
         items = out
-    return items
+    return items if len(items) <= WIDE else [["()", "*", mixed(items)]]
+
+
+def mixed(items: list) -> list:
+    """Each label once, optional, with what all its elements hold."""
+    by: dict[str, list] = {}
+    left = list(reversed(items))
+    while left:
+        x = left.pop()
+        if x[0] == "()":
+            left += reversed(x[2])
+        else:
+            by[x[0]] = joined(by[x[0]], x) if x[0] in by else x
+    return [[x[0], quantifier(True, x[1] in ("+", "*")), x[2]] for x in by.values()]
 
 
 def joined(a: list, b: list) -> list:
@@ -167,7 +234,7 @@ def joined(a: list, b: list) -> list:
 
 
 def aligned(a: list, b: list) -> list:
-    """Children of both: what a longest common subsequence of labels pairs is joined, the rest is optional."""
+    """Children of both (at most WIDE each): what a longest common subsequence of labels pairs is joined, the rest is optional."""
     if a == b:
         return a
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -192,60 +259,93 @@ def expression(node: list) -> list:
     return [node[0], "", [] if node[0].startswith("#") else folded([expression(c) for c in node[1]])]
 
 
-def labelled(wrapper: list) -> list:
-    """[label, quantifier, children, use]: slots of use 2 lie in a root of main text, of 1 are text outside it, of 0 neither."""
-
-    def walk(node: list, inside: bool, bad: bool) -> list:
-        name = node[0].rstrip("!")
-        dropped = node[0].endswith("!") or (name == "header" and not inside)
-        bad, inside = bad or dropped, inside or name in ROOTS
-        use = 0 if bad else 2 if inside else int(node[0] != "#a")
-        return [node[0], node[1], [walk(c, inside, bad) for c in node[2]], use]
-
-    return walk(wrapper, False, False)
-
+class Wrapper:
+    """A host's expression as frames: what may stand in an element, in order, and its text places.
 
-def united(nodes: list) -> dict:
-    """What may lie in these elements: use and, in turn, contents by label, of all their slots of that label.
-
-    A use follows from the labels down to a slot, so slots of one label and place are of one use.
+    A page's element may go to any of the places of its label, so each of these holds what all of them hold. Frames are
+    made as pages lead to them. A place's number follows from the way to it.
     """
-    slots: dict[str, list] = {}
 
-    def add(items: list) -> None:
-        for c in items:
+    def __init__(self, text: str) -> None:
+        self._top = _Frame(json.loads(text), 1, False, False)
+
+    def texts(self, page: list) -> Iterator[tuple[int, int, bool, str, bool]]:
+        """(place, use, whether it is a fixed one, text, wholly in links) of a page of this host, in page order.
+
+        Children go along the wrapper's elements; where none of their label is left they start again from its first,
+        as in a repeated group. A label without a place is an error: every page has gone into its wrapper.
+        """
+        todo = [(iter(page[1]), self._top, 0)]
+        while todo:
+            children, frame, at = todo.pop()
+            for node in children:
+                spots = frame.where[node[0]]
+                k = bisect_left(spots, at)
+                spot = spots[k] if k < len(spots) else spots[0]
+                many = frame.many[spot]
+                at = spot if many else spot + 1
+                if node[0].startswith("#"):
+                    yield frame.number(spot), int(node[0][1:]), not (many or frame.again or frame.heading), node[1], node[2]
+                elif node[1]:
+                    todo.append((children, frame, at))
+                    todo.append((iter(node[1]), frame.inner(node[0], spot), 0))
+                    break
+
+
+class _Frame:
+    def __init__(self, node: list, number: int, again: bool, heading: bool) -> None:
+        self._number, self.again, self.heading = number, again, heading
+        self.many: list[bool] = []
+        self.where: dict[str, list[int]] = {}
+        self._nodes: dict[str, list[list]] = {}
+        self._united: dict[str, list] = {}
+        self._inner: dict[int, _Frame] = {}
+        items = [(c, c[1] in ("+", "*")) for c in reversed(node[2])]
+        while items:
+            c, many = items.pop()
             if c[0] == "()":
-                add(c[2])
-            else:
-                slots.setdefault(c[0], []).append(c)
+                items += [(x, many or x[1] in ("+", "*")) for x in reversed(c[2])]
+                continue
+            self.where.setdefault(c[0], []).append(len(self.many))
+            self._nodes.setdefault(c[0], []).append(c)
+            self.many.append(many)
 
-    for node in nodes:
-        add(node[2])
-    return {name: (of[0][3], united(of)) for name, of in slots.items()}
+    def number(self, spot: int) -> int:
+        return (self._number * 6364136223846793005 + spot + 1442695040888963407) & (1 << 63) - 1
 
+    def inner(self, label: str, spot: int) -> _Frame:
+        if spot not in self._inner:
+            if label not in self._united:
+                self._united[label] = reduce(joined, self._nodes[label])
+            heading = self.heading or label in HEADINGS
+            self._inner[spot] = _Frame(self._united[label], self.number(spot), self.again or self.many[spot], heading)
+        return self._inner[spot]
 
-def read(page: list, wrapper: list) -> str:
-    """The main text of a page's tree through its host's labelled wrapper, blocks joined by line ends.
 
-    Slots in a root of main text count; where these hold nothing, the other text slots do. Each child finds
-    its slot among all of its label, as alignment only joins or adds nodes; one without a slot is an error.
-    """
-    return _read(page, united([wrapper]))
+def read(page: list, wrapper: Wrapper, template: dict[tuple[int, int], tuple[int, int]], menus: set[int]) -> str:
+    """The main text of a page's tree through its host's wrapper, blocks joined by line ends.
 
+    template: (place, hash of a text) to the pages that have it there and the pages that have the place; menus: places
+    that are mostly links. Texts of use 2 count but for notices of the template; without any, those of use 1 that are
+    neither template nor menu; where this leaves nothing, all of use 1 that is not wholly links.
+    """
+    found: list[list[str]] = [[], [], []]
+    for place, use, fixed, text, linked in wrapper.texts(page):
+        n, of = template.get((place, mark(text)), (0, 1))
+        if use == 2:
+            if not fixed or n < INSIDE[0] or n < INSIDE[1] * of:
+                found[2].append(text)
+        elif use == 1:
+            if not linked:
+                found[0].append(text)
+            if place not in menus and (n < OUTSIDE[0] or n < OUTSIDE[1] * of):
+                found[1].append(text)
+    return "\n".join(found[2] or found[1] or found[0])
 
-def _read(page: list, frame: dict) -> str:
-    found: dict[int, list[str]] = {0: [], 1: [], 2: []}
-
-    def walk(node: list, frame: dict) -> None:
-        for name, inner in node[1]:
-            use, within = frame[name]
-            if name.startswith("#"):
-                found[use].append(inner)
-            else:
-                walk([name, inner], within)
 
-    walk(page, frame)
-    return "\n".join(found[2] or found[1])
+def mark(text: str) -> int:
+    """A 64-bit hash of a text, the same in each process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def host_of(url: Column) -> Column:
@@ -284,21 +384,66 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return saved(trees.groupBy("host").applyInPandas(merge, "host string, tree string").withColumnRenamed("tree", "wrapper"), "wrappers")
 
 
+def _with_models(pages: DataFrame, models: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html) with their hosts' models. A host's pages are never all sent to one task."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_host"))
+    if models.count() <= SENT_HOSTS:
+        return rows.join(F.broadcast(models), F.col("_host") == F.col("host"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
+    models = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return rows.join(models, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("salt")))
+
+
+def places(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """What the texts of all pages say of the places of their host's wrapper: host, template, menus.
+
+    template: (place, hash, n, pages) of texts on at least half of the pages that have the place, and on two at least:
+    a place has few such texts, however many pages there are. Pages of equal html count as one.
+    """
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Wrapper] = {}
+        for b in batches:
+            out = []
+            for host, page, text in zip(b["host"], b["html"], b["wrapper"]):
+                wrapper = known.get(text) or known.setdefault(text, Wrapper(text))
+                own, page_mark = {}, mark(page or "")
+                for place, use, _, block, linked in wrapper.texts(tree(page)):
+                    if use:
+                        own[place, mark(block)] = (len(block), len(block) * linked)
+                out += [(host, page_mark, *k, *v) for k, v in own.items()]
+            yield pd.DataFrame(out, columns=["host", "page", "place", "text", "chars", "linked"])
+
+    rows = _with_models(pages, made).select("host", "html", "wrapper").mapInPandas(lay, "host string, page long, place long, text long, chars long, linked long")
+    rows = saved(rows.distinct(), "places")
+    whole = rows.groupBy("host", "place", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("pages"), (2 * F.sum("linked") > F.sum("chars")).alias("menu"))
+    whole = saved(whole, "places")
+    texts = rows.groupBy(F.col("host").alias("_host"), F.col("place").alias("_place"), "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OUTSIDE[0])
+    texts = texts.join(whole, (F.col("_host") == F.col("host")) & (F.col("_place") == F.col("place"))).filter(F.col("n") >= OUTSIDE[1] * F.col("pages"))
+    texts = texts.groupBy("_host").agg(F.collect_list(F.struct("place", "text", "n", "pages")).alias("template"))
+    menus = whole.filter("menu").groupBy(F.col("host").alias("_menu")).agg(F.collect_list("place").alias("menus"))
+    out = made.join(texts, F.col("host") == F.col("_host"), "left").join(menus, F.col("host") == F.col("_menu"), "left")
+    return saved(out.select("host", "wrapper", F.to_json(F.struct("template", "menus")).alias("seen")), "models")
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row: page_id, url, text, n_chars. Null html is empty; null urls share one host; an empty table gives no rows."""
+    """Per row: page_id, url, text, n_chars; extra columns are not carried.
+
+    Null html is empty and gives an empty text; null urls share one host; rows that repeat a page give equal rows (and
+    count once for the template); an empty table gives no rows. Unclosed, very deep and very long pages are read whole.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
+        known: dict[str, tuple] = {}
         for b in batches:
             texts = []
-            for page, wrapper in zip(b["html"], b["wrapper"]):
-                if wrapper not in known:
-                    known[wrapper] = united([labelled(json.loads(wrapper))])
-                texts.append(_read(tree(page), known[wrapper]))
+            for page, text, seen in zip(b["html"], b["wrapper"], b["seen"]):
+                if (text, seen) not in known:
+                    told = json.loads(seen)
+                    template = {(t["place"], t["text"]): (t["n"], t["pages"]) for t in told.get("template") or ()}
+                    known[text, seen] = (Wrapper(text), template, set(told.get("menus") or ()))
+                texts.append(read(tree(page), *known[text, seen]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    made = wrappers(pages)
-    if made.count() <= SENT_HOSTS:
-        made = F.broadcast(made)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_host"))
-    return rows.join(made, F.col("_host") == F.col("host")).select("page_id", "url", "html", "wrapper").mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    models = places(pages, wrappers(pages))
+    return _with_models(pages, models).select("page_id", "url", "html", "wrapper", "seen").mapInPandas(work, "page_id long, url string, text string, n_chars long")
