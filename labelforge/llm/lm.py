@@ -1,17 +1,24 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy scores documents.
 
-Words stand for one of SLOTS vocabulary slots: the most frequent words of all documents have their own, the
-rest share hashed ones. Each token is predicted from REACH tokens on either side, itself masked:
+Words stand for one of a number of slots that grows as the square root of the corpus: the most frequent words of all
+documents have their own, the rest share hashed ones. Each token is predicted from REACH tokens on either side,
+itself masked:
     hidden = tanh(sum over offsets of position weight * embedding),
-    P(slot) = P(class of slot | hidden) * P(slot | class, hidden).
-A document's score is the sum of these conditional log-probabilities over all its tokens.
-Training is data-parallel: each partition runs the same start through its documents, parameters are
-averaged by tokens in a tree of small groups, and the mean starts the next round.
+    P(word) = P(class of slot | hidden) * P(slot | class, hidden) * P(word | slot),
+the last by the counts of all documents. A document's score is the sum of these conditional log-probabilities over
+all its tokens.
+
+Training sees every token of every document once. Documents are dealt by a hash of id and text to rounds and, in each,
+to shards, whose number follows the tokens; a shard is gone through in the order of that hash. So the result does not
+depend on how the table's files lie. Shards of a round start from the same parameters, which are averaged by tokens in
+a tree of small groups, and the mean starts the next round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -22,171 +29,279 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-CLASSES, MEMBERS, WIDTH, REACH = 32, 32, 24, 2
-SLOTS = CLASSES * MEMBERS
-#: Slots of their own for the most frequent words; the last slot stands beyond a document's ends.
-OWN = 640
-EDGE = SLOTS - 1
-#: The rounds share out the tokens of every document: together they learn from each token once.
-ROUNDS, STEP, BATCH = 2, 0.3, 512
+WIDTH, REACH = 24, 2
+#: Slots at least; of all slots this share are own ones, and so many times more words have a count of their own.
+LEAST_SLOTS, OWN_SHARE, LISTED = 256, 0.625, 4
+#: Rounds of training, the step, tokens in a step, and tokens of a shard in a round, about.
+ROUNDS, STEP, BATCH, SHARD_TOKENS = 4, 0.5, 1024, 200_000
 #: Parameter vectors that the driver averages at once, at most.
 FEW = 64
 PIECE_BYTES = 1 << 21
 OFFSETS = tuple(d for d in range(-REACH, REACH + 1) if d)
-SHAPES = {
-    "emb": (SLOTS, WIDTH), "pos": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "cls": (CLASSES, WIDTH), "clsb": (CLASSES,),
-    "out": (CLASSES, MEMBERS, WIDTH), "outb": (CLASSES, MEMBERS),
-}
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[k] = flat[at : at + n].reshape(shape)
-        at += n
+
+
+@dataclass
+class Vocabulary:
+    """Slots and what the corpus's counts say of them."""
+
+    classes: int
+    members: int
+    words: list[str]  # by count; the first `own` have slots of their own
+    own: int
+    tokens: int  # of all documents
+    share: np.ndarray  # of all tokens, by slot
+    listed: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log P(word | slot) of words
+    other: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the same of a word that is not listed, by slot
+
+    @property
+    def edge(self) -> int:
+        """The slot beyond a document's ends."""
+        return self.classes * self.members - 1
+
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        c, m = self.classes, self.members
+        return {"emb": (c * m, WIDTH), "pos": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "cls": (c, WIDTH), "clsb": (c,), "out": (c, m, WIDTH), "outb": (c, m)}
+
+    def unpack(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            out[k] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
+
+    def hashed(self, words: list[str]) -> np.ndarray:
+        """Slots of words without one of their own."""
+        own = self.own
+        return own + (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(self.edge - own)).astype(np.int64)
+
+
+def words_of(texts: pa.Array) -> pa.Array:
+    """Each text's words, lower-cased, split at ASCII white space (with empty ones at the ends). Null: none."""
+    return pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of PIECE_BYTES at most (or one longer text)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    low = 0
+    while low < len(sizes):
+        high, held = low + 1, int(sizes[low])
+        while high < len(sizes) and held + sizes[high] <= PIECE_BYTES:
+            held += int(sizes[high])
+            high += 1
+        yield low, high
+        low = high
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n of all documents; counted per piece before anything is shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in pieces(batch.column(0)):
+                met = pc.value_counts(words_of(batch.column(0).slice(low, high - low)).flatten())
+                yield pa.RecordBatch.from_arrays([met.field("values"), met.field("counts")], ["word", "n"])
+
+    made = docs.select("text").mapInArrow(work, "word string, n long").filter("word <> ''")
+    return saved(made.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From the counts of all documents. The driver gets as many words as the square root of the tokens, in proportion."""
+    counts = word_counts(docs)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(int(math.log2(LEAST_SLOTS)), math.ceil(math.log2(math.sqrt(max(1, total)))))
+    slots, own = 1 << bits, int(OWN_SHARE * (1 << bits))
+    top = counts.orderBy(F.desc("n"), "word").limit(own * (1 + LISTED)).collect()
+    out = Vocabulary(1 << bits // 2, 1 << bits - bits // 2, [r[0] for r in top], own, total, np.zeros(slots))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = out.hashed(batch.column(0).to_pylist())
+            n = np.bincount(at, batch.column(1).to_numpy(), slots).astype(np.int64)
+            words = np.bincount(at, minlength=slots).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(words)), pa.array(n[words > 0]), pa.array(words[words > 0])], ["slot", "n", "words"])
+
+    # Words in hashed slots: all but the own ones.
+    least = (top[own - 1][1], top[own - 1][0]) if len(top) >= own else (0, "")
+    rest = counts.filter((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
+    n, words = np.zeros(slots), np.zeros(slots)
+    for r in rest.mapInArrow(work, "slot long, n long, words long").groupBy("slot").agg(F.sum("n"), F.sum("words")).collect():
+        n[r[0]], words[r[0]] = r[1], r[2]
+    seen = np.array([r[1] for r in top], float)
+    n[: min(own, len(top))] = seen[:own]
+    out.share = (n + 0.5) / (n + 0.5).sum()
+    at = out.hashed(out.words[own:]) if len(top) > own else np.zeros(0, np.int64)
+    # An unseen word counts half a token in its slot.
+    listed_n, listed_w = np.bincount(at, seen[own:], slots), np.bincount(at, minlength=slots)
+    out.listed = np.concatenate([np.zeros(min(own, len(top))), np.log(seen[own:] / (n[at] + 0.5))])
+    out.other = np.log((n - listed_n + 0.5) / (n + 0.5) / np.maximum(1, words - listed_w))
     return out
 
 
-def first_parameters(share: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Random embeddings; the output biases start at the slots' shares of all tokens."""
+def first_parameters(v: Vocabulary, seed: int = 7) -> np.ndarray:
+    """Random embeddings; the output biases start at the slots' shares of all tokens, the output weights at 0."""
     rng = np.random.default_rng(seed)
-    flat = rng.normal(0, 0.1, sum(int(np.prod(s)) for s in SHAPES.values())).astype(np.float32)
-    p = unpack(flat)
+    flat = rng.normal(0, 0.1, sum(int(np.prod(s)) for s in v.shapes.values())).astype(np.float32)
+    p = v.unpack(flat)
     p["pos"][:] = 1
     p["bias"][:] = 0
-    by_class = share.reshape(CLASSES, MEMBERS)
+    p["cls"][:] = 0
+    p["out"][:] = 0
+    by_class = v.share.reshape(v.classes, v.members)
     p["clsb"][:] = np.log(by_class.sum(1))
     p["outb"][:] = np.log(by_class / by_class.sum(1, keepdims=True))
     return flat
 
 
-def frequent_words(docs: DataFrame, n: int = OWN) -> tuple[list[str], np.ndarray]:
-    """The n most frequent words of all documents (ties by word; lower-cased) and each slot's share of all tokens."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    counts = saved(words.groupBy("word").count(), "words")
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("count"), "word").limit(n).collect()
-    share = np.full(SLOTS, 0.5)
-    share[: len(top)] += [r[1] for r in top]
-    share[OWN:EDGE] += max(0, total - sum(r[1] for r in top)) / (EDGE - OWN)
-    return [r[0] for r in top], share / share.sum()
-
-
-def slots(texts: pa.Array, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens as slots, with REACH edge slots before and after each text, and the texts' first places."""
-    parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+def slots(texts: pa.Array, v: Vocabulary, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens as slots, the number of each text's tokens, and the sum of log P(word | slot) over them."""
+    parts = words_of(texts)
     coded = pc.dictionary_encode(parts.flatten())
     words = coded.dictionary
-    at = pc.index_in(words, value_set=own).fill_null(-1).to_numpy().astype(np.int64)
-    rest = np.flatnonzero(at < 0)
+    at = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
+    slot, log = at.copy(), np.zeros(len(at))
+    log[at >= 0] = v.listed[at[at >= 0]]
+    rest = np.flatnonzero((at < 0) | (at >= v.own))
     if len(rest):
-        hashed = pd.util.hash_array(np.array(words.take(pa.array(rest)).to_pylist(), object), categorize=False)
-        at[rest] = OWN + (hashed % np.uint64(EDGE - OWN)).astype(np.int64)
+        slot[rest] = v.hashed(words.take(pa.array(rest)).to_pylist())
+    log[at < 0] = v.other[slot[at < 0]]
     rows = coded.indices.to_numpy(zero_copy_only=False)
     full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[rows] if len(rows) else np.zeros(0, bool)
     edge = np.concatenate([[0], np.cumsum(full)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-    sizes = np.diff(edge)
-    starts = np.cumsum(sizes + 2 * REACH) - sizes - REACH
-    out = np.full(int((sizes + 2 * REACH).sum()), EDGE, np.int32)
-    ids = at[rows[full]]
-    out[np.repeat(starts - edge[:-1], sizes) + np.arange(len(ids))] = ids
-    return out, np.stack([starts, sizes])
+    sums = np.concatenate([[0.0], np.cumsum(log[rows[full]])])[edge]
+    return slot[rows[full]], np.diff(edge), np.diff(sums)
 
 
-def forward(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray):
+def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFrame:
+    """Per row: doc_id, turn, shard, place (a hash of id and text), n_tokens, inner (log P of words in slots), ids (u32)."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, listed = sent.value, pa.array(sent.value.words, pa.string())
+        for batch in batches:
+            for low, high in pieces(batch.column(2)):
+                ids, sizes, inner = slots(batch.column(2).slice(low, high - low), v, listed)
+                held = [x.tobytes() for x in np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).slice(low, high - low) for k in (0, 1)], pa.array(sizes.astype(np.int64)), pa.array(inner), pa.array(held, pa.binary())],
+                    ["doc_id", "place", "n_tokens", "inner", "ids"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("place"), "text")
+    made = rows.mapInArrow(work, "doc_id long, place long, n_tokens long, inner double, ids binary")
+    turn, shard = F.pmod("place", F.lit(rounds)), F.pmod(F.shiftright("place", 16), F.lit(shards))
+    return saved(made.withColumn("turn", turn.cast("int")).withColumn("shard", shard.cast("int")), "slots")
+
+
+def stream_of(ids: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of documents with REACH edge slots before and after each, and where the tokens stand."""
+    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+    at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * 2 * REACH + REACH, sizes)
+    out = np.full(len(flat) + 2 * REACH * len(sizes), v.edge, np.int64)
+    out[at] = flat
+    return out, at
+
+
+def forward(v: Vocabulary, p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray):
     """Log-probabilities of the tokens at these places, and what the gradient needs."""
     near = np.stack([stream[at + d] for d in OFFSETS])
     seen = p["emb"][near]
-    hidden = np.tanh((seen * p["pos"][:, None]).sum(0) + p["bias"])
-    own = stream[at]
-    cls, member = np.divmod(own, MEMBERS)
+    hidden = np.tanh(np.einsum("dnw,dw->nw", seen, p["pos"]) + p["bias"])
+    cls, member = np.divmod(stream[at], v.members)
     a = hidden @ p["cls"].T + p["clsb"]
-    a = np.exp(a - a.max(1, keepdims=True))
+    a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(1, keepdims=True)
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    b = np.empty((len(at), MEMBERS), np.float32)
-    for c in range(CLASSES):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            b[rows] = hidden[rows] @ p["out"][c].T + p["outb"][c]
-    b = np.exp(b - b.max(1, keepdims=True))
+    cuts = np.searchsorted(cls[order], np.arange(v.classes + 1))
+    b = np.empty((len(at), v.members), np.float32)  # rows in the order of classes
+    by_class = hidden[order]
+    for c in np.flatnonzero(np.diff(cuts)):
+        r = slice(cuts[c], cuts[c + 1])
+        np.matmul(by_class[r], p["out"][c].T, out=b[r])
+        b[r] += p["outb"][c]
+    b -= b.max(1, keepdims=True)
+    np.exp(b, out=b)
     b /= b.sum(1, keepdims=True)
     rows = np.arange(len(at))
-    logs = np.log(np.maximum(a[rows, cls], 1e-30)) + np.log(np.maximum(b[rows, member], 1e-30))
+    logs = np.log(np.maximum(a[rows, cls], 1e-30))
+    logs[order] += np.log(np.maximum(b[rows, member[order]], 1e-30))
     return logs, (near, seen, hidden, cls, member, a, b, order, cuts)
 
 
-def learn(flat: np.ndarray, stream: np.ndarray, at: np.ndarray, step: float = STEP) -> None:
+def learn(v: Vocabulary, flat: np.ndarray, stream: np.ndarray, at: np.ndarray, step: float = STEP) -> None:
     """Stochastic gradient steps on the tokens at these places, in place."""
-    p = unpack(flat)
+    p = v.unpack(flat)
     for low in range(0, len(at), BATCH):
         some = at[low : low + BATCH]
-        _, (near, seen, hidden, cls, member, a, b, order, cuts) = forward(p, stream, some)
+        _, (near, seen, hidden, cls, member, a, b, order, cuts) = forward(v, p, stream, some)
         rate, rows = np.float32(step / len(some)), np.arange(len(some))
         a[rows, cls] -= 1
-        b[rows, member] -= 1
-        back = a @ p["cls"]
+        b[rows, member[order]] -= 1
+        back, by_class = a @ p["cls"], hidden[order]
         for c in np.flatnonzero(np.diff(cuts)):
-            r = order[cuts[c] : cuts[c + 1]]
-            back[r] += b[r] @ p["out"][c]
-            p["out"][c] -= rate * 8 * (b[r].T @ hidden[r])
+            r = slice(cuts[c], cuts[c + 1])
+            back[order[r]] += b[r] @ p["out"][c]
+            p["out"][c] -= rate * 8 * (b[r].T @ by_class[r])
             p["outb"][c] -= rate * 8 * b[r].sum(0)
         p["cls"] -= rate * (a.T @ hidden)
         p["clsb"] -= rate * a.sum(0)
         back *= 1 - hidden * hidden
         p["bias"] -= rate * back.sum(0)
         moved = back[None] * p["pos"][:, None]
-        p["pos"] -= rate * (seen * back[None]).sum(1)
+        p["pos"] -= rate * np.einsum("dnw,nw->dw", seen, back)
         by_slot = np.argsort(near, axis=None, kind="stable")
         met = near.ravel()[by_slot]
         first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
         p["emb"][met[first]] -= rate * 8 * np.add.reduceat(moved.reshape(-1, WIDTH)[by_slot], first)
 
 
-def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int]]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    low = 0
-    while low < len(sizes):
-        high, held = low + 1, int(sizes[low])
-        while high < len(sizes) and held + sizes[high] <= PIECE_BYTES:
-            held += int(sizes[high])
-            high += 1
-        yield low, high
-        low = high
-
-
-def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Where the tokens of these documents stand in their stream."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
-def targets(starts: np.ndarray, sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """The tokens to learn from in a round: every rounds-th, so each token is a target of one round."""
-    return places(starts, sizes)[turn % rounds :: rounds]
-
-
-def train(docs: DataFrame, words: list[str], share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after the rounds; the same input in the same partitions gives the same ones."""
-    sc, flat = docs.sparkSession.sparkContext, first_parameters(share)
+def train(rows: DataFrame, v: Vocabulary, shards: int, rounds: int) -> np.ndarray:
+    """Parameters after the rounds, from prepared rows: each token of each document is a target once."""
+    sc, flat = rows.sparkSession.sparkContext, first_parameters(v)
     for turn in range(rounds):
-        sent = sc.broadcast((flat, words, turn))
+        sent = sc.broadcast((v, flat))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+            v, start = sent.value
+            shard, flat, n, held, size = None, start, 0, [], 0
+
+            def take() -> None:
+                nonlocal n, size
+                if held:
+                    stream, at = stream_of(pa.concat_arrays(held), v)
+                    learn(v, flat, stream, at)
+                    n, size = n + len(at), 0
+                    held.clear()
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "flat"])
 
-            start, own, turn = sent.value
-            flat, own, n = start.copy(), pa.array(own, pa.string()), 0
             for batch in batches:
-                for low, high in batches_of(batch, 0):
-                    stream, (starts, sizes) = slots(batch.column(0).slice(low, high - low), own)
-                    at = targets(starts, sizes, turn, rounds)
-                    learn(flat, stream, at)
-                    n += len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "flat"])
-
-        made = saved(docs.select("text").mapInArrow(work, "part long, n long, flat binary"), "parameters")
+                names = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(names)) + 1), len(names)]
+                for low, high in zip(cuts, cuts[1:]):
+                    if high > low and names[low] != shard:
+                        if shard is not None:
+                            take()
+                            yield told()
+                        shard, flat, n = int(names[low]), start.copy(), 0
+                    # Steps are of the same tokens however rows come in batches: a step starts anew only every PIECE.
+                    for k in range(low, high):
+                        held.append(batch.column(1).slice(k, 1))
+                        size += len(held[-1][0].as_py())
+                        if size >= PIECE_BYTES // 8:
+                            take()
+            if shard is not None:
+                take()
+                yield told()
+
+        part = rows.filter(F.col("turn") == turn).select("shard", "ids", "place", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "ids")
+        made = saved(part.select("shard", "ids").mapInArrow(work, "part long, n long, flat binary"), "parameters")
         many = made.count()
         while many > FEW:
             many = -(-many // FEW)
@@ -199,37 +314,44 @@ def train(docs: DataFrame, words: list[str], share: np.ndarray, rounds: int = RO
 
 
 def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()))
     pdf = pdf.sort_values("part")
+    total = np.zeros(len(pdf["flat"].iloc[0]) // 4)
     for n, flat in zip(pdf["n"], pdf["flat"]):
         total += n * np.frombuffer(flat, np.float32).astype(float)
     n = int(pdf["n"].sum())
     return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [n], "flat": [(total / max(1, n)).astype(np.float32).tobytes()]})
 
 
-def scores(docs: DataFrame, flat: np.ndarray, words: list[str]) -> DataFrame:
-    """Per row: doc_id, n_tokens, log_prob (their sum), mean_log_prob, perplexity; the last two null without tokens.
-
-    Equal texts have equal scores up to rounding; null text counts as empty.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((flat, words))
+def scores(rows: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """Per prepared row: doc_id, n_tokens, log_prob (their sum), mean_log_prob, perplexity."""
+    sent = rows.sparkSession.sparkContext.broadcast((v, flat))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, own = sent.value
-        p, own = unpack(flat), pa.array(own, pa.string())
+        v, flat = sent.value
+        p = v.unpack(flat)
         for batch in batches:
-            for low, high in batches_of(batch, 1):
-                stream, (starts, sizes) = slots(batch.column(1).slice(low, high - low), own)
-                at = places(starts, sizes)
-                logs = np.concatenate([forward(p, stream, at[k : k + 16384])[0] for k in range(0, len(at), 16384)] or [np.zeros(0)])
+            for low, high in pieces(batch.column(3)):
+                ids = batch.column(3).slice(low, high - low)
+                stream, at = stream_of(ids, v)
+                logs = np.concatenate([forward(v, p, stream, at[k : k + 8192])[0] for k in range(0, len(at), 8192)] or [np.zeros(0)])
+                sizes = batch.column(1).slice(low, high - low).to_numpy()
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=float)])[np.concatenate([[0], np.cumsum(sizes)])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes.astype(np.int64)), pa.array(sums)], ["doc_id", "n_tokens", "log_prob"])
+                sums = sums + batch.column(2).slice(low, high - low).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "log_prob"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, log_prob double")
+    out = rows.select("doc_id", "n_tokens", "inner", "ids").mapInArrow(work, "doc_id long, n_tokens long, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return rows.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
+    return out.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    words, share = frequent_words(docs)
-    return scores(docs, train(docs, words, share, rounds), words)
+    """Per row: doc_id, n_tokens, log_prob, mean_log_prob, perplexity of a model trained on all these documents.
+
+    Null text counts as empty: no tokens, log_prob 0, the last two null. Equal texts have equal scores up to rounding.
+    Rows that repeat are learned from and scored each for itself. Words of equal count are taken in their own order.
+    Columns other than doc_id and text are not read; an empty table gives no rows.
+    """
+    v = vocabulary(docs)
+    shards = max(1, round(v.tokens / rounds / SHARD_TOKENS))
+    rows = prepared(docs, v, shards, rounds)
+    return scores(rows, v, train(rows, v, shards, rounds))
