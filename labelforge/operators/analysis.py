@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.terms import TERMS
 
 
 def term_pattern(term: Column) -> Column:
@@ -25,12 +28,17 @@ def matched_terms(items: Column, category: str) -> Column:
     """The category's terms, in order, that any item holds.
 
     A word of letters and digits stands between other characters exactly if it is one of the tokens between
-    them, so words are looked up among the tokens and only terms of several words are searched.
+    them, so words are looked up among the tokens and only terms of several words or with marks are searched.
     """
     low = F.transform(items, F.lower)
     tokens = F.array_distinct(F.flatten(F.transform(low, lambda i: F.split(i, "[^a-z0-9]+"))))
-    terms = F.array(*[F.lit(t) for t in fixed.TERMS[category]])
-    return F.filter(terms, lambda t: F.when(t.contains(" "), F.exists(low, lambda i: i.contains(t))).otherwise(F.array_contains(tokens, t)))
+    terms = F.array(*[F.lit(t) for t in TERMS[category]])
+    plain = F.filter(terms, lambda t: F.when(t.contains(" "), F.exists(low, lambda i: i.contains(t))).otherwise(F.array_contains(tokens, t)))
+    marked = [t for t in TERMS[category] if not re.fullmatch("[a-z0-9]+", t) and " " not in t]
+    if not marked:
+        return plain
+    found = F.concat(plain, F.filter(F.array(*[F.lit(t) for t in marked]), lambda t: F.exists(items, lambda i: contains_term(i, t))))
+    return F.filter(terms, lambda t: F.array_contains(found, t))
 
 
 def rule_warnings(items: Column, profile: dict[str, Column] | None = None) -> Column:

@@ -141,3 +141,11 @@ def corrected_lists(lists: DataFrame, vocabulary: DataFrame | None, aliases: Dat
     tidy = F.filter(F.transform(F.filter(text.distinct_items(F.col("items")), lambda x: ~text.is_warning_prefix(x)), text.post_process), lambda x: F.length(x) > 1)
     none = F.array().cast("array<string>")
     return lists.select(key).join(made.withColumn("items", tidy), key, "left").withColumn("items", F.coalesce("items", none))
+
+
+def corrected_text(rows: DataFrame, column: str, vocabulary: DataFrame | None, aliases: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows with the text split into items, corrected and joined again; texts that leave no item stay as they are."""
+    items = rows.select(key, text.split_ingredients(F.coalesce(column, F.lit(""))).alias("items"))
+    made = corrected_lists(items, vocabulary, aliases, key).select(F.col(key).alias("_key"), F.array_join("items", ", ").alias("_text"))
+    out = rows.join(made, rows[key] == F.col("_key"), "left")
+    return out.withColumn(column, F.coalesce(F.nullif("_text", F.lit("")), F.col(column))).drop("_key", "_text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.terms import TERMS
 from ..operators import analysis as op
 from ..session import table
 from ..sources import views
@@ -18,18 +19,23 @@ def scans(spark, d):
 
 
 _SCAN = "scan AS (SELECT doc_id AS scan_id, doc_id % (SELECT count(*) FROM customer) AS user_id, items FROM v_lists)"
-_TERMS = "terms(rank, ord, cat, words, term) AS (VALUES " + ", ".join(f"({r}, {o}, '{cat}', {s.q(words)}, {s.q(t)})" for r, (_, cat, words) in enumerate(fixed.RULES) for o, t in enumerate(fixed.TERMS[cat])) + ")"
+#: Categories of the rules in their order, then those that no rule asks for.
+_CATEGORIES = [(cat, words) for _, cat, words in fixed.RULES] + [(cat, "") for cat in TERMS if cat not in {c for _, c, _ in fixed.RULES}]
+_TERMS = "terms(rank, ord, cat, words, term) AS (VALUES " + ", ".join(f"({r}, {o}, '{cat}', {s.q(words)}, {s.q(t)})" for r, (cat, words) in enumerate(_CATEGORIES) for o, t in enumerate(TERMS[cat])) + ")"
 _MATCH = "CASE WHEN contains(trim({t}), ' ') THEN contains(lower({i}), lower({t})) ELSE regexp_matches(lower({i}), '(^|[^a-z0-9])' || regexp_escape(lower({t})) || '([^a-z0-9]|$)') END"
 _ON = " OR ".join(f"(t.cat = '{cat}' AND p.{flag})" for flag, cat, _ in fixed.RULES)
 
 
+#: Each distinct item meets the terms once.
+_HIT = "hit AS (SELECT i, t.* FROM (SELECT DISTINCT unnest(items) AS i FROM {of}) JOIN terms t ON " + _MATCH.format(t="t.term", i="i") + ")"
+
+
 def _verdict(scan: str, known: str = "p.user_id IS NOT NULL") -> str:
     """SQL of the verdict over a relation scan(scan_id, user_id, items)."""
-    hit = _MATCH.format(t="t.term", i="i")
     own = _MATCH.format(t="a", i="i")
     return (
         f"WITH {views.SQL_LISTS}, {views.SQL_PROFILES}, {_TERMS}, {scan}, "
-        f"w AS (SELECT scan_id, rank, ord, words || term AS w FROM scan JOIN v_profiles p USING (user_id) JOIN terms t ON ({_ON}) WHERE len(list_filter(items, lambda i: {hit})) > 0 "
+        f"{_HIT.format(of='scan')}, w AS (SELECT DISTINCT scan_id, rank, ord, words || term AS w FROM (SELECT scan_id, user_id, unnest(items) AS i FROM scan) JOIN hit t USING (i) JOIN v_profiles p USING (user_id) WHERE {_ON} "
         f"UNION ALL SELECT scan_id, 9, 0, 'Contains your allergens: ' || array_to_string(own, ', ') FROM (SELECT scan_id, list_filter(p.allergens, lambda a: len(list_filter(items, lambda i: {own})) > 0) AS own FROM scan JOIN v_profiles p USING (user_id)) WHERE len(own) > 0), "
         "l AS (SELECT scan_id, string_agg(w, chr(10) ORDER BY rank, ord) AS warnings FROM w GROUP BY scan_id) "
         f"SELECT scan.scan_id, scan.user_id, CASE WHEN {known} THEN l.warnings IS NULL ELSE false END AS is_safe, CASE WHEN {known} THEN coalesce(l.warnings, '') ELSE '{fixed.NO_PROFILE[0]}' END AS warnings, "
@@ -54,8 +60,8 @@ add(
 )
 add(
     "j1_term_matches",
-    lambda sp, d: views.lists(sp, d).select("doc_id", F.explode(F.flatten(F.array(*[F.transform(op.matched_terms(F.col("items"), c), (lambda c: lambda t: F.concat(F.lit(c + ":"), t))(c)) for c in fixed.TERMS]))).alias("hit")),
-    f"WITH {views.SQL_LISTS}, {_TERMS} SELECT doc_id, cat || ':' || term AS hit FROM v_lists, terms t WHERE len(list_filter(items, lambda i: {_MATCH.format(t='t.term', i='i')})) > 0",
+    lambda sp, d: views.lists(sp, d).select("doc_id", F.explode(F.flatten(F.array(*[F.transform(op.matched_terms(F.col("items"), c), (lambda c: lambda t: F.concat(F.lit(c + ":"), t))(c)) for c in TERMS]))).alias("hit")),
+    f"WITH {views.SQL_LISTS}, {_TERMS}, {_HIT.format(of='v_lists')} SELECT DISTINCT doc_id, cat || ':' || term AS hit FROM (SELECT doc_id, unnest(items) AS i FROM v_lists) JOIN hit USING (i)",
 )
 add(
     "j2_scan_profile",
@@ -89,7 +95,7 @@ add(
     lambda sp, d: _flat(op.checked_replies(table(sp, d, "customer").select(F.col("c_custkey").alias("user_id")).withColumn("raw", F.expr(_RAW)))).select("user_id", "valid", "is_safe", F.coalesce("warnings", F.lit("")).alias("warnings")),
     f"SELECT user_id, json_extract(raw, '$.warnings') IS NOT NULL AS valid, CASE WHEN json_extract(raw, '$.warnings') IS NOT NULL THEN user_id % 4 = 1 END AS is_safe, CASE WHEN user_id % 4 = 0 THEN 'a' || chr(10) || 'b' ELSE '' END AS warnings FROM (SELECT c_custkey AS user_id, {_RAW.replace('user_id', 'c_custkey')} AS raw FROM customer)",
 )
-add("s14_restriction_terms", lambda sp, d: sp.createDataFrame([(c, o, t) for c, ts in fixed.TERMS.items() for o, t in enumerate(ts)], "cat string, ord long, term string"), f"WITH {_TERMS} SELECT cat, ord, term FROM terms")
+add("s14_restriction_terms", lambda sp, d: sp.createDataFrame([(c, o, t) for c, ts in TERMS.items() for o, t in enumerate(ts)], "cat string, ord long, term string"), f"WITH {_TERMS} SELECT cat, ord, term FROM terms")
 add(
     "k5_edit_items",
     lambda sp, d: _flat(op.analyze(scans(sp, d).withColumn("items", F.filter(F.transform(F.slice("items", 2, 20), text.strip), lambda x: x != "")), views.profiles(sp, d))),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("predicates", "strings", "boxes", "analysis", "relational", "evaluation", "ingest", "learning")
+MODULES = ("predicates", "strings", "boxes", "analysis", "relational", "evaluation", "ingest", "services", "learning")
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:

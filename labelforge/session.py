@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +23,34 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is read from spark.checkpoint.dir. Only on a single machine (a local master) with neither that nor a checkpoint
+    directory set a temporary folder is made and set; on a cluster that is an error, as executors would not see it.
+    """
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelforge-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

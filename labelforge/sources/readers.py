@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.fixed import TERMS
+from ..functions.terms import TERMS
+from ..operators.accounts import natural_key
 
 BOX_CSV = "image_id string, box_id long, text string, confidence string, x1 string, y1 string, x2 string, y2 string, label string"
 DETECTIONS = "array<struct<bbox:array<array<double>>,text:string,confidence:double>>"
@@ -70,6 +71,24 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).option("recursiveFileLookup", "false").load(path)
 
 
+def chosen_images(rows: DataFrame, limit: int | None = None, name: str = "name") -> DataFrame:
+    """Rows whose name ends like an image's, in natural order (digit runs by number), the first ones if limit is given."""
+    ends = F.lower(name).rlike(r"\.(?:jpg|jpeg|png|webp|bmp)$")
+    out = rows.filter(ends).orderBy(natural_key(F.col(name)), name)
+    return out if limit is None else out.limit(limit)
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, by: str | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A database table; with a numeric column `by` it is read in so many ranges of that column."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if by is None:
+        return reader.load()
+    low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({by}), max({by}) FROM {name}", **options).load().first()
+    if low is None:
+        return reader.load()
+    return reader.options(partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
+
+
 def accepted_uploads(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("mime").startswith("image/") & (F.col("length") <= MAX_UPLOAD))
 

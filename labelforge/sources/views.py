@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import LEXICON
+from .lexicon import LEXICON
 from ..session import table
 
 N = len(LEXICON)
@@ -76,7 +76,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     d, i = F.col("doc_id"), F.col("i").cast("long")
     y1 = i * 37 + (d * i) % 60 + F.expr("70 * (i div 7)") + F.expr("160 * (i div 21)")
-    text = F.when((d + i) % 5 == 0, _term(d * 7 + i * 13)).otherwise(F.substring("line", 1, 60))
+    text = F.when((d + i) % 5 == 0, _term(d * 7 + i * 13)).otherwise(F.col("line"))
     return rows.select(
         d.alias("image_id"), i.alias("box_id"), text.alias("text"), (((d * 17 + i * 29) % 100) / 100).alias("confidence"), (10 * (i % 3)).cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (10 * (i % 3) + 40).cast("double").alias("x2"), (y1 + 20).cast("double").alias("y2"), (((d * 31 + i * 17) % 100) / 100).alias("pred_prob"),
@@ -85,7 +85,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_BOXES = (
     "v_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), "
-    f"v_boxes AS (SELECT doc_id AS image_id, i AS box_id, CASE WHEN (doc_id + i) % 5 = 0 THEN ({SQL_LEXICON})[(doc_id * 7 + i * 13) % {N} + 1] ELSE substring(line, 1, 60) END AS text, "
+    f"v_boxes AS (SELECT doc_id AS image_id, i AS box_id, CASE WHEN (doc_id + i) % 5 = 0 THEN ({SQL_LEXICON})[(doc_id * 7 + i * 13) % {N} + 1] ELSE line END AS text, "
     "((doc_id * 17 + i * 29) % 100) / 100 AS confidence, (10 * (i % 3))::DOUBLE AS x1, (i * 37 + (doc_id * i) % 60 + 70 * (i // 7) + 160 * (i // 21))::DOUBLE AS y1, "
     "(10 * (i % 3) + 40)::DOUBLE AS x2, (i * 37 + (doc_id * i) % 60 + 70 * (i // 7) + 160 * (i // 21) + 20)::DOUBLE AS y2, ((doc_id * 31 + i * 17) % 100) / 100 AS pred_prob FROM v_lines)"
 )
