@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 #: White space of the word contracts (U+0020, U+0009 to U+000D); everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from spark.checkpoint.dir; only where neither that nor a checkpoint directory is set
-    (tests, a single machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelforge-"))
-        known = sc._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, compared without case."""
     taken = {c.lower() for c in df.columns}
