@@ -1,6 +1,6 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy scores documents.
 
-Words stand for one of a number of slots that grows as the square root of the corpus: the most frequent words of all
+Words stand for one of a number of slots that grows with the square root of the corpus: the most frequent words of all
 documents have their own, the rest share hashed ones. Each token is predicted from REACH tokens on either side,
 itself masked:
     hidden = tanh(sum over offsets of position weight * embedding),
@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-WIDTH, REACH = 24, 2
+WIDTH, REACH = 8, 2
 #: Slots at least; of all slots this share are own ones, and so many times more words have a count of their own.
 LEAST_SLOTS, OWN_SHARE, LISTED = 256, 0.625, 4
 #: Rounds of training, the step, tokens in a step, and tokens of a shard in a round, about.
-ROUNDS, STEP, BATCH, SHARD_TOKENS = 4, 0.5, 1024, 200_000
+ROUNDS, STEP, BATCH, SHARD_TOKENS = 4, 1.0, 4096, 1_000_000
 #: Parameter vectors that the driver averages at once, at most.
 FEW = 64
 PIECE_BYTES = 1 << 21
+#: Logits are cut at so much on either side.
+LOGIT = 60.0
 OFFSETS = tuple(d for d in range(-REACH, REACH + 1) if d)
 
 
@@ -58,6 +60,15 @@ class Vocabulary:
         """The slot beyond a document's ends."""
         return self.classes * self.members - 1
 
+    @property
+    def kind(self) -> str:
+        """How a slot is stored: two bytes where that will do, else four."""
+        return "<u2" if self.edge < 1 << 16 else "<u4"
+
+    @property
+    def width(self) -> int:
+        return int(self.kind[-1])
+
     @property
     def shapes(self) -> dict[str, tuple[int, ...]]:
         c, m = self.classes, self.members
@@ -71,10 +82,10 @@ class Vocabulary:
             at += n
         return out
 
-    def hashed(self, words: list[str]) -> np.ndarray:
+    def hashed(self, words) -> np.ndarray:
         """Slots of words without one of their own."""
         own = self.own
-        return own + (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(self.edge - own)).astype(np.int64)
+        return own + (pd.util.hash_array(np.asarray(words, object), categorize=False) % np.uint64(self.edge - own)).astype(np.int64)
 
 
 def words_of(texts: pa.Array) -> pa.Array:
@@ -112,14 +123,14 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     """From the counts of all documents. The driver gets as many words as the square root of the tokens, in proportion."""
     counts = word_counts(docs)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(int(math.log2(LEAST_SLOTS)), math.ceil(math.log2(math.sqrt(max(1, total)))))
+    bits = max(int(math.log2(LEAST_SLOTS)), math.ceil(math.log2(max(1, total)) / 2) - 2)
     slots, own = 1 << bits, int(OWN_SHARE * (1 << bits))
     top = counts.orderBy(F.desc("n"), "word").limit(own * (1 + LISTED)).collect()
     out = Vocabulary(1 << bits // 2, 1 << bits - bits // 2, [r[0] for r in top], own, total, np.zeros(slots))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = out.hashed(batch.column(0).to_pylist())
+            at = out.hashed(batch.column(0).to_numpy(zero_copy_only=False))
             n = np.bincount(at, batch.column(1).to_numpy(), slots).astype(np.int64)
             words = np.bincount(at, minlength=slots).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(words)), pa.array(n[words > 0]), pa.array(words[words > 0])], ["slot", "n", "words"])
@@ -166,7 +177,7 @@ def slots(texts: pa.Array, v: Vocabulary, listed: pa.Array) -> tuple[np.ndarray,
     log[at >= 0] = v.listed[at[at >= 0]]
     rest = np.flatnonzero((at < 0) | (at >= v.own))
     if len(rest):
-        slot[rest] = v.hashed(words.take(pa.array(rest)).to_pylist())
+        slot[rest] = v.hashed(words.take(pa.array(rest)).to_numpy(zero_copy_only=False))
     log[at < 0] = v.other[slot[at < 0]]
     rows = coded.indices.to_numpy(zero_copy_only=False)
     full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[rows] if len(rows) else np.zeros(0, bool)
@@ -176,7 +187,7 @@ def slots(texts: pa.Array, v: Vocabulary, listed: pa.Array) -> tuple[np.ndarray,
 
 
 def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFrame:
-    """Per row: doc_id, turn, shard, place (a hash of id and text), n_tokens, inner (log P of words in slots), ids (u32)."""
+    """Per row: doc_id, turn, shard, place (a hash of id and text), n_tokens, inner (log P of words in slots), ids (v.kind)."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +195,9 @@ def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFr
         for batch in batches:
             for low, high in pieces(batch.column(2)):
                 ids, sizes, inner = slots(batch.column(2).slice(low, high - low), v, listed)
-                held = [x.tobytes() for x in np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])]
+                ends = np.cumsum(sizes) * v.width
+                whole = ids.astype(v.kind).tobytes()
+                held = [whole[low:high] for low, high in zip(ends - sizes * v.width, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).slice(low, high - low) for k in (0, 1)], pa.array(sizes.astype(np.int64)), pa.array(inner), pa.array(held, pa.binary())],
                     ["doc_id", "place", "n_tokens", "inner", "ids"],
@@ -198,8 +211,8 @@ def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFr
 
 def stream_of(ids: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of documents with REACH edge slots before and after each, and where the tokens stand."""
-    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // v.width
+    flat = np.frombuffer(b"".join(ids.to_pylist()), v.kind)
     at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * 2 * REACH + REACH, sizes)
     out = np.full(len(flat) + 2 * REACH * len(sizes), v.edge, np.int64)
     out[at] = flat
@@ -207,57 +220,62 @@ def stream_of(ids: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(v: Vocabulary, p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray):
-    """Log-probabilities of the tokens at these places, and what the gradient needs."""
-    near = np.stack([stream[at + d] for d in OFFSETS])
-    seen = p["emb"][near]
-    hidden = np.tanh(np.einsum("dnw,dw->nw", seen, p["pos"]) + p["bias"])
+    """Log-probabilities of the tokens at these places, in the order of their classes, and what the gradient needs."""
     cls, member = np.divmod(stream[at], v.members)
-    a = hidden @ p["cls"].T + p["clsb"]
-    a -= a.max(1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(1, keepdims=True)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.classes + 1))
-    b = np.empty((len(at), v.members), np.float32)  # rows in the order of classes
-    by_class = hidden[order]
+    order = np.argsort(cls.astype(np.int16) if v.classes < 1 << 15 else cls, kind="stable")
+    at, cls, member = at[order], cls[order], member[order]
+    cuts = np.searchsorted(cls, np.arange(v.classes + 1))
+    near = stream[at + np.array(OFFSETS)[:, None]]
+    seen = p["emb"][near]
+    hidden = np.einsum("dnw,dw->nw", seen, p["pos"])
+    hidden += p["bias"]
+    np.tanh(hidden, out=hidden)
+    a = hidden @ p["cls"].T
+    a += p["clsb"]
+    b = np.empty((len(at), v.members), np.float32)
     for c in np.flatnonzero(np.diff(cuts)):
         r = slice(cuts[c], cuts[c + 1])
-        np.matmul(by_class[r], p["out"][c].T, out=b[r])
+        np.matmul(hidden[r], p["out"][c].T, out=b[r])
         b[r] += p["outb"][c]
-    b -= b.max(1, keepdims=True)
-    np.exp(b, out=b)
-    b /= b.sum(1, keepdims=True)
     rows = np.arange(len(at))
-    logs = np.log(np.maximum(a[rows, cls], 1e-30))
-    logs[order] += np.log(np.maximum(b[rows, member[order]], 1e-30))
-    return logs, (near, seen, hidden, cls, member, a, b, order, cuts)
+    logs = a[rows, cls] + b[rows, member]
+    # Weights are small: logits stay far from where exp overflows, LOGIT at most.
+    np.clip(a, -LOGIT, LOGIT, out=a)
+    np.clip(b, -LOGIT, LOGIT, out=b)
+    np.exp(a, out=a)
+    np.exp(b, out=b)
+    sa, sb = a @ np.ones(v.classes, np.float32), b @ np.ones(v.members, np.float32)
+    logs -= np.log(sa) + np.log(sb)
+    return logs, order, (near, seen, hidden, cls, member, a, b, sa, sb, cuts)
 
 
 def learn(v: Vocabulary, flat: np.ndarray, stream: np.ndarray, at: np.ndarray, step: float = STEP) -> None:
     """Stochastic gradient steps on the tokens at these places, in place."""
     p = v.unpack(flat)
+    size = v.classes * v.members
     for low in range(0, len(at), BATCH):
         some = at[low : low + BATCH]
-        _, (near, seen, hidden, cls, member, a, b, order, cuts) = forward(v, p, stream, some)
+        _, _, (near, seen, hidden, cls, member, a, b, sa, sb, cuts) = forward(v, p, stream, some)
         rate, rows = np.float32(step / len(some)), np.arange(len(some))
+        a /= sa[:, None]
+        b /= sb[:, None]
         a[rows, cls] -= 1
-        b[rows, member[order]] -= 1
-        back, by_class = a @ p["cls"], hidden[order]
+        b[rows, member] -= 1
+        back = a @ p["cls"]
         for c in np.flatnonzero(np.diff(cuts)):
             r = slice(cuts[c], cuts[c + 1])
-            back[order[r]] += b[r] @ p["out"][c]
-            p["out"][c] -= rate * 8 * (b[r].T @ by_class[r])
-            p["outb"][c] -= rate * 8 * b[r].sum(0)
+            back[r] += b[r] @ p["out"][c]
+            p["out"][c] -= rate * 8 * (b[r].T @ hidden[r])
+        p["outb"] -= rate * 8 * np.add.reduceat(np.concatenate([b, np.zeros((1, v.members), np.float32)]), cuts[:-1]) * (np.diff(cuts) > 0)[:, None]
         p["cls"] -= rate * (a.T @ hidden)
         p["clsb"] -= rate * a.sum(0)
         back *= 1 - hidden * hidden
         p["bias"] -= rate * back.sum(0)
-        moved = back[None] * p["pos"][:, None]
-        p["pos"] -= rate * np.einsum("dnw,nw->dw", seen, back)
-        by_slot = np.argsort(near, axis=None, kind="stable")
-        met = near.ravel()[by_slot]
-        first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
-        p["emb"][met[first]] -= rate * 8 * np.add.reduceat(moved.reshape(-1, WIDTH)[by_slot], first)
+        for d in range(len(OFFSETS)):
+            moved = back * p["pos"][d]
+            p["pos"][d] -= rate * np.einsum("nw,nw->w", seen[d], back)
+            for w in range(WIDTH):
+                p["emb"][:, w] -= rate * 8 * np.bincount(near[d], moved[:, w], size).astype(np.float32)
 
 
 def train(rows: DataFrame, v: Vocabulary, shards: int, rounds: int) -> np.ndarray:
@@ -294,7 +312,7 @@ def train(rows: DataFrame, v: Vocabulary, shards: int, rounds: int) -> np.ndarra
                     for k in range(low, high):
                         held.append(batch.column(1).slice(k, 1))
                         size += len(held[-1][0].as_py())
-                        if size >= PIECE_BYTES // 8:
+                        if size >= PIECE_BYTES:
                             take()
             if shard is not None:
                 take()
@@ -333,9 +351,12 @@ def scores(rows: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
             for low, high in pieces(batch.column(3)):
                 ids = batch.column(3).slice(low, high - low)
                 stream, at = stream_of(ids, v)
-                logs = np.concatenate([forward(v, p, stream, at[k : k + 8192])[0] for k in range(0, len(at), 8192)] or [np.zeros(0)])
+                logs = np.zeros(len(at))
+                for k in range(0, len(at), BATCH):
+                    found, order, _ = forward(v, p, stream, at[k : k + BATCH])
+                    logs[k + order] = found
                 sizes = batch.column(1).slice(low, high - low).to_numpy()
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=float)])[np.concatenate([[0], np.cumsum(sizes)])])
+                sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(sizes)])])
                 sums = sums + batch.column(2).slice(low, high - low).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "log_prob"])
 
