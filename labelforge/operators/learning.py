@@ -1,4 +1,8 @@
-"""The box classifier: character n-gram TF-IDF and box features into a balanced logistic regression."""
+"""The box classifier: character n-gram TF-IDF and box features into a balanced logistic regression.
+
+N-grams are hashed to BUCKETS columns, so no vocabulary passes through the driver however many there are; columns that
+fewer than two boxes use weigh nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,10 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes as op
@@ -21,59 +25,89 @@ FEATURES = tuple(
         + [f"{side}{h}" for side in ("", "prev_", "next_") for h in ("has_ingredient_hint", "has_noningredient_hint", "has_header_hint")]
     )
 )
+#: Columns of hashed n-grams, n-gram sizes, and the least boxes of a column that counts.
+BUCKETS, SIZES, MIN_DOCS = 1 << 18, (3, 4, 5), 2
+#: Steps of the optimiser at most; it stops where the loss changes by less than TOLERANCE.
+MAX_ITER, TOLERANCE = 4000, 1e-4
 #: Split of images by a hash of their id: eight, one and one of ten buckets.
 TRAIN, VALID = 8, 9
 
 
 def inputs(boxes: DataFrame) -> DataFrame:
-    """Features and the characters of the context of each box."""
+    """Features and the lower-cased context of each box."""
     rows = op.features(op.with_context(op.prepared(boxes)))
-    return rows.withColumn("chars", F.split(F.lower("context_text"), ""))
+    return rows.withColumn("chars", F.lower("context_text")).drop("prev_text", "next_text", "context_text")
+
+
+def grams(c: Column) -> Column:
+    """All character n-grams of a text, repeats counted."""
+    parts = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in SIZES]  # noqa: B023
+    return F.concat(*parts)
+
+
+def bucket_of(image: Column, seed: int = 42) -> Column:
+    """0 to 9 by a hash of the image's id, so that all boxes of an image are of one split."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), image.cast("string")).cast("binary"))
+    return F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % 10
 
 
 def splits(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    bucket = F.pmod(F.xxhash64(F.col("image_id").cast("string")), F.lit(10))
-    return rows.filter(bucket < TRAIN), rows.filter(bucket == TRAIN), rows.filter(bucket == VALID)
-
-
-def fit(rows: DataFrame, max_terms: int = 1 << 16, min_docs: int = 2, max_iter: int = 100) -> tuple[PipelineModel, list[float]]:
-    """Model and idf weights (ln((1 + n) / (1 + df)) + 1) from inputs with label."""
-    n = rows.count()
-    if not n:
-        raise ValueError("no labelled boxes")
-    grams = [NGram(n=k, inputCol="chars", outputCol=f"g{k}") for k in (3, 4, 5)]
-    joined = SQLTransformer(statement="SELECT *, concat(g3, g4, g5) AS grams FROM __THIS__")
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_terms, minDF=float(min_docs))
-    front = Pipeline(stages=[*grams, joined, counts]).fit(rows)
-    held = front.transform(rows)
-    found = held.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").count()
-    order = {t: k for k, t in enumerate(front.stages[-1].vocabulary)}
-    df = [0] * len(order)
-    names = rows.sparkSession.createDataFrame(list(order.items()), "g string, k int")
-    for k, c in found.join(F.broadcast(names), "g").select("k", "count").toLocalIterator():
-        df[k] = c
-    idf = [math.log((1 + n) / (1 + d)) + 1 for d in df]
-    positive = rows.filter("label = 1").count()
-    weight = F.when(F.col("label") == 1, n / (2 * max(1, positive))).otherwise(n / (2 * max(1, n - positive)))
-    rest = [VectorAssembler(inputCols=list(FEATURES), outputCol="manual"), VectorAssembler(inputCols=["tfidf", "manual"], outputCol="features"), LogisticRegression(weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter)]
-    model = Pipeline(stages=rest).fit(weighted(held, idf).withColumn("w", weight).withColumn("label", F.col("label").cast("double")))
-    return PipelineModel(stages=[*front.stages, *model.stages]), idf
+    b = bucket_of(F.col("image_id"))
+    return rows.filter(b < TRAIN), rows.filter(b == TRAIN), rows.filter(b == VALID)
+
+
+def counted(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Adds tf, the n-gram counts by column."""
+    hashed = HashingTF(numFeatures=buckets, inputCol="_grams", outputCol="tf")
+    return hashed.transform(rows.withColumn("_grams", grams(F.col("chars")))).drop("_grams", "chars")
 
 
 def weighted(held: DataFrame, idf: list[float]) -> DataFrame:
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="_scaled").transform(held)
-    return Normalizer(p=2.0, inputCol="_scaled", outputCol="tfidf").transform(scaled).drop("_scaled")
+    return Normalizer(p=2.0, inputCol="_scaled", outputCol="tfidf").transform(scaled).drop("_scaled", "tf")
+
+
+def fit(rows: DataFrame, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, max_iter: int = MAX_ITER) -> tuple[PipelineModel, list[float]]:
+    """Model and idf weights (ln((1 + n) / (1 + df)) + 1; 0 under min_docs boxes) from inputs with label.
+
+    The counted rows are kept while the weights and the regression go over them; lost parts are made again.
+    """
+    held = counted(rows, buckets).persist()
+    try:
+        n, positive = held.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
+        if not n:
+            raise ValueError("no labelled boxes")
+        df = IDF(inputCol="tf", outputCol="_idf").fit(held).docFreq
+        idf = [math.log((1 + n) / (1 + d)) + 1 if d >= min_docs else 0.0 for d in df]
+        weight = F.when(F.col("label") == 1, n / (2 * max(1, positive))).otherwise(n / (2 * max(1, n - positive)))
+        stages = [
+            VectorAssembler(inputCols=list(FEATURES), outputCol="manual"), VectorAssembler(inputCols=["tfidf", "manual"], outputCol="features"),
+            LogisticRegression(weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE),
+        ]
+        ready = weighted(held, idf).withColumn("w", weight).withColumn("label", F.col("label").cast("double"))
+        return Pipeline(stages=stages).fit(ready), idf
+    finally:
+        held.unpersist()
 
 
 def predict(model: PipelineModel, idf: list[float], rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds pred_prob and pred_label; an empty table keeps both columns."""
-    cut = len(model.stages) - 3
-    held = weighted(PipelineModel(stages=model.stages[:cut]).transform(rows), idf)
-    out = PipelineModel(stages=model.stages[cut:]).transform(held)
-    out = out.withColumn("pred_prob", vector_to_array("probability")[1])
+    out = model.transform(weighted(counted(rows, len(idf)), idf)).withColumn("pred_prob", vector_to_array("probability")[1])
     return out.withColumn("pred_label", (F.col("pred_prob") >= threshold).cast("int")).select("image_id", "box_id", "text", "pred_prob", "pred_label", *[c for c in ("label",) if c in rows.columns])
 
 
+def report(rows: DataFrame, label: str = "label", pred: str = "pred_label") -> DataFrame:
+    """Per class 0 and 1: support, precision, recall, F1 of 0/1 predictions (0 where there is nothing to divide by)."""
+    t, p = F.col(label), F.col(pred)
+    sums = rows.agg(*[F.count_if((t == a) & (p == b)).alias(f"_{a}{b}") for a in (0, 1) for b in (0, 1)])
+    one = lambda c: F.struct(F.lit(c).alias("class"), F.col(f"_{c}{c}").alias("hit"), (F.col(f"_{c}0") + F.col(f"_{c}1")).alias("support"), (F.col(f"_0{c}") + F.col(f"_1{c}")).alias("told"))
+    out = sums.select(F.explode(F.array(one(0), one(1))).alias("r")).select("r.*")
+    precision = F.when(F.col("told") > 0, F.col("hit") / F.col("told")).otherwise(F.lit(0.0))
+    recall = F.when(F.col("support") > 0, F.col("hit") / F.col("support")).otherwise(F.lit(0.0))
+    both = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    return out.select("class", "support", precision.alias("precision"), recall.alias("recall"), both.alias("f1"))
+
+
 def save(spark: SparkSession, model: PipelineModel, idf: list[float], threshold: float, path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps({"idf": idf, "threshold": threshold, "features": list(FEATURES)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import learning
 from ..operators import metrics as op
 from ..session import table
 from ..sources import views
@@ -80,7 +81,14 @@ add("g14_speedup", lambda sp, d: table(sp, d, "events").agg(F.round(F.avg(F.when
 _LAB = "CASE WHEN (image_id * 7 + box_id * 3) % 100 < pred_prob * 100 THEN 1 ELSE 0 END"
 add("g1_label_counts", lambda sp, d: views.boxes(sp, d).withColumn("label", F.expr(_LAB)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.round(100 * F.count_if(F.col("label") == 1) / F.count(F.lit(1)), 4).alias("percent")), f"WITH {views.SQL_BOXES} SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS pos, round(100 * count(*) FILTER (WHERE label = 1) / count(*), 4) AS percent FROM (SELECT {_LAB} AS label FROM v_boxes)")
 _TP, _FP, _FN = "count(*) FILTER (WHERE pred_prob >= t AND label = 1)", "count(*) FILTER (WHERE pred_prob >= t AND label = 0)", "count(*) FILTER (WHERE pred_prob < t AND label = 1)"
-add("g18_report", lambda sp, d: views.boxes(sp, d).withColumn("label", F.expr(_LAB)).agg(*[F.count_if(((F.col("pred_prob") >= 0.5) == F.lit(a)) & (F.col("label") == b)).alias(n) for n, a, b in (("tp", True, 1), ("fp", True, 0), ("fn", False, 1), ("tn", False, 0))]), f"WITH {views.SQL_BOXES} SELECT " + ", ".join(f"count(*) FILTER (WHERE (pred_prob >= 0.5) = {a} AND label = {b}) AS {n}" for n, a, b in (("tp", "true", 1), ("fp", "true", 0), ("fn", "false", 1), ("tn", "false", 0))) + f" FROM (SELECT pred_prob, {_LAB} AS label FROM v_boxes)")
+_SIDE = "SELECT {c} AS class, count(*) FILTER (WHERE label = {c}) AS support, count(*) FILTER (WHERE told = {c}) AS said, count(*) FILTER (WHERE label = {c} AND told = {c}) AS hit FROM x"
+add(
+    "g18_report",
+    lambda sp, d: _rounded(learning.report(views.boxes(sp, d).withColumn("label", F.expr(_LAB)).withColumn("pred_label", (F.col("pred_prob") >= 0.5).cast("int"))), "precision", "recall", "f1"),
+    f"WITH {views.SQL_BOXES}, x AS (SELECT {_LAB} AS label, (pred_prob >= 0.5)::INT AS told FROM v_boxes), r AS ({_SIDE.format(c=0)} UNION ALL {_SIDE.format(c=1)}), "
+    "p AS (SELECT class, support, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM r) "
+    "SELECT class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p",
+)
 add(
     "g19_threshold_sweep",
     lambda sp, d: _rounded(op.threshold_sweep(views.boxes(sp, d).withColumn("label", F.expr(_LAB))), "precision", "recall", "f1"),
