@@ -1,7 +1,7 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-A text is cut into tokens whose ends follow from the characters themselves: after a vowel, a digit or any character
-of a script beyond the Latin, Greek and Cyrillic ones, and at white space. Of its k-mers of tokens those are chosen
+A text is cut into tokens whose ends follow from the characters themselves: after an ASCII vowel or digit, after any
+character beyond ASCII, and at white space. Of its k-mers of tokens those are chosen
 whose least inner s-mer (by hash) is the first or the last: that depends on the k-mer alone, so equal passages choose
 equal anchors wherever they stand, spaced or not. A fingerprint is the list of all anchors of the whole text in page
 order, each hashed with its distance from the anchor before; likeness is the share of such placed anchors that both
@@ -15,11 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A token ends after one of these, or after RUN characters without one.
-ENDS = "aeiouAEIOU0-9\u00C0-\u00C6\u00C8-\u00D6\u00D8-\u00DD\u00E0-\u00E6\u00E8-\u00F6\u00F8-\u00FD\u03B1\u03B5\u03B7\u03B9\u03BF\u03C5\u03C9\u0430\u0435\u0438\u043E\u0443\u044B\u044D\u044E\u044F\u0590-\U0010FFFF"
+#: A token ends after one of these, or after RUN other characters (all of them in ASCII: narrow classes match fast).
+ENDS = r"aeiouAEIOU0-9\x80-\x{10FFFF}"
+OTHERS = r"\x00-\x08\x0E-\x1F!-/:-@B-DF-HJ-NP-TV-Z\x5B-\x60b-df-hj-np-tv-z\x7B-\x7F"
 RUN = 8
-TOKEN = rf"[^\x20\x09-\x0D{ENDS}]{{0,{RUN - 1}}}+[{ENDS}]|[^\x20\x09-\x0D{ENDS}]{{1,{RUN}}}"
-K, S = 10, 2
+TOKEN = rf"[{OTHERS}]{{0,{RUN - 1}}}+[{ENDS}]|[{OTHERS}]{{1,{RUN}}}"
+K, S = 8, 2
 #: Documents of a bucket of neighbours, about, and buckets at most (a bucket is sorted and read as a stream).
 BUCKET_ROWS, BUCKETS = 256, 50_000
 _INNER = K - S
