@@ -32,9 +32,9 @@ CHUNK = 8
 BLOCK = 512
 #: A file is closed at so many tokens; texts are tokenised in pieces of about so many characters.
 FILE_TOKENS = 1 << 20
-PIECE_CHARS = 1 << 23
+PIECE_CHARS = 1 << 22
 #: Distinct stretches that an encoder keeps, at most, and how many words it encodes in one string.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 LEARN_WORDS = 4096
 #: ASCII marks: a run of them at a stretch's end is a word of its own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
