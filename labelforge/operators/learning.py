@@ -11,7 +11,7 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +28,7 @@ FEATURES = tuple(
 #: Columns of hashed n-grams, n-gram sizes, and the least boxes of a column that counts.
 BUCKETS, SIZES, MIN_DOCS = 1 << 18, (3, 4, 5), 2
 #: Steps of the optimiser at most; it stops where the loss changes by less than TOLERANCE.
-MAX_ITER, TOLERANCE = 4000, 1e-4
+MAX_ITER, TOLERANCE = 100, 1e-4
 #: Split of images by a hash of their id: eight, one and one of ten buckets.
 TRAIN, VALID = 8, 9
 
@@ -70,6 +70,7 @@ def weighted(held: DataFrame, idf: list[float]) -> DataFrame:
 def fit(rows: DataFrame, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, max_iter: int = MAX_ITER) -> tuple[PipelineModel, list[float]]:
     """Model and idf weights (ln((1 + n) / (1 + df)) + 1; 0 under min_docs boxes) from inputs with label.
 
+    Box features are brought to unit variance first: places in thousands of pixels would leave the optimiser crawling.
     The counted rows are kept while the weights and the regression go over them; lost parts are made again.
     """
     held = counted(rows, buckets).persist()
@@ -81,7 +82,7 @@ def fit(rows: DataFrame, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, max_i
         idf = [math.log((1 + n) / (1 + d)) + 1 if d >= min_docs else 0.0 for d in df]
         weight = F.when(F.col("label") == 1, n / (2 * max(1, positive))).otherwise(n / (2 * max(1, n - positive)))
         stages = [
-            VectorAssembler(inputCols=list(FEATURES), outputCol="manual"), VectorAssembler(inputCols=["tfidf", "manual"], outputCol="features"),
+            VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="manual"), VectorAssembler(inputCols=["tfidf", "manual"], outputCol="features"),
             LogisticRegression(weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE),
         ]
         ready = weighted(held, idf).withColumn("w", weight).withColumn("label", F.col("label").cast("double"))
