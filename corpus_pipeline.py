@@ -10,27 +10,30 @@ from labelforge.session import table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject (score under 0.3). Null texts are scored as empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, likeness of 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, likeness of 0.8 or more).
+
+    The least id of a group stays. Texts without words and null ids stay; of rows that repeat an id one stays.
+    """
     return neardup.keep_one(docs, 80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates: under a twentieth of their words lies in its windows. Null texts stay."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document stands as often as the mix takes it."""
+    """Sources at their target weights; a document stands as often as the mix takes it, so texts without words go."""
     return mixing.emit(mixing.mix(docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes, with slots."""
+    """Eight shards of near equal bytes, with slots; equal texts (null as empty) lie together. An empty table has none."""
     return sharding.shard_documents(docs, 8)
 
 
