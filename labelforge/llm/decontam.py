@@ -145,6 +145,10 @@ def report(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
+    """The documents that are not contaminated, with their columns.
+
+    Null texts stay. Rows that repeat go or stay alike. Without items, or of an empty table, all rows stay; further columns,
+    whatever their names, pass through.
+    """
     bad = saved(report(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")

@@ -82,7 +82,10 @@ def mix(
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns it came with."""
+    """The mix itself: each row as often as it is taken, with the columns it came with.
+
+    Rows that are not taken, so all without words, are out. Copies of a row are equal.
+    """
     kept, turn = mixed.filter("mix_copies > 0"), common.free_name(mixed, "_turn")
     turns = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias(turn)
     return kept.select("*", turns).drop("mix_size", "mix_source_size", "mix_target", "mix_copies", turn)

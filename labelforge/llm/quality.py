@@ -160,6 +160,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
+    """The documents that the classifier does not reject, with their columns.
+
+    Null and empty texts are scored like all others; equal texts go or stay alike. Without labels all are scored one half
+    and stay. An empty table stays empty; further columns, whatever their names, pass through.
+    """
     name = common.free_name(docs, "_score")
     return scored(docs, train(docs, labels), name).filter(F.col(name) >= threshold).drop(name)

@@ -333,7 +333,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, doc_id:
 def read_tokens(files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 (of u32 little-endian ids).
 
-    The offsets of files come from their lengths (one small row per file).
+    The offsets of files come from their lengths (one small row per file). No files give no rows; null ids stay null.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
