@@ -26,7 +26,7 @@ FEATURES = tuple(
     )
 )
 #: Columns of hashed n-grams, n-gram sizes, and the least boxes of a column that counts.
-BUCKETS, SIZES, MIN_DOCS = 1 << 18, (3, 4, 5), 2
+BUCKETS, SIZES, MIN_DOCS = 1 << 17, (3, 4, 5), 2
 #: Steps of the optimiser at most; it stops where the loss changes by less than TOLERANCE.
 MAX_ITER, TOLERANCE = 100, 1e-4
 #: Split of images by a hash of their id: eight, one and one of ten buckets.
