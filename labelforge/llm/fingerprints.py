@@ -20,7 +20,7 @@ ENDS = r"aeiouAEIOU0-9\x80-\x{10FFFF}"
 OTHERS = r"\x00-\x08\x0E-\x1F!-/:-@B-DF-HJ-NP-TV-Z\x5B-\x60b-df-hj-np-tv-z\x7B-\x7F"
 RUN = 8
 TOKEN = rf"[{OTHERS}]{{0,{RUN - 1}}}+[{ENDS}]|[{OTHERS}]{{1,{RUN}}}"
-K, S = 8, 2
+K, S = 6, 2
 #: Documents of a bucket of neighbours, about, and buckets at most (a bucket is sorted and read as a stream).
 BUCKET_ROWS, BUCKETS = 256, 50_000
 _INNER = K - S
