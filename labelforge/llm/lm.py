@@ -33,10 +33,11 @@ WIDTH, REACH = 8, 2
 #: Slots at least; of all slots this share are own ones, and so many times more words have a count of their own.
 LEAST_SLOTS, OWN_SHARE, LISTED = 256, 0.625, 4
 #: Rounds of training, the step, tokens in a step, and tokens of a shard in a round, about.
-ROUNDS, STEP, BATCH, SHARD_TOKENS = 4, 1.0, 4096, 1_000_000
+ROUNDS, STEP, BATCH, SHARD_TOKENS = 4, 0.5, 4096, 1_000_000
 #: Parameter vectors that the driver averages at once, at most.
 FEW = 64
 PIECE_BYTES = 1 << 21
+RARE = 8
 #: Logits are cut at so much on either side.
 LOGIT = 60.0
 OFFSETS = tuple(d for d in range(-REACH, REACH + 1) if d)
@@ -262,11 +263,14 @@ def learn(v: Vocabulary, flat: np.ndarray, stream: np.ndarray, at: np.ndarray, s
         a[rows, cls] -= 1
         b[rows, member] -= 1
         back = a @ p["cls"]
+        # Classes and slots see few of a step's tokens: their sums count up to RARE times, but never for more than their mean.
+        by_class = np.float32(step) / np.maximum(np.diff(cuts), len(some) / RARE).astype(np.float32)
+        by_slot = np.float32(step) / np.maximum(np.bincount(near.ravel(), minlength=size), len(some) / RARE).astype(np.float32)
         for c in np.flatnonzero(np.diff(cuts)):
             r = slice(cuts[c], cuts[c + 1])
             back[r] += b[r] @ p["out"][c]
-            p["out"][c] -= rate * 8 * (b[r].T @ hidden[r])
-        p["outb"] -= rate * 8 * np.add.reduceat(np.concatenate([b, np.zeros((1, v.members), np.float32)]), cuts[:-1]) * (np.diff(cuts) > 0)[:, None]
+            p["out"][c] -= by_class[c] * (b[r].T @ hidden[r])
+        p["outb"] -= by_class[:, None] * np.add.reduceat(np.concatenate([b, np.zeros((1, v.members), np.float32)]), cuts[:-1]) * (np.diff(cuts) > 0)[:, None]
         p["cls"] -= rate * (a.T @ hidden)
         p["clsb"] -= rate * a.sum(0)
         back *= 1 - hidden * hidden
@@ -275,7 +279,7 @@ def learn(v: Vocabulary, flat: np.ndarray, stream: np.ndarray, at: np.ndarray, s
             moved = back * p["pos"][d]
             p["pos"][d] -= rate * np.einsum("nw,nw->w", seen[d], back)
             for w in range(WIDTH):
-                p["emb"][:, w] -= rate * 8 * np.bincount(near[d], moved[:, w], size).astype(np.float32)
+                p["emb"][:, w] -= by_slot * np.bincount(near[d], moved[:, w], size).astype(np.float32)
 
 
 def train(rows: DataFrame, v: Vocabulary, shards: int, rounds: int) -> np.ndarray:
