@@ -548,14 +548,14 @@ def test_lm_does_not_depend_on_the_files(spark, monkeypatch):
 
 def test_lm_learns_from_every_token_and_gains(spark, monkeypatch):
     """Held-out gain over the unigram start, and each token a target once over all rounds and shards."""
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100_000)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     v = lm.vocabulary(df)
-    rows = lm.prepared(df, v, 3, lm.ROUNDS)
+    rows = lm.prepared(df, v, 1, lm.ROUNDS)
     assert rows.agg(F.sum("n_tokens")).first()[0] == v.tokens == sum(len(words(r.text)) for r in df.collect())
     assert {r.turn for r in rows.select("turn").distinct().collect()} <= set(range(lm.ROUNDS))
     seen, unseen = rows.filter("place % 5 <> 0"), rows.filter("place % 5 = 0")
-    flat = lm.train(seen, v, 3, lm.ROUNDS)
+    flat = lm.train(seen, v, 1, lm.ROUNDS)
     mean = lambda p: unseen.sparkSession and lm.scores(unseen, v, p).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
     assert mean(flat) > mean(lm.first_parameters(v))
 
@@ -568,7 +568,7 @@ def test_lm_word_probabilities_of_slots(spark):
     slot, _, _ = lm.slots(pa.array([" ".join(v.words)]), v, pa.array(v.words))
     p = v.share[slot] * np.exp(v.listed)
     assert np.allclose(p, [counts[w] / v.tokens for w in v.words], rtol=0.6, atol=2e-4) and v.own < len(v.words)
-    big = lm.vocabulary(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    big = lm.vocabulary(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     assert big.classes * big.members > v.classes * v.members
 
 
