@@ -8,7 +8,6 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -84,10 +83,14 @@ def fuzzy(rows: DataFrame, pred: str = "predicted", true: str = "truth", thresho
     return out.withColumn("fuzzy_f1", F.when(t == 0, F.when(p == 0, 1.0).otherwise(0.0)).otherwise(f1(F.col("fuzzy_precision"), F.col("fuzzy_recall")))).drop("_n")
 
 
-@F.pandas_udf(T.DoubleType())
-def char_accuracy(pred: pd.Series, true: pd.Series) -> pd.Series:
+def char_accuracy(pred: Column, true: Column) -> Column:
     """Likeness of two texts by their matching blocks, without case."""
-    return pd.Series([(float(not p) if not t else 0.0 if not p else difflib.SequenceMatcher(None, p.lower(), t.lower()).ratio()) for p, t in zip(pred.fillna(""), true.fillna(""))])
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([(float(not p) if not t else 0.0 if not p else difflib.SequenceMatcher(None, p.lower(), t.lower()).ratio()) for p, t in zip(a.fillna(""), b.fillna(""))])
+
+    return likeness(pred, true)
 
 
 def indel_ratio(a: str, b: str) -> float:

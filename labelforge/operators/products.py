@@ -8,7 +8,6 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.fixed import FUNCTIONAL_HEADS
@@ -123,13 +122,13 @@ def repaired_json(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def repair(raw: pd.Series) -> pd.Series:
-    return pd.Series([repaired_json(r if isinstance(r, str) else None) for r in raw], dtype=object)
-
-
 def repaired(raw: Column) -> Column:
     """Replies that are JSON as they stand, or in a fence, never leave the JVM; the rest is repaired."""
+
+    @F.pandas_udf("string")
+    def repair(replies: pd.Series) -> pd.Series:
+        return pd.Series([repaired_json(r if isinstance(r, str) else None) for r in replies], dtype=object)
+
     whole, fenced = text.strip(raw), text.strip(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1))
     valid = [F.when(F.try_parse_json(c).isNotNull() & (c != ""), F.to_json(F.try_parse_json(c))) for c in (whole, fenced)]
     return F.coalesce(*valid, repair(raw))

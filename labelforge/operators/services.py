@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from . import products
+from .products import repaired_json
 
 Provider = Callable[[list[str]], list["str | None"]]
 Engine = Callable[[list[bytes]], list[list[dict]]]
@@ -54,7 +54,7 @@ def with_replies(rows: DataFrame, prompt: str, providers: Sequence[tuple[str, Pr
             for name, ask in providers:
                 got = ask([b[prompt].iloc[k] for k in left]) if left else []
                 for k, r in zip(left, got):
-                    if (r := products.repaired_json(r)) is not None:
+                    if (r := repaired_json(r)) is not None:
                         reply[k], by[k] = r, name
                 left = [k for k in left if reply[k] is None]
             yield b.assign(reply=pd.Series(reply, index=b.index, dtype=object), provider=pd.Series(by, index=b.index, dtype=object))

@@ -34,7 +34,7 @@ def test_verdicts(spark):
     assert [got[k].is_safe for k in range(len(rows))] == [safe for _, _, safe in VERDICTS]
     assert got[0].analysis_result == fixed.SAFE and got[36].warnings == ["Contains your allergens: mustard"]
     assert got[1].analysis_result == fixed.UNSAFE + "\nNot halal: Contains pork"
-    assert got[14].warnings == ["Contains gluten: barley", "Contains gluten: malt"]
+    assert got[14].warnings == ["Contains gluten: malt", "Contains gluten: barley", "Contains gluten: barley malt"]
 
 
 def test_no_profile_and_replies(spark):

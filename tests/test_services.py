@@ -6,63 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelforge.functions import fixed
-from labelforge.operators import analysis, corrector, labelling, learning, prompts, services
+from labelforge.operators import analysis, corrector, labelling, learning, products, prompts, services
 from labelforge.session import shared_path
 from labelforge.sources import readers, sinks
 
-#: Profile | items | whether the label is safe.
-GOLDEN = """halal | Water, Rice, Salt | yes
-halal | Water, Pork | no
-halal | Gelatin, Sugar | no
-halal | Lard | no
-halal | Ethanol | no
-halal | Wine | no
-halal | Beer | no
-halal | Beef, Salt | yes
-halal gluten_free | Rice, Oil | yes
-halal gluten_free | Pork, Rice | no
-gluten_free | Rice, Corn | yes
-gluten_free | Wheat Flour | no
-gluten_free | Malt Extract | no
-gluten_free | Oats | no
-gluten_free | Barley Malt | no
-gluten_free | Quinoa, Amaranth | yes
-vegetarian | Milk, Eggs, Cheese | yes
-vegetarian | Chicken | no
-vegetarian | Salmon | no
-vegetarian | Gelatin | no
-vegan | Water, Sugar, Soy Protein | yes
-vegan | Milk | no
-vegan | Honey | no
-vegan | Egg Yolk | no
-vegan vegetarian | Tofu, Rice | yes
-vegan vegetarian | Chicken | no
-nut_free | Water, Sunflower Seeds | yes
-nut_free | Peanuts | no
-nut_free | Almond Flour | no
-dairy_free | Water, Oil | yes
-dairy_free | Butter | no
-dairy_free | Whey Protein | no
-gluten_free vegetarian | Rice, Vegetables | yes
-gluten_free vegetarian | Wheat, Lettuce | no
-allergens=sesame | Tahini | yes
-allergens=sesame | Water | yes
-allergens=mustard | Mustard Seeds | no
- | Anything | yes"""
-
-
-def test_golden_verdicts(spark):
-    flags = [f for f, _, _ in fixed.RULES]
-    rows, want = [], []
-    for k, line in enumerate(GOLDEN.splitlines()):
-        profile, items, safe = (x.strip() for x in line.split("|"))
-        names = profile.split()
-        rows.append((k, items.split(", "), *[f in names for f in flags], [n.split("=")[1] for n in names if "=" in n]))
-        want.append(safe == "yes")
-    df = spark.createDataFrame(rows, "k int, items array<string>, " + ", ".join(f"{f} boolean" for f in flags) + ", allergens array<string>")
-    assert [r.is_safe for r in analysis.with_verdict(df).orderBy("k").collect()] == want
-
-
 def test_terms_with_marks(spark):
     df = spark.createDataFrame([(["butter (milk)", "x"],), (["milky way"],), (["skim milk"],)], "items array<string>")
     got = [r[0] for r in df.select(analysis.matched_terms(F.col("items"), "dairy")).collect()]
@@ -100,6 +47,8 @@ def test_box_labels(spark):
 
 
 def test_services(spark):
+    # A column of repaired replies was made and used before: a model call must still go to executors.
+    assert spark.createDataFrame([('x {"a": 1} y',)], 'r string').select(products.repaired(F.col("r"))).first()[0] == '{"a":1}'
     df = spark.createDataFrame([(1, "Sugar and SALT"), (2, None), (3, "nothing known"), (4, " ")], "id int, raw string")
     got = {r.id: (r.success, r.items) for r in services.extracted(df, "raw").collect()}
     assert got == {1: (True, ["Sugar", "Salt"]), 2: (False, []), 3: (True, []), 4: (False, [])}
