@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, fingerprints, html, lm, mixing, neardup, pii, quality, sharding, tokens
+from . import alignment, decontam, fingerprints, html, lm, mixing, neardup, packing, pii, quality, sharding, tokens, whitening
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op6_html, op7_tokens, op8_neardup, op9_lm, op10_sharding)}
+def op11_alignment(spark: SparkSession, sf_dir: str, paths: tuple[str, str] | None = None) -> DataFrame:
+    if paths is None:
+        import public_tokenizers
+
+        paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_overlaps")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fingerprints, op4_quality, op5_mixing, op6_html, op7_tokens, op8_neardup, op9_lm, op10_sharding, op11_alignment, op12_whitening, op13_packing)}
