@@ -34,7 +34,7 @@ GROUPS = """
 CREATE OR REPLACE TEMP TABLE met AS
   SELECT a.s, a.i, a.start, a.stop, a.id AS a, b.id AS b, b.stop = a.stop AS cut FROM a ASOF JOIN b ON a.stop > b.start;
 CREATE OR REPLACE TEMP TABLE own AS
-  SELECT *, (count(*) FILTER (cut) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cut::INT)::BIGINT AS g FROM met;
+  SELECT *, (count_if(cut) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cut::INT)::BIGINT AS g FROM met;
 CREATE OR REPLACE TEMP TABLE other AS
   SELECT b.s, b.i, b.start, b.stop, b.id, coalesce(c.g + 1, 0) AS g FROM b ASOF LEFT JOIN (SELECT stop, g FROM own WHERE cut) c ON b.start >= c.stop;
 """
