@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .stretches import KEPT, batches, bpe_encode, cut, flattened, lasting
+from .stretches import batches, bpe_encode, byte_table, cut, flattened, lasting
 from .tokens import _Known, spread
 
 #: A batch's text; distinct pairs whose counts a task holds before it gives them out; pairs that are broadcast at most.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 HELD_PAIRS = 1 << 20
 SENT_PAIRS = 2_000_000
-#: Memory of DuckDB in a task.
-MEMORY = "400MB"
+#: Distinct stretches that each side keeps, at most, and the memory of DuckDB in a task.
+KEPT = 250_000
+MEMORY = "200MB"
 SPACE = "▁"
 
 #: Intervals of tokens lie one behind the other over all distinct stretches of a batch, so one order serves all joins.
@@ -32,44 +33,46 @@ SPACE = "▁"
 #: own, other: tokens with their group. Groups of b's tokens come from the last cut before them.
 GROUPS = """
 CREATE OR REPLACE TEMP TABLE met AS
-  SELECT a.s, a.i, a.start, a.stop, a.id AS a, b.id AS b, b.stop = a.stop AS cut FROM a ASOF JOIN b ON a.stop > b.start;
+  SELECT a.s, a.i, a.start, a.stop, a.id AS a, b.id AS b, b.stop = a.stop AS cut, b.stop = a.stop AND b.start = a.start AS same FROM a ASOF JOIN b ON a.stop > b.start;
 CREATE OR REPLACE TEMP TABLE own AS
   SELECT *, (count_if(cut) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cut::INT)::BIGINT AS g FROM met;
 CREATE OR REPLACE TEMP TABLE other AS
   SELECT b.s, b.i, b.start, b.stop, b.id, coalesce(c.g + 1, 0) AS g FROM b ASOF LEFT JOIN (SELECT stop, g FROM own WHERE cut) c ON b.start >= c.stop;
 """
 TOKENS = "SELECT s, g, side, id FROM (SELECT s, g, 0 AS side, i, a AS id FROM own UNION ALL SELECT s, g, 1, i, id FROM other) ORDER BY g, side, i"
-LINKS = "SELECT s, a::BIGINT * $size + b AS pair FROM own WHERE cut ORDER BY i"
-OVERLAPS = "SELECT own.s, count(*) AS n FROM own JOIN other ON own.start < other.stop AND other.start < own.stop GROUP BY own.s"
+LINKS = "SELECT s, a::BIGINT * $size + b AS pair, same FROM own WHERE cut ORDER BY i"
+#: Tokens that cover the same bytes are a group by themselves; only the others can overlap in part.
+OVERLAPS = """
+SELECT x.s, count(*) AS n FROM (SELECT s, start, stop FROM own WHERE NOT same) x
+JOIN (SELECT start, stop FROM other WHERE g IN (SELECT g FROM own WHERE NOT same)) y ON x.start < y.stop AND y.start < x.stop GROUP BY x.s
+"""
 COUNTS = "SELECT pair, sum(c)::BIGINT AS n FROM (SELECT s, count(*) AS c FROM used GROUP BY s) JOIN links USING (s) GROUP BY pair"
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups string, pairs array<{pair}>, counts array<long>"
 
 
-def byte_table() -> dict[str, int]:
-    """The byte that each character of a byte-level entry stands for: visible Latin-1 characters themselves, the rest from U+0100 on."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(seen)]
-    return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Side:
     """Token ids of stretches by one tokenizer; a stretch whose tokens' bytes are not its own has none."""
 
     def __init__(self, encode, bytes_of: list[bytes], spaced: bool) -> None:
-        self._encode, self.bytes_of, self._spaced = encode, bytes_of, spaced
+        self._encode, self._spaced = encode, spaced
         self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self._bytes, self._starts = np.frombuffer(b"".join(bytes_of), np.uint8), (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         self._known = _Known(self._checked, KEPT)
 
     def _checked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, lens = self._encode([f" {w}" for w in words] if self._spaced else words)
-        ids, at, bad = flat.tolist(), 0, np.zeros(len(words), bool)
-        for k, (w, n) in enumerate(zip(words, lens.tolist())):
-            bad[k] = b"".join([self.bytes_of[i] for i in ids[at : at + n]]) != b" " + w.encode()
-            at += n
-        if bad.any():
-            flat, lens = flat[~np.repeat(bad, lens)], np.where(bad, 0, lens).astype(np.int32)
-        return flat, lens
+        spaced = [f" {w}" for w in words]
+        flat, lens = self._encode(spaced if self._spaced else words)
+        whole = [w.encode() for w in spaced]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        good = np.diff(np.concatenate([[0], np.cumsum(self.sizes[flat])])[ends]) == size
+        ids = flat[np.repeat(good, lens)]
+        made = spread(self._bytes, self._starts[ids], self.sizes[ids].astype(np.int32))[0]
+        given = np.frombuffer(b"".join([w for w, g in zip(whole, good.tolist()) if g]), np.uint8)
+        kept = np.flatnonzero(good)
+        good[np.repeat(kept, size[kept])[made != given]] = False
+        return flat[np.repeat(good, lens)], np.where(good, lens, 0).astype(np.int32)
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = self._known.rows(words)
@@ -102,7 +105,7 @@ class Aligner:
 
     def __init__(self, tokenizer_json: str, model: bytes) -> None:
         self._a, self._b = sides(tokenizer_json, model)
-        self.size = len(self._b.bytes_of)
+        self.size = len(self._b.sizes)
 
     def align(self, con, texts: pa.Array, digest: bool) -> tuple[list[pa.Array], pa.Table]:
         """Columns of the batch's documents from n_a to pairs, and its pairs with their numbers of links."""
@@ -126,8 +129,8 @@ class Aligner:
         n = len(distinct)
         n_links = np.bincount(links["s"].to_numpy(), minlength=n)
         crossed = con.sql(OVERLAPS).to_arrow_table()
-        n_overlaps = np.zeros(n, np.int64)
-        n_overlaps[crossed["s"].to_numpy()] = crossed["n"].to_numpy()
+        n_overlaps = np.bincount(links["s"].to_numpy()[links["same"].to_numpy()], minlength=n)
+        n_overlaps[crossed["s"].to_numpy()] += crossed["n"].to_numpy()
         shown = grouped(con.sql(TOKENS).to_arrow_table(), n)
         groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), shown.take(pa.array(at))), ";")
         if digest:
@@ -206,6 +209,7 @@ def aligned(docs: DataFrame, tokenizer_path: str, model_path: str, digest: bool
                 if len(held[0]) >= HELD_PAIRS:
                     yield counts()
                     held = []
+        con.close()
         if held and len(held[0]):
             yield counts()
 

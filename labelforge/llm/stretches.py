@@ -6,6 +6,7 @@ the word after it, and never join what such a space parts, give a text the ids o
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -105,11 +106,90 @@ def flattened(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for ids in lists for i in ids), np.uint32, int(lens.sum())), lens
 
 
+#: Characters whose class all versions of Unicode agree on; stretches with others go to the tokenizers library.
+SETTLED = r"^[\x{00}-\x{24F}]*$"
+#: Stretches that are encoded in one string.
+TOGETHER = 8192
+
+
 def bpe_encode(tokenizer_json: str, plain: bool = False) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Ids of many strings by the tokenizers library; with plain, strings of special tokens are ordinary text."""
+    """Ids of many stretches by the tokenizers library's rules; with plain, strings of special tokens are ordinary text.
+
+    A byte-level tokenizer whose merges stand in the order of their ids has the same ids by ranks, which is several times
+    faster: stretches of settled characters without special tokens are encoded so, many in one string, and told apart
+    by their bytes. All other stretches, and all of other tokenizers, go to the library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = plain
-    return lambda texts: flattened(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def library(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    ranked = by_ranks(json.loads(tokenizer_json))
+    if ranked is None:
+        return library
+    encoding, sizes, special = ranked
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = pa.array(texts, pa.string())
+        easy = pc.and_(pc.match_substring_regex(words, SETTLED), pc.match_substring_regex(words, rf"^ ?[^{GAP[1:-1]}]+$"))
+        for t in [] if plain else special:
+            easy = pc.and_not(easy, pc.match_substring(words, t))
+        easy = easy.to_numpy(zero_copy_only=False)
+        spaced = pc.starts_with(words, " ").to_numpy(zero_copy_only=False)
+        # Without a space before it a stretch would run into the one before.
+        quick, slow = np.flatnonzero(easy & spaced), np.flatnonzero(~(easy & spaced))
+        lens, runs = np.zeros(len(texts), np.int32), []
+        bytes_of = pc.binary_length(words).to_numpy()
+        for low in range(0, len(quick), TOGETHER):
+            some = quick[low : low + TOGETHER]
+            ids = np.array(encoding.encode_ordinary("".join([texts[k] for k in some])), np.uint32)
+            stops = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(bytes_of[some])) + 1
+            lens[some] = np.diff(stops, prepend=0)
+            runs.append(ids)
+        first = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
+        if not len(slow):
+            return first, lens
+        rest, lens[slow] = library([texts[k] for k in slow])
+        starts = np.zeros(len(texts), np.int64)
+        starts[quick] = np.cumsum(lens[quick]) - lens[quick]
+        starts[slow] = np.cumsum(lens[slow]) - lens[slow] + len(first)
+        return spread(np.concatenate([first, rest]), starts.astype(np.int32), lens)[0], lens
+
+    return encode
+
+
+def byte_table() -> dict[str, int]:
+    """The byte that each character of a byte-level entry stands for: visible Latin-1 characters themselves, the rest from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+#: Fixed value: how byte-level tokenizers of this kind take words apart.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def by_ranks(spec: dict):
+    """An encoding by ranks, the bytes of each id and the special strings; None for a tokenizer that is not of this kind."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    entries, merges = model.get("vocab"), model.get("merges")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    decoded = byte_table()
+    base = len(entries) - len(merges) - sum(t in entries for t in special)
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    if base != 256 or any(entries.get(a + b) != base + k for k, (a, b) in enumerate(pairs)):
+        return None
+    import tiktoken
+
+    ranks = {bytes(decoded[c] for c in w): i for w, i in entries.items() if w not in special}
+    sizes = np.zeros(max(entries.values()) + 1, np.int64)
+    for b, i in ranks.items():
+        sizes[i] = len(b)
+    return tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, list(special)
