@@ -24,28 +24,62 @@ def contains_term(item: Column, term: Column) -> Column:
     return (i != "") & (t != "") & F.when(t.contains(" "), i.contains(t)).otherwise(F.rlike(i, term_pattern(term)))
 
 
-def matched_terms(items: Column, category: str) -> Column:
-    """The category's terms, in order, that any item holds.
+#: The index of all terms: those of one plain word stand for themselves; those of several are known by the two characters
+#: around their first space, those of one word with marks by the word inside.
+ALL_TERMS = tuple(dict.fromkeys(t for ts in TERMS.values() for t in ts))
+PLAIN = tuple(t for t in ALL_TERMS if re.fullmatch("[a-z0-9]+", t))
+PHRASES = tuple(t for t in ALL_TERMS if " " in t)
+MARKED = tuple(t for t in ALL_TERMS if t not in {*PLAIN, *PHRASES})
 
-    A word of letters and digits stands between other characters exactly if it is one of the tokens between
-    them, so words are looked up among the tokens and only terms of several words or with marks are searched.
+
+def around_space(words: Column) -> Column:
+    """The characters before and after each space between two words, from the words of one item."""
+    pairs = F.arrays_zip(F.slice(words, F.lit(1), F.size(words) - 1).alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
+    return F.transform(pairs, lambda p: F.concat(F.right(p["a"], F.lit(1)), F.lit(" "), F.left(p["b"], F.lit(1))))
+
+
+def with_term_hits(rows: DataFrame, items: str = "items", name: str = "_hits") -> DataFrame:
+    """Adds the terms, of any category and in the index's order, that any of the row's items holds.
+
+    Items are taken apart once: words of letters and digits meet the plain terms, the characters around spaces meet the
+    phrases' keys, both by hashed intersection; only phrases whose key is met are searched. A phrase holds its key, so none
+    is missed. The steps are columns of their own, as lambdas work out what stands in them for each element.
     """
-    low = F.transform(items, F.lower)
-    tokens = F.array_distinct(F.flatten(F.transform(low, lambda i: F.split(i, "[^a-z0-9]+"))))
-    terms = F.array(*[F.lit(t) for t in TERMS[category]])
-    plain = F.filter(terms, lambda t: F.when(t.contains(" "), F.exists(low, lambda i: i.contains(t))).otherwise(F.array_contains(tokens, t)))
-    marked = [t for t in TERMS[category] if not re.fullmatch("[a-z0-9]+", t) and " " not in t]
-    if not marked:
-        return plain
-    found = F.concat(plain, F.filter(F.array(*[F.lit(t) for t in marked]), lambda t: F.exists(items, lambda i: contains_term(i, t))))
-    return F.filter(terms, lambda t: F.array_contains(found, t))
-
-
-def rule_warnings(items: Column, profile: dict[str, Column] | None = None) -> Column:
+    none = F.array().cast("array<string>")
+    low, words, keys = name + "_low", name + "_words", name + "_keys"
+    rows = rows.withColumn(low, F.transform(F.array_compact(F.coalesce(items, none)), F.lower))
+    rows = rows.withColumn(words, F.array_distinct(F.flatten(F.transform(low, lambda i: F.split(i, "[^a-z0-9]+")))))
+    rows = rows.withColumn(keys, F.array_intersect(F.array_distinct(F.flatten(F.transform(low, lambda i: around_space(F.split(i, " "))))), F.array(*[F.lit(k) for k in dict.fromkeys(map(_key, PHRASES))])))
+    by_key: dict[str, list[str]] = {}
+    for t in PHRASES:
+        by_key.setdefault(_key(t), []).append(t)
+    table = F.create_map(*[x for k, ts in by_key.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))])
+    likely = F.flatten(F.transform(keys, lambda k: F.element_at(table, k)))
+    phrases = F.filter(likely, lambda t: F.exists(low, lambda i: i.contains(t)))
+    plain = F.array_intersect(F.array(*map(F.lit, PLAIN)), F.col(words))
+    marked = [F.when(F.array_contains(words, re.search("[a-z0-9]+", t)[0]) & F.exists(low, lambda i: F.rlike(i, F.lit(_plain_pattern(t)))), t) for t in MARKED]  # noqa: B023
+    return rows.withColumn(name, F.array_compact(F.concat(plain, phrases, F.array(*marked).cast("array<string>")))).drop(low, words, keys)
+
+
+def _key(phrase: str) -> str:
+    at = phrase.index(" ")
+    return phrase[at - 1 : at + 2]
+
+
+def _plain_pattern(term: str) -> str:
+    return f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"
+
+
+def of_category(hits: Column, category: str) -> Column:
+    """The hits that are terms of the category, in the category's order."""
+    return F.array_intersect(F.array(*map(F.lit, TERMS[category])), hits)
+
+
+def rule_warnings(hits: Column, items: Column, profile: dict[str, Column] | None = None) -> Column:
     """Warnings in order: flags as in RULES, terms in their order, then one for all matched own allergens."""
     of = profile or {flag: F.col(flag) for flag, _, _ in fixed.RULES} | {"allergens": F.col("allergens")}
     none = F.array().cast("array<string>")
-    parts = [F.when(of[flag], _worded(matched_terms(items, cat), words)).otherwise(none) for flag, cat, words in fixed.RULES]
+    parts = [F.when(of[flag], _worded(of_category(hits, cat), words)).otherwise(none) for flag, cat, words in fixed.RULES]
     own = F.filter(F.coalesce(of["allergens"], none), lambda a: F.exists(items, lambda i: contains_term(i, a)))
     parts.append(F.when(F.size(own) > 0, F.array(F.concat(F.lit("Contains your allergens: "), F.array_join(own, ", ")))).otherwise(none))
     return F.concat(*parts)
@@ -57,7 +91,8 @@ def _worded(terms: Column, words: str) -> Column:
 
 def with_verdict(rows: DataFrame, items: str = "items", has_profile: Column | None = None) -> DataFrame:
     """Adds is_safe, warnings, analysis_result. Without a profile: unsafe, with a fixed warning."""
-    out = rows.withColumn("warnings", F.coalesce(rule_warnings(F.col(items)), F.array().cast("array<string>")))
+    out = with_term_hits(rows, items)
+    out = out.withColumn("warnings", F.coalesce(rule_warnings(F.col("_hits"), F.col(items)), F.array().cast("array<string>"))).drop("_hits")
     known = F.lit(True) if has_profile is None else has_profile
     out = out.withColumn("warnings", F.when(known, F.col("warnings")).otherwise(F.array(F.lit(fixed.NO_PROFILE[0]))))
     told = F.when(F.size("warnings") == 0, fixed.SAFE).otherwise(F.concat(F.lit(fixed.UNSAFE + "\n"), F.array_join("warnings", "\n")))

@@ -11,7 +11,6 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from .metrics import indel_ratio
@@ -41,19 +40,28 @@ def variants(word: str) -> list[str]:
     return sorted({"".join(c for k, c in enumerate(p) if k not in gone) for n in range(DISTANCE + 1) for gone in combinations(range(len(p)), min(n, len(p)))})
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _variants(words: pd.Series) -> pd.Series:
-    return words.map(variants)
+def _variants(word: Column | str) -> Column:
+    @F.pandas_udf("array<string>")
+    def of(words: pd.Series) -> pd.Series:
+        return words.map(variants)
 
+    return of(word)
 
-@F.pandas_udf(T.IntegerType())
-def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa(x, y, DISTANCE) for x, y in zip(a, b)])
 
+def _osa(a: str, b: str) -> Column:
+    @F.pandas_udf("int")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([osa(p, q, DISTANCE) for p, q in zip(x, y)])
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
+    return of(a, b)
+
+
+def _ratio(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(p, q) for p, q in zip(x, y)])
+
+    return of(a, b)
 
 
 def _safe(pairs: DataFrame, src: str, dst: str) -> DataFrame:
@@ -76,12 +84,90 @@ def _allowed(word: Column) -> Column:
     return F.when(F.length(word) <= 5, 1).otherwise(DISTANCE)
 
 
+def counted_weights(truth: DataFrame, vocabulary: DataFrame, items: str = "items") -> DataFrame:
+    """term, weight: one more than the number of times that the term stands in the true lists. Terms are distinct."""
+    terms = vocabulary.select("term").distinct()
+    seen = truth.select(F.explode(items).alias("item")).groupBy(text.low(F.col("item")).alias("term")).agg(F.count(F.lit(1)).alias("_n"))
+    return terms.join(seen, "term", "left").select("term", (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("weight"))
+
+
+def _bare(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def _grams(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def splittable(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The words that differ from some term by no more than the error rate allows, spaces apart. No other can be split into a term.
+
+    An edit touches two of 2e + 1 equal slices at most, so with e edits one slice stands in both; at the error rate slices
+    have three characters or more, and words meet terms over their trigrams. Words too short for an error are out: without
+    one they would be the term itself.
+    """
+    w = words.select("word", _bare(F.col("word")).alias("own")).withColumn("edits", F.floor(F.length("own") * F.lit(ERRORS)).cast("int")).filter("edits > 0")
+    t = vocabulary.select(_bare(F.col("term")).alias("bare")).distinct()
+    met = w.select("word", "own", "edits", F.explode(_grams(F.col("own"))).alias("g")).join(t.select("bare", F.explode(_grams(F.col("bare"))).alias("_g")), F.col("g") == F.col("_g"))
+    # A swap of neighbours is one edit here and two for the plain distance.
+    near = (F.abs(F.length("own") - F.length("bare")) <= F.col("edits")) & (F.levenshtein("own", "bare") <= 2 * F.col("edits"))
+    return met.filter(near).select("word").distinct()
+
+
+def edges(words: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+    """word and its parts by end: for each place of the word without spaces all parts that end there, with start, text, cost and score.
+
+    A part becomes the closest term within DISTANCE (then the weightiest, then by name) at the cost of the edits; without
+    one it stays and costs its length. Each space of the word inside a part costs one, and so does each cut where the word
+    has no space. Scores are logarithms of the terms' shares of all weight (in millionths, so that they add up exactly);
+    a part that is no term scores as ten over ten to its length.
+    """
+    places = F.filter(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.when(F.substring("word", i, F.lit(1)) == " ", i)), lambda i: i.isNotNull())
+    w = words.select("word", _bare(F.col("word")).alias("own"), F.transform(places, lambda i, k: i - 1 - k).alias("gaps"))
+    ends = w.select("*", F.explode(F.sequence(F.lit(1), F.length("own"))).alias("stop"))
+    cut = ends.select("*", F.explode(F.sequence(F.greatest(F.col("stop") - longest, F.lit(0)), F.col("stop") - 1)).alias("start"))
+    cut = cut.withColumn("part", F.expr("substring(own, start + 1, stop - start)"))
+    total = vocabulary.agg(F.sum("weight").alias("total"))
+    told = closest(cut.select(F.col("part").alias("word")).distinct(), vocabulary).join(vocabulary.select("term", "weight"), "term").select(F.col("word").alias("part"), "term", "distance", "weight")
+    rows = cut.join(told, "part", "left").crossJoin(F.broadcast(total))
+    n = F.length("part")
+    inside = F.size(F.filter("gaps", lambda g: (g > F.col("start")) & (g < F.col("stop"))))
+    opens = F.when((F.col("start") == 0) | F.array_contains("gaps", F.col("start")), 0).otherwise(1)
+    share = F.when(F.col("term").isNotNull(), F.log10(F.col("weight") / F.col("total"))).otherwise(F.log10(10 / F.col("total")) - n)
+    edge = F.struct(
+        F.col("start"), F.coalesce("term", "part").alias("text"), (F.coalesce("distance", n) + inside + opens).cast("int").alias("cost"), F.round(share * 1_000_000).cast("long").alias("score"),
+    )
+    by_end = rows.select("word", "stop", edge.alias("e")).groupBy("word", "stop").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return by_end.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("stop", "es"))), lambda x: x["es"]).alias("ends"))
+
+
+def cheapest_cut(ends: Column) -> Column:
+    """text, cost, score of the cheapest sequence of parts; the highest score on ties, then the first by text.
+
+    One fold over the word's places: the best way to a place is that to the start of its last part, and that part.
+    """
+    first = F.array(F.struct(F.lit(0).alias("cost"), F.lit(0).cast("long").alias("loss"), F.lit("").alias("text")))
+
+    def step(best: Column, parts: Column) -> Column:
+        ways = F.transform(parts, lambda e: F.struct((F.element_at(best, e["start"] + 1)["cost"] + e["cost"]).alias("cost"), (F.element_at(best, e["start"] + 1)["loss"] - e["score"]).alias("loss"), F.concat_ws(" ", F.nullif(F.element_at(best, e["start"] + 1)["text"], F.lit("")), e["text"]).alias("text")))
+        return F.concat(best, F.array(F.array_min(ways)))
+
+    last = F.element_at(F.aggregate(ends, first, step), -1)
+    return F.struct(last["text"].alias("text"), last["cost"].alias("cost"), (-last["loss"]).alias("score"))
+
+
+def cuts(words: DataFrame, vocabulary: DataFrame, longest: int | None = None) -> DataFrame:
+    """word, text, cost, score: each word cut into terms (see edges and cheapest_cut). Words are distinct and not empty."""
+    if longest is None:
+        longest = vocabulary.agg(F.coalesce(F.max(F.length("term")), F.lit(1))).first()[0] + DISTANCE
+    return edges(words, vocabulary, longest).select("word", cheapest_cut(F.col("ends")).alias("c")).select("word", "c.*")
+
+
 def segmented(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """word, term: the term that equals the word but for spaces, within the error rate (one space is one error)."""
-    t = vocabulary.filter(F.col("term").contains(" ")).select("term", F.replace("term", F.lit(" "), F.lit("")).alias("_bare"))
-    w = words.withColumn("_own", F.replace("word", F.lit(" "), F.lit("")))
-    met = w.join(t, F.col("_own") == F.col("_bare")).filter(F.abs(F.length("term") - F.length("word")) / F.greatest(F.length("_own"), F.lit(1)) <= ERRORS)
-    return met.groupBy("word").agg(F.min("term").alias("term"))
+    """word, term: words whose cheapest cut is a term, within the error rate."""
+    found = cuts(splittable(words, vocabulary), vocabulary)
+    allowed = F.col("cost") / F.greatest(F.length(_bare(F.col("word"))), F.lit(1)) <= ERRORS
+    return found.filter(allowed).join(F.broadcast(vocabulary.select(F.col("term").alias("text")).distinct()), "text").select("word", F.col("text").alias("term"))
 
 
 def likest(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -104,7 +190,7 @@ def likest(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def corrections(candidates: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
     """raw, fixed, step for the distinct candidates (column raw). vocabulary: term, weight; aliases: wrong, canonical.
 
-    Steps: alias, known, code, short, near, joined, like, words, kept.
+    Steps: alias, known, code, short, near, split, like, words, kept.
     """
     words = candidates.select("raw").distinct().withColumn("word", text.clean_ocr(F.col("raw")))
     known = F.broadcast(vocabulary.select(F.col("term").alias("_known")).distinct())
@@ -117,13 +203,13 @@ def corrections(candidates: DataFrame, vocabulary: DataFrame, aliases: DataFrame
     done = rows.filter("step is not null").select("raw", "fixed", "step")
     left = rows.filter("step is null").select("word").distinct()
     near = _safe(closest(left, vocabulary).filter(F.col("distance") <= _allowed(F.col("word"))).select("word", "term"), "word", "term").withColumn("step", F.lit("near")).withColumn("rank", F.lit(1))
-    joined = _safe(segmented(left, vocabulary), "word", "term").withColumn("step", F.lit("joined")).withColumn("rank", F.lit(2))
+    split = _safe(segmented(left, vocabulary), "word", "term").withColumn("step", F.lit("split")).withColumn("rank", F.lit(2))
     like = _safe(likest(left, vocabulary), "word", "term").withColumn("step", F.lit("like")).withColumn("rank", F.lit(3))
     parts = left.filter(F.col("word").contains(" ")).select(F.col("word").alias("phrase"), F.posexplode(F.split("word", " ")).alias("pos", "word"))
     single = _safe(closest(parts.filter(F.length("word") > 3).select("word").distinct(), vocabulary).filter(F.col("distance") <= _allowed(F.col("word"))).select("word", "term"), "word", "term")
     mended = parts.join(single, "word", "left").groupBy("phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("term", "word").alias("w")))), lambda x: x["w"]), " ").alias("term"))
     mended = mended.filter("phrase <> term").select(F.col("phrase").alias("word"), "term", F.lit("words").alias("step"), F.lit(4).alias("rank"))
-    found = near.unionByName(joined).unionByName(like).unionByName(mended)
+    found = near.unionByName(split).unionByName(like).unionByName(mended)
     best = found.groupBy("word").agg(F.min(F.struct("rank", "term", "step")).alias("b")).select("word", "b.term", F.col("b.step").alias("_step"))
     rest = rows.filter("step is null").select("raw", "word").join(best, "word", "left").select("raw", F.coalesce("term", "word").alias("fixed"), F.coalesce("_step", F.lit("kept")).alias("step"))
     return done.unionByName(rest)

@@ -60,7 +60,7 @@ add(
 )
 add(
     "j1_term_matches",
-    lambda sp, d: views.lists(sp, d).select("doc_id", F.explode(F.flatten(F.array(*[F.transform(op.matched_terms(F.col("items"), c), (lambda c: lambda t: F.concat(F.lit(c + ":"), t))(c)) for c in TERMS]))).alias("hit")),
+    lambda sp, d: op.with_term_hits(views.lists(sp, d)).select("doc_id", F.explode(F.flatten(F.array(*[F.transform(op.of_category(F.col("_hits"), c), (lambda c: lambda t: F.concat(F.lit(c + ":"), t))(c)) for c in TERMS]))).alias("hit")),
     f"WITH {views.SQL_LISTS}, {_TERMS}, {_HIT.format(of='v_lists')} SELECT DISTINCT doc_id, cat || ':' || term AS hit FROM (SELECT doc_id, unnest(items) AS i FROM v_lists) JOIN hit USING (i)",
 )
 add(

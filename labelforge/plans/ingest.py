@@ -55,8 +55,25 @@ add("s3_detection_map", lambda sp, d: readers.detection_map(table(sp, d, "labels
 add("s8_uploads", lambda sp, d: readers.accepted_uploads(table(sp, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "text/plain").otherwise("image/png").alias("mime"), (F.col("n_chars") * 4000).alias("length"))).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND n_chars * 4000 <= 10485760")
 add("s13_vocabulary", lambda sp, d: readers.vocabulary(sp), "SELECT term, weight FROM (VALUES " + ", ".join(f"({s.q(t)}, {w})" for t, w in readers.VOCABULARY) + ") t(term, weight)")
 add("f28_normalized_scan", lambda sp, d: table(sp, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(", a\n b ,"))).otherwise(F.to_json(F.array("p_name", F.lit("  "), F.lit("z")))).alias("raw")).select("p_partkey", F.array_join(readers.as_list(F.col("raw")), "|").alias("items")), "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name || '|a|b' ELSE p_name || '|z' END AS items FROM part")
-add("f15_corrections", lambda sp, d: corrector.corrections(views.ingredients(sp, d).select(F.col("term").alias("raw")), readers.vocabulary(sp), readers.aliases(sp)))
-add("f16_corrected_lists", lambda sp, d: corrector.corrected_lists(views.lists(sp, d), readers.vocabulary(sp), readers.aliases(sp)).select("doc_id", F.array_join("items", "|").alias("items")))
+
+
+def _weighed(sp, d):
+    """The vocabulary, weighed by how often its terms stand in the true lists."""
+    return corrector.counted_weights(views.pairs(sp, d).select(F.col("truth").alias("items")), readers.vocabulary(sp))
+
+
+_TERMS = ", ".join(f"({s.q(t)})" for t, _ in readers.VOCABULARY)
+add("f15_term_weights", _weighed, f"WITH {views.SQL_PAIRS}, n AS (SELECT {s.strip('lower(i)')} AS term, count(*) AS n FROM (SELECT unnest(truth) AS i FROM v_pairs) GROUP BY 1) SELECT term, coalesce(n, 0) + 1 AS weight FROM (VALUES {_TERMS}) v(term) LEFT JOIN n USING (term)")
+
+
+def _run_together(sp, d):
+    """Items of two terms that stand together without their space, as recognition often gives them."""
+    return views.ingredients(sp, d).select(F.replace(text.clean_ocr(F.col("term")), F.lit(" "), F.lit("")).alias("word")).filter("length(word) > 3").distinct()
+
+
+add("f15_split_terms", lambda sp, d: corrector.segmented(_run_together(sp, d), _weighed(sp, d)))
+add("f15_corrections", lambda sp, d: corrector.corrections(views.ingredients(sp, d).select(F.col("term").alias("raw")), _weighed(sp, d), readers.aliases(sp)))
+add("f16_corrected_lists", lambda sp, d: corrector.corrected_lists(views.lists(sp, d), _weighed(sp, d), readers.aliases(sp)).select("doc_id", F.array_join("items", "|").alias("items")))
 add("j12_closest_terms", lambda sp, d: corrector.closest(views.ingredients(sp, d).select(text.clean_ocr(F.col("term")).alias("word")).distinct(), readers.vocabulary(sp)))
 add("j13_likest_terms", lambda sp, d: corrector.likest(views.ingredients(sp, d).select(text.clean_ocr(F.col("term")).alias("word")).distinct(), readers.vocabulary(sp)))
 add("f8_expanded", lambda sp, d: views.lists(sp, d).select("doc_id", F.array_join(products.expanded(F.col("items")), "|").alias("items")))

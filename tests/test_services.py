@@ -1,6 +1,8 @@
 """Verdicts on golden labels, training labels, services, prompts and writers."""
 
 import difflib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +13,22 @@ from labelforge.session import shared_path
 from labelforge.sources import readers, sinks
 
 def test_terms_with_marks(spark):
-    df = spark.createDataFrame([(["butter (milk)", "x"],), (["milky way"],), (["skim milk"],)], "items array<string>")
-    got = [r[0] for r in df.select(analysis.matched_terms(F.col("items"), "dairy")).collect()]
-    assert got == [["milk", "butter", "(milk)"], [], ["milk", "skim milk"]]
+    df = spark.createDataFrame([(["butter (milk)", "x"],), (["milky way"],), (["skim milk"],), ([],), (None,), ([None, "Milk"],)], "items array<string>")
+    got = [r[0] for r in analysis.with_term_hits(df).select(analysis.of_category(F.col("_hits"), "dairy")).collect()]
+    assert got == [["milk", "butter", "(milk)"], [], ["milk", "skim milk"], [], [], ["milk"]]
+
+
+def test_term_hits_equal_a_search_for_each_term(spark):
+    rng = random.Random(4)
+    bits = [w for t in analysis.ALL_TERMS for w in (t, t[1:], t + "s", t.upper(), t.replace(" ", "  "))] + ["xx", "(milk)s", "a(milk)", "-", "é", ""]
+    lists = [["".join(rng.choice(bits) + rng.choice([" ", ", ", "", "-"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 4))] for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, items array<string>")
+
+    def held(t, i):
+        return t in i.lower() if " " in t else bool(re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", i.lower()))
+
+    for r in analysis.with_term_hits(df).collect():
+        assert set(r._hits) == {t for t in analysis.ALL_TERMS if any(held(t, i) for i in lists[r.k])}
 
 
 def plain_label(text, items):
@@ -29,8 +44,6 @@ def plain_label(text, items):
 
 
 def labelling_re(kind, text):
-    import re
-
     pattern = {"header": fixed.LABEL_HEADER, "junk": fixed.LABEL_JUNK, "stop": "(?i)" + "|".join(fixed.LABEL_STOPS)}[kind]
     return bool(re.search(pattern, text if kind == "stop" else text.strip()))
 
