@@ -1,23 +1,20 @@
-"""The box classifier: character n-gram TF-IDF and box features into a balanced logistic regression.
-
-N-grams are hashed to BUCKETS columns, so no vocabulary passes through the driver however many there are; columns that
-fewer than two boxes use weigh nothing.
-"""
+"""The box classifier: character n-gram TF-IDF and box features into a balanced logistic regression."""
 
 from __future__ import annotations
 
 import json
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ranks import ranked
+from ..session import saved
 from . import boxes as op
+from . import logistic, ngrams
 
 FEATURES = tuple(
     sorted(
@@ -25,24 +22,16 @@ FEATURES = tuple(
         + [f"{side}{h}" for side in ("", "prev_", "next_") for h in ("has_ingredient_hint", "has_noningredient_hint", "has_header_hint")]
     )
 )
-#: Columns of hashed n-grams, n-gram sizes, and the least boxes of a column that counts.
-BUCKETS, SIZES, MIN_DOCS = 1 << 17, (3, 4, 5), 2
-#: Steps of the optimiser at most; it stops where the loss changes by less than TOLERANCE.
-MAX_ITER, TOLERANCE = 100, 1e-4
 #: Split of images by a hash of their id: eight, one and one of ten buckets.
 TRAIN, VALID = 8, 9
+#: Rows of a block of training arrays.
+ROWS = 1024
 
 
 def inputs(boxes: DataFrame) -> DataFrame:
-    """Features and the lower-cased context of each box."""
+    """Features and the lower-cased context of each box, runs of white space as one space."""
     rows = op.features(op.with_context(op.prepared(boxes)))
-    return rows.withColumn("chars", F.lower("context_text")).drop("prev_text", "next_text", "context_text")
-
-
-def grams(c: Column) -> Column:
-    """All character n-grams of a text, repeats counted."""
-    parts = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in SIZES]  # noqa: B023
-    return F.concat(*parts)
+    return rows.withColumn("chars", F.regexp_replace(F.lower("context_text"), r"(?U)\s\s+", " ")).drop("prev_text", "next_text", "context_text")
 
 
 def bucket_of(image: Column, seed: int = 42) -> Column:
@@ -51,50 +40,89 @@ def bucket_of(image: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % 10
 
 
-def splits(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b = bucket_of(F.col("image_id"))
-    return rows.filter(b < TRAIN), rows.filter(b == TRAIN), rows.filter(b == VALID)
+def image_splits(rows: DataFrame, image: str = "image_id", seed: int = 42, held_out: float = 0.2) -> DataFrame:
+    """image and split: of all images the first by a seeded hash, rounded up, are held out; half of these (rounded up) test, the rest valid."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(image).cast("string")).cast("binary"))
+    laid = ranked(rows.select(image).distinct().withColumn("_mark", mark), [], ["_mark", image], "_place")
+    out = laid.agg(F.count(F.lit(1)).alias("_n")).select(F.ceil(F.col("_n") * held_out).alias("_out"))
+    part = F.when(F.col("_place") >= F.col("_out"), "train").when(F.col("_place") < F.ceil(F.col("_out") / 2), "test").otherwise("valid")
+    return laid.crossJoin(F.broadcast(out)).select(image, part.alias("split"))
+
+
+def with_split(rows: DataFrame, image: str = "image_id", seed: int = 42, held_out: float = 0.2) -> DataFrame:
+    """Adds split; all rows of an image are of one."""
+    return rows.join(image_splits(rows, image, seed, held_out), image)
+
 
+@dataclass
+class BoxModel:
+    """A vocabulary, its weights, the features' weights and the intercept; the last gradient's norm and the passes it took."""
 
-def counted(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds tf, the n-gram counts by column."""
-    hashed = HashingTF(numFeatures=buckets, inputCol="_grams", outputCol="tf")
-    return hashed.transform(rows.withColumn("_grams", grams(F.col("chars")))).drop("_grams", "chars")
+    words: ngrams.Vocabulary
+    weights: np.ndarray
+    features: np.ndarray
+    intercept: float
+    gradient: float = 0.0
+    passes: int = 0
 
 
-def weighted(held: DataFrame, idf: list[float]) -> DataFrame:
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="_scaled").transform(held)
-    return Normalizer(p=2.0, inputCol="_scaled", outputCol="tfidf").transform(scaled).drop("_scaled", "tf")
+def _dense(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in FEATURES])
 
 
-def fit(rows: DataFrame, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, max_iter: int = MAX_ITER) -> tuple[PipelineModel, list[float]]:
-    """Model and idf weights (ln((1 + n) / (1 + df)) + 1; 0 under min_docs boxes) from inputs with label.
+def fit(rows: DataFrame, min_texts: int = ngrams.MIN_TEXTS, least: float = logistic.GRADIENT, steps: int = logistic.STEPS) -> BoxModel:
+    """The model of inputs with label, with all n-grams that min_texts boxes hold, at the optimum.
 
-    Box features are brought to unit variance first: places in thousands of pixels would leave the optimiser crawling.
-    The counted rows are kept while the weights and the regression go over them; lost parts are made again.
+    Both classes weigh the same; the penalty is half the squares of all coefficients but the intercept, beside the sum of
+    weighted losses. It ends where the gradient of the mean loss has a norm of `least` or below. Rows are written once as
+    sparse blocks, which every pass reads; lost tasks are run again.
     """
-    held = counted(rows, buckets).persist()
-    try:
-        n, positive = held.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
-        if not n:
-            raise ValueError("no labelled boxes")
-        df = IDF(inputCol="tf", outputCol="_idf").fit(held).docFreq
-        idf = [math.log((1 + n) / (1 + d)) + 1 if d >= min_docs else 0.0 for d in df]
-        weight = F.when(F.col("label") == 1, n / (2 * max(1, positive))).otherwise(n / (2 * max(1, n - positive)))
-        stages = [
-            VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="manual"), VectorAssembler(inputCols=["tfidf", "manual"], outputCol="features"),
-            LogisticRegression(weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE),
-        ]
-        ready = weighted(held, idf).withColumn("w", weight).withColumn("label", F.col("label").cast("double"))
-        return Pipeline(stages=stages).fit(ready), idf
-    finally:
-        held.unpersist()
-
-
-def predict(model: PipelineModel, idf: list[float], rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    held = saved(rows.select("chars", "label", *FEATURES), "labelled")
+    n, positive = held.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
+    if not n:
+        raise ValueError("no labelled boxes")
+    words = ngrams.vocabulary(held, "chars", min_texts)
+    sent = held.sparkSession.sparkContext.broadcast((words.alphabet, words.codes, words.idf()))
+    share = {1: n / (2 * max(1, positive)), 0: n / (2 * max(1, n - positive))}
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet, codes, idf = sent.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                b = batch.slice(low, ROWS)
+                y = (b.column(1).to_numpy(zero_copy_only=False) == 1).astype(float)
+                starts, ids, values = ngrams.vectors([t or "" for t in b.column(0).to_pylist()], alphabet, codes, idf)
+                yield logistic.block_batch([logistic.block_row(starts, ids, values, _dense(b), y, np.where(y == 1, share[1], share[0]))])
+
+    made = saved(held.mapInArrow(blocks, logistic.BLOCK), "blocks")
+    problem = logistic.Problem(made, len(words.codes), len(FEATURES))
+    c = logistic.minimise(problem, steps, least)
+    norm = float(np.linalg.norm(problem.value(c)[1]))
+    k = len(words.codes)
+    return BoxModel(words, c[:k], c[k:-1], float(c[-1]), norm, problem.passes)
+
+
+def predict(model: BoxModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds pred_prob and pred_label; an empty table keeps both columns."""
-    out = model.transform(weighted(counted(rows, len(idf)), idf)).withColumn("pred_prob", vector_to_array("probability")[1])
-    return out.withColumn("pred_label", (F.col("pred_prob") >= threshold).cast("int")).select("image_id", "box_id", "text", "pred_prob", "pred_label", *[c for c in ("label",) if c in rows.columns])
+    w = model.words
+    sent = rows.sparkSession.sparkContext.broadcast((w.alphabet, w.codes, w.idf(), model.weights, model.features, model.intercept))
+    kept = [c for c in ("image_id", "box_id", "text", "label", "split") if c in rows.columns]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet, codes, idf, weights, features, intercept = sent.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                b = batch.slice(low, ROWS)
+                texts = [t or "" for t in b.column(b.schema.get_field_index("chars")).to_pylist()]
+                starts, ids, values = ngrams.vectors(texts, alphabet, codes, idf)
+                margin = logistic.row_sums(values * weights[ids], starts) + _dense(b) @ features + intercept
+                prob = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(prob), pa.array((prob >= threshold).astype(np.int32))], [*kept, "pred_prob", "pred_label"])
+
+    out = rows.select(*kept, "chars", *FEATURES).mapInArrow(work, f"{fields}, pred_prob double, pred_label int")
+    front = [c for c in ("image_id", "box_id", "text") if c in kept]
+    return out.select(*front, "pred_prob", "pred_label", *[c for c in kept if c not in front])
 
 
 def report(rows: DataFrame, label: str = "label", pred: str = "pred_label") -> DataFrame:
@@ -109,13 +137,19 @@ def report(rows: DataFrame, label: str = "label", pred: str = "pred_label") -> D
     return out.select("class", "support", precision.alias("precision"), recall.alias("recall"), both.alias("f1"))
 
 
-def save(spark: SparkSession, model: PipelineModel, idf: list[float], threshold: float, path: str) -> None:
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(json.dumps({"idf": idf, "threshold": threshold, "features": list(FEATURES)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+def save(spark: SparkSession, model: BoxModel, threshold: float, path: str) -> None:
+    """The bundle: a table of n-grams with their counts and weights, and what is small as JSON."""
+    w = model.words
+    terms = pa.table({"code": w.codes, "texts": w.held, "weight": model.weights})
+    spark.createDataFrame(terms).write.mode("overwrite").parquet(f"{path}/terms")
+    meta = {"texts": w.texts, "alphabet": "".join(map(chr, w.alphabet)), "weights": dict(zip(FEATURES, model.features.tolist())), "intercept": model.intercept, "threshold": threshold, "features": list(FEATURES)}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[float], float]:
+def load(spark: SparkSession, path: str) -> tuple[BoxModel, float]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if missing := {"idf", "threshold", "features"} - set(meta):
+    if missing := {"texts", "alphabet", "weights", "intercept", "threshold", "features"} - set(meta):
         raise ValueError(f"model bundle lacks {sorted(missing)}")
-    return PipelineModel.load(f"{path}/model"), meta["idf"], meta["threshold"]
+    terms = spark.read.parquet(f"{path}/terms").orderBy("code").toArrow()
+    words = ngrams.Vocabulary(meta["texts"], np.array([ord(c) for c in meta["alphabet"]], np.uint32), terms["code"].to_numpy(), terms["texts"].to_numpy())
+    return BoxModel(words, terms["weight"].to_numpy(), np.array([meta["weights"][f] for f in FEATURES]), meta["intercept"]), meta["threshold"]

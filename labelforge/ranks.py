@@ -1,0 +1,89 @@
+"""Places of rows in an order, without ever gathering the rows of a group."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .session import saved
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, compared without case."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix with which no column of df begins, compared without case."""
+    prefix = "_lf"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds the long column `name`: each row's place, from 0, in its group by order (nulls first).
+
+    No group is ever gathered in one task. Rows are range-partitioned by (group, order), sorted where they
+    are, numbered per partition and written; the offsets come from one small row per partition and group.
+    Equal rows get neighbouring places in any order.
+    """
+    x = free_prefix(df)
+    at, part, there, off = x + "at", x + "part", x + "there", x + "off"
+    cols = [F.col(c) for c in (*group, *order)]
+    laid = saved(
+        df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(at, F.monotonically_increasing_id()),
+        "ranked",
+    ).withColumn(part, F.shiftright(at, 33))
+    names = [f"{x}g{i}" for i in range(len(group))]
+    spans = laid.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(part).alias(there)).agg(
+        F.min(at).alias("lo"), F.count(F.lit(1)).alias("n")
+    )
+    before = Window.partitionBy(*names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(off, F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).drop("lo", "n")
+    same = laid[part] == spans[there]
+    for c, n in zip(group, names):
+        same = same & laid[c].eqNullSafe(spans[n])
+    return laid.join(spans, same).withColumn(name, F.col(at) + F.col(off)).drop(at, part, there, off, *names)
+
+
+def at_places(df: DataFrame, group: Sequence[str], value: str, places: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of `places` (group columns, place from 0, anything else) with the value that stands there in the group's order.
+
+    Values are counted first, so equal ones share a row; only the runs of distinct values are ranked, by the sums of
+    their counts before them. Nulls are no values. Places outside a group have no row.
+    """
+    runs = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_runs"))
+    x = free_prefix(runs)
+    at, part, there, upto = x + "at", x + "part", x + "there", x + "upto"
+    cols = [F.col(c) for c in (*group, value)]
+    laid = saved(runs.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(at, F.monotonically_increasing_id()), "runs").withColumn(part, F.shiftright(at, 33))
+    names = [f"{x}g{i}" for i in range(len(group))]
+    spans = laid.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(part).alias(there)).agg(F.sum("_runs").alias("_all"))
+    before = Window.partitionBy(*names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(upto, F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    # A place first meets the partition that holds it, then the run within it.
+    own = [F.col(c).alias(f"{x}p{i}") for i, c in enumerate(group)]
+    asked = places.select(*own, *[F.col(c) for c in places.columns if c not in group])
+    met = asked.join(F.broadcast(spans) if not group else spans, _both(asked, x, "p", spans, "g", len(group)) & (F.col(place) >= F.col(upto)) & (F.col(place) < F.col(upto) + F.col("_all")))
+    met = met.drop(*names).withColumnRenamed(upto, x + "base")
+    within = Window.partitionBy(part, *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = laid.withColumn(x + "from", F.coalesce(F.sum("_runs").over(within), F.lit(0)))
+    same = (local[part] == met[there]) & (F.col(place) - F.col(x + "base") >= F.col(x + "from")) & (F.col(place) - F.col(x + "base") < F.col(x + "from") + local["_runs"])
+    for i, c in enumerate(group):
+        same = same & local[c].eqNullSafe(met[f"{x}p{i}"])
+    kept = [c for c in places.columns if c not in group]
+    return local.join(met, same).select(*group, *kept, value)
+
+
+def _both(left: DataFrame, x: str, a: str, right: DataFrame, b: str, n: int):
+    same = F.lit(True)
+    for i in range(n):
+        same = same & left[f"{x}{a}{i}"].eqNullSafe(right[f"{x}{b}{i}"])
+    return same

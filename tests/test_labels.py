@@ -192,12 +192,12 @@ def test_accounts(spark):
 def test_classifier_round_trip(spark, tmp_path):
     rows = [(i, b, "sugar, salt" if (i + b) % 2 else "store below 20", 1.0, 0.0, b * 30.0, 50.0, b * 30 + 20.0, (i + b) % 2) for i in range(12) for b in range(6)]
     df = learning.inputs(spark.createDataFrame(rows, "image_id long, box_id long, text string, confidence double, x1 double, y1 double, x2 double, y2 double, label int"))
-    model, idf = learning.fit(df, buckets=1 << 12, max_iter=15)
-    got = learning.predict(model, idf, df)
+    model = learning.fit(df)
+    got = learning.predict(model, df)
     assert got.filter("label = pred_label").count() > 0.9 * len(rows)
-    learning.save(spark, model, idf, 0.5, str(tmp_path))
-    again = learning.predict(*learning.load(spark, str(tmp_path))[:2], df)
-    assert got.exceptAll(again).isEmpty() and learning.predict(model, idf, df.limit(0)).columns == got.columns
+    learning.save(spark, model, 0.5, str(tmp_path))
+    again = learning.predict(learning.load(spark, str(tmp_path))[0], df)
+    assert got.exceptAll(again).isEmpty() and learning.predict(model, df.limit(0)).columns == got.columns
 
 
 def test_streams(spark, tmp_path):
