@@ -25,7 +25,7 @@ FEATURES = tuple(
 #: Split of images by a hash of their id: eight, one and one of ten buckets.
 TRAIN, VALID = 8, 9
 #: Rows of a block of training arrays.
-ROWS = 1024
+ROWS = 512
 
 
 def inputs(boxes: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def with_split(rows: DataFrame, image: str = "image_id", seed: int = 42, held_ou
 
 @dataclass
 class BoxModel:
-    """A vocabulary, its weights, the features' weights and the intercept; the last gradient's norm and the passes it took."""
+    """A vocabulary, its weights, the features' weights and the intercept; the last gradient's largest entry and the passes it took."""
 
     words: ngrams.Vocabulary
     weights: np.ndarray
@@ -70,11 +70,11 @@ def _dense(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in FEATURES])
 
 
-def fit(rows: DataFrame, min_texts: int = ngrams.MIN_TEXTS, least: float = logistic.GRADIENT, steps: int = logistic.STEPS) -> BoxModel:
+def fit(rows: DataFrame, min_texts: int = ngrams.MIN_TEXTS, least: float = logistic.GRADIENT, steps: int = logistic.NEWTON) -> BoxModel:
     """The model of inputs with label, with all n-grams that min_texts boxes hold, at the optimum.
 
     Both classes weigh the same; the penalty is half the squares of all coefficients but the intercept, beside the sum of
-    weighted losses. It ends where the gradient of the mean loss has a norm of `least` or below. Rows are written once as
+    weighted losses. It ends where no entry of the mean loss's gradient is larger than `least`. Rows are written once as
     sparse blocks, which every pass reads; lost tasks are run again.
     """
     held = saved(rows.select("chars", "label", *FEATURES), "labelled")
@@ -91,13 +91,12 @@ def fit(rows: DataFrame, min_texts: int = ngrams.MIN_TEXTS, least: float = logis
             for low in range(0, batch.num_rows, ROWS):
                 b = batch.slice(low, ROWS)
                 y = (b.column(1).to_numpy(zero_copy_only=False) == 1).astype(float)
-                starts, ids, values = ngrams.vectors([t or "" for t in b.column(0).to_pylist()], alphabet, codes, idf)
-                yield logistic.block_batch([logistic.block_row(starts, ids, values, _dense(b), y, np.where(y == 1, share[1], share[0]))])
+                found = ngrams.vectors([t or "" for t in b.column(0).to_pylist()], alphabet, codes, idf)
+                yield logistic.block_batch([logistic.block_row(*found, _dense(b), y, np.where(y == 1, share[1], share[0]))])
 
     made = saved(held.mapInArrow(blocks, logistic.BLOCK), "blocks")
-    problem = logistic.Problem(made, len(words.codes), len(FEATURES))
-    c = logistic.minimise(problem, steps, least)
-    norm = float(np.linalg.norm(problem.value(c)[1]))
+    problem = logistic.Problem(made, words.idf(), len(FEATURES))
+    c, norm = logistic.minimise(problem, least, steps)
     k = len(words.codes)
     return BoxModel(words, c[:k], c[k:-1], float(c[-1]), norm, problem.passes)
 
@@ -115,8 +114,9 @@ def predict(model: BoxModel, rows: DataFrame, threshold: float = 0.5) -> DataFra
             for low in range(0, batch.num_rows, ROWS):
                 b = batch.slice(low, ROWS)
                 texts = [t or "" for t in b.column(b.schema.get_field_index("chars")).to_pylist()]
-                starts, ids, values = ngrams.vectors(texts, alphabet, codes, idf)
-                margin = logistic.row_sums(values * weights[ids], starts) + _dense(b) @ features + intercept
+                starts, ids, n, scale = ngrams.vectors(texts, alphabet, codes, idf)
+                total = np.concatenate([[0.0], np.cumsum(n * (weights * idf)[ids])])
+                margin = (total[starts[1:]] - total[starts[:-1]]) * scale + _dense(b) @ features + intercept
                 prob = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(prob), pa.array((prob >= threshold).astype(np.int32))], [*kept, "pred_prob", "pred_label"])
 

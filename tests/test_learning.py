@@ -52,8 +52,8 @@ def test_vocabulary_counts_texts(spark, monkeypatch):
     assert got.texts == 201 and sorted(got.held.tolist()) == sorted(n for n in held.values() if n >= 3) and (np.diff(got.codes) > 0).all()
     with pytest.raises(ValueError):
         ngrams.vocabulary(df, "chars", 1, most=10)
-    starts, ids, values = ngrams.vectors(["abab", "", "zzz"], got.alphabet, got.codes, got.idf())
-    assert starts.tolist()[1:] == [len(ids)] * 3 and abs((values**2).sum() - 1) < 1e-12
+    starts, ids, n, scale = ngrams.vectors(["abab", "", "zzz"], got.alphabet, got.codes, got.idf())
+    assert starts.tolist()[1:] == [len(ids)] * 3 and abs(((n * got.idf()[ids] * scale[0]) ** 2).sum() - 1) < 1e-12
 
 
 def dense_fit(rows, penalty=1.0):
