@@ -75,6 +75,10 @@ class Vocabulary:
         c, m = self.classes, self.members
         return {"emb": (c * m, WIDTH), "pos": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "cls": (c, WIDTH), "clsb": (c,), "out": (c, m, WIDTH), "outb": (c, m)}
 
+    def plain(self) -> tuple:
+        """The fields: broadcasts name classes by their module, which executors need not have."""
+        return self.classes, self.members, self.words, self.own, self.tokens, self.share, self.listed, self.other
+
     def unpack(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for k, shape in self.shapes.items():
@@ -189,10 +193,11 @@ def slots(texts: pa.Array, v: Vocabulary, listed: pa.Array) -> tuple[np.ndarray,
 
 def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFrame:
     """Per row: doc_id, turn, shard, place (a hash of id and text), n_tokens, inner (log P of words in slots), ids (v.kind)."""
-    sent = docs.sparkSession.sparkContext.broadcast(v)
+    sent = docs.sparkSession.sparkContext.broadcast(v.plain())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, listed = sent.value, pa.array(sent.value.words, pa.string())
+        v = Vocabulary(*sent.value)
+        listed = pa.array(v.words, pa.string())
         for batch in batches:
             for low, high in pieces(batch.column(2)):
                 ids, sizes, inner = slots(batch.column(2).slice(low, high - low), v, listed)
@@ -286,10 +291,11 @@ def train(rows: DataFrame, v: Vocabulary, shards: int, rounds: int) -> np.ndarra
     """Parameters after the rounds, from prepared rows: each token of each document is a target once."""
     sc, flat = rows.sparkSession.sparkContext, first_parameters(v)
     for turn in range(rounds):
-        sent = sc.broadcast((v, flat))
+        sent = sc.broadcast((v.plain(), flat))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, start = sent.value
+            plain, start = sent.value
+            v = Vocabulary(*plain)
             shard, flat, n, held, size = None, start, 0, [], 0
 
             def take() -> None:
@@ -346,10 +352,11 @@ def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def scores(rows: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
     """Per prepared row: doc_id, n_tokens, log_prob (their sum), mean_log_prob, perplexity."""
-    sent = rows.sparkSession.sparkContext.broadcast((v, flat))
+    sent = rows.sparkSession.sparkContext.broadcast((v.plain(), flat))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = sent.value
+        plain, flat = sent.value
+        v = Vocabulary(*plain)
         p = v.unpack(flat)
         for batch in batches:
             for low, high in pieces(batch.column(3)):
