@@ -9,9 +9,10 @@
    its own that no hub of the bucket is linked with yet) is compared with all others. Pairs are pruned by the
    posterior of their likeness after each batch of hashes, survivors are confirmed on full sets, and confirmed links
    merge components. A group of copies so costs one pair per member.
-6. What is left. With i shingles in common with the hub and s shared with anyone, two members have at most
-   min(i, i') + min(s - i, s' - i') in common. All pairs of different components that this bound allows are compared,
-   each in the first band that it shares; one side is always outside the component of the bucket's first hub.
+6. What is left meets over its rarest shingles. In one order of all shingles, the rarest first, two sets of n and n' alike
+   enough share one of the first floor((1 - t) n) + 1 of either, so what a whole template shares makes no pair. With i
+   shingles in common with the hub and s shared with anyone, two members have at most min(i, i') + min(s - i, s' - i') in
+   common. Pairs of different components that share a band and that this bound allows are compared.
 7. Links are contracted by alternating large and small stars, in tables, never on the driver.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -33,7 +34,7 @@ from .common import saved
 BANDS, ROWS = 24, 5
 #: Hashes compared before each test of the posterior, and the chance that a test drops a true link.
 BATCH, MISS = 24, 1e-7
-#: Rounds with one hub a bucket, before all pairs that are left are compared.
+#: Rounds with one hub a bucket, before what is left meets over its rarest shingles.
 HUB_ROUNDS = 2
 #: Ids sent to all executors to pick out texts, at most; beyond it the texts are joined by shuffling.
 SENT_IDS = 500_000
@@ -119,8 +120,8 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(sizes[:, k]) for k in range(3)]], ["a", "b", "i", "n", "m"])
 
 
-def unshared(texts: DataFrame) -> DataFrame:
-    """rep, own: how many of a text's shingles no other of these texts (doc_id, text) has."""
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """rep, shingle: the distinct shingles of each of the texts (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +137,30 @@ def unshared(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found).view(np.int64))], ["rep", "shingle"])
                 low = high
 
-    met = texts.select("doc_id", "text").mapInArrow(work, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    return texts.select("doc_id", "text").mapInArrow(work, "rep long, shingle long")
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """rep, own: how many of a text's shingles no other of these texts (doc_id, text) has."""
+    met = shingle_rows(texts).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
     return met.filter("n = 1").groupBy(F.col("rep").alias("_rep")).agg(F.count(F.lit(1)).alias("own"))
 
 
+def prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """rep, shingle: the rarest shingles of each of reps (rep, n, single) that another has too.
+
+    Of n shingles the first floor((1 - t) n) + 1 count, by the number of reps that have them and then by hash; of ids that
+    stand for several texts all do.
+    """
+    rows = saved(shingle_rows(texts.join(reps.select(F.col("rep").alias("_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")), "left_shingles")
+    held = rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count_distinct("rep").alias("held"))
+    by_rarity = Window.partitionBy("rep").orderBy("held", "shingle")
+    met = rows.distinct().join(held, F.col("shingle") == F.col("_shingle")).withColumn("place", F.row_number().over(by_rarity))
+    met = met.join(reps.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"))
+    first = F.floor((100 - percent) * F.col("n") / 100) + 1
+    return met.filter((F.col("held") > 1) & (~F.col("single") | (F.col("place") <= first))).select("rep", "shingle")
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if small:
@@ -223,28 +244,24 @@ def merged(told: DataFrame, found: DataFrame | None) -> DataFrame | None:
     return components(links if found is None else links.unionAll(found))
 
 
-def left_over(buckets: DataFrame, found: DataFrame | None, banded: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that no bound excludes, each once, in the first band that it shares.
-
-    Every such pair has a side outside the component of the bucket's first hub: those are few, as the hub has taken
-    what is like it.
-    """
+def left_over(buckets: DataFrame, found: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and one of their rarest shingles and that no bound excludes."""
     placed = _with_components(buckets, found)
-    keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min("n").alias("_least"), F.max(F.get("met", F.lit(0))["hub"]).alias("_hub"))
-    keys = _with_components(keys.filter("_low < _high"), found, "_hub", "_first").select("_key", "_least", "_first")
-    placed = placed.join(keys, F.col("key") == F.col("_key")).drop("_key")
-    placed = placed.filter(_possible(F.col("s"), F.col("n"), F.greatest("_least", "s"), percent))
-    placed = placed.withColumn("away", ~F.col("comp").eqNullSafe(F.col("_first"))).drop("_least", "_first")
-    # Ids that stand for several texts have no one list of bands: their pairs are made in every band.
-    reps = placed.filter("single").select(F.col("rep").alias("_rep")).distinct()
-    cuts = banded.join(reps, F.col("rep") == F.col("_rep")).groupBy("_rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("cuts"))
-    placed = saved(placed.join(cuts, F.col("rep") == F.col("_rep"), "left").drop("_rep"), "left")
-    other = placed.filter("away").select(*[F.col(c).alias(f"_{c}") for c in ("key", "rep", "comp", "n", "s", "met", "cuts")])
-    once = ~F.col("away") | (F.col("rep") < F.col("_rep"))
-    first = F.array_position(F.zip_with("cuts", "_cuts", lambda x, y: x == y), True) - 1 == F.col("band")
-    fits = _possible(_bound("s", "met", "_s", "_met"), F.col("n"), F.col("_n"), percent)
-    met = placed.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & once & fits & F.coalesce(first, F.lit(True)))
-    return met.select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min("n").alias("_least")).filter("_low < _high")
+    placed = placed.join(keys, F.col("key") == F.col("_key")).filter(_possible(F.col("s"), F.col("n"), F.greatest("_least", "s"), percent))
+    left = saved(placed.select("key", "rep", "comp", "n", "s", "single", "met"), "left")
+    reps = saved(left.select("rep", "n", "single").distinct(), "left_reps")
+    rare = saved(prefixes(reps, texts, percent), "prefixes")
+    one, other = rare.select(F.col("rep").alias("a"), "shingle"), rare.select(F.col("rep").alias("b"), F.col("shingle").alias("_shingle"))
+    size = reps.select("rep", F.when(F.col("single"), F.col("n")).alias("n"))
+    pairs = one.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    pairs = pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("_na")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("_nb")), "b")
+    pairs = saved(pairs.filter(F.coalesce(_possible(F.least("_na", "_nb"), F.col("_na"), F.col("_nb"), percent), F.lit(True))).select("a", "b"), "rare_pairs")
+    # Of these the ones that lie in a bucket together and that its hubs do not exclude.
+    x = left.select("key", F.col("rep").alias("a"), "comp", "n", "s", "met")
+    y = left.select(F.col("rep").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("key", "comp", "n", "s", "met")])
+    met = pairs.join(x, "a").join(y, ["b"]).filter((F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")))
+    return met.filter(_possible(_bound("s", "met", "_s", "_met"), F.col("n"), F.col("_n"), percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -297,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         one = F.struct(i.alias("i"), F.col("_hub").alias("hub"), linked.alias("linked"))
         buckets = saved(placed.withColumn("met", F.when(F.col("_hub").isNotNull(), F.array_append("met", one)).otherwise(F.col("met"))).select(*_BUCKET), "buckets")
 
-    pairs = saved(left_over(buckets, found, banded, percent), "pairs")
+    pairs = saved(left_over(buckets, found, texts, percent), "pairs")
     if not pairs.isEmpty():
         found = merged(saved(compared(pairs, signed, texts, percent), "told"), found)
 

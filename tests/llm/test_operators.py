@@ -509,6 +509,24 @@ def test_keep_one(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def chained(n):
+    """Texts of one template, each with two tails of which either neighbour has one: none is like another enough."""
+    base = " ".join(f"base{k}" for k in range(104))
+    tail = lambda k: " ".join(f"t{k}x{i}" for i in range(17))
+    return [(k, f"{base} {tail(k)} {tail(k + 1)}") for k in range(n)]
+
+
+def test_a_template_makes_pairs_in_proportion(spark, monkeypatch):
+    made = {}
+    plain = neardup.compared
+    for n in (60, 240):
+        held = made[n] = []
+        monkeypatch.setattr(neardup, "compared", lambda pairs, *a, held=held: held.append(pairs.count()) or plain(pairs, *a))
+        got = neardup.near_duplicates(spark.createDataFrame(chained(n), "doc_id long, text string"), 85).collect()
+        assert all(r.component_id == r.doc_id and r.kept for r in got) and len(got) == n
+    assert sum(made[240]) < 6 * sum(made[60]) and made[240][-1] < 2 * 240
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (95, 100)]
     got = {r.u: r.v for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
