@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..ranks import at_places
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -139,14 +140,38 @@ def fuzzy_counts(rows: DataFrame, items: str, whole: str, threshold: float) -> C
     return count(F.transform(items, text.fuzzy_form), text.fuzzy_form(F.col(whole)))
 
 
-def indexed_percentile(values: Column, p: float) -> Column:
-    """The value at place int(n * p), the last at most; no interpolation."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.least(F.floor(F.size(s) * F.lit(p)).cast("int"), F.size(s) - 1))
+def indexed_percentiles(rows: DataFrame, value: str, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share p: the value at place int(n * p) of the group's order, the last at most; no interpolation.
+
+    Places are counted out over range partitions, so no group is ever gathered. Nulls are no values; a group of none has nulls.
+    """
+    n = rows.groupBy(*by).agg(F.count(value).alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("_name"), F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1).cast("long").alias("_place")) for k, p in shares.items()])
+    found = at_places(rows, by, value, n.select(*by, F.inline(wanted)), "_place")
+    return _with(n, found, by, {k: F.max(F.when(F.col("_name") == k, F.col(value))) for k in shares}).drop("_n")
 
 
-def latency(value: Column) -> list[Column]:
-    return [F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.median(value), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("stdev"), F.count(value).alias("n")]
+def latency(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """by, mean, min, max, median, stdev (of a sample, 0 for one value) and n of the values of each group.
+
+    The median is the mean of the one or two values in the middle, found by their places (see indexed_percentiles).
+    """
+    v = F.col(value)
+    sums = rows.groupBy(*by).agg(F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("stdev"), F.count(v).alias("n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    found = at_places(rows, by, value, sums.select(*by, F.explode(middle).alias("_place")), "_place")
+    return _with(sums, found, by, {"median": F.round(F.avg(v), 4)}).select(*by, "mean", "min", "max", "median", "stdev", "n")
+
+
+def _with(groups: DataFrame, found: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """groups with the columns that aggregate found; null keys are equal."""
+    if not by:
+        return groups.crossJoin(F.broadcast(found.agg(*[c.alias(k) for k, c in columns.items()])))
+    got = found.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[c.alias(k) for k, c in columns.items()])
+    same = F.lit(True)
+    for c in by:
+        same = same & groups[c].eqNullSafe(got[f"_by_{c}"])
+    return groups.join(got, same, "left").drop(*[f"_by_{c}" for c in by])
 
 
 def threshold_sweep(rows: DataFrame, prob: str = "pred_prob", label: str = "label") -> DataFrame:

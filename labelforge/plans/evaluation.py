@@ -73,9 +73,9 @@ _KIND = "CASE event_type WHEN 'view' THEN 'ocr' WHEN 'click' THEN 'ocr' WHEN 'er
 add("g9_summary_by_type", lambda sp, d: table(sp, d, "events").groupBy(F.expr(_KIND).alias("type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(F.col("value") > 50).alias("correct")), f"SELECT {_KIND} AS type, count(*) AS n, round(avg(value), 4) AS avg, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value > 50) AS correct FROM events GROUP BY 1")
 add("g10_targets", lambda sp, d: table(sp, d, "events").agg(F.coalesce(F.avg("value") / 100 >= 0.9, F.lit(False)).alias("ocr"), F.coalesce(F.avg(F.when(F.col("event_type") == "none", F.col("value"))) >= 0.95, F.lit(False)).alias("compliance")), "SELECT coalesce(avg(value) / 100 >= 0.9, false) AS ocr, coalesce(avg(CASE WHEN event_type = 'none' THEN value END) >= 0.95, false) AS compliance FROM events")
 _LAT = "round(avg(value), 4) AS mean, min(value) AS min, max(value) AS max, round(median(value), 4) AS median, round(coalesce(stddev_samp(value), 0.0), 4) AS stdev, count(value) AS n"
-add("g11_latency", lambda sp, d: table(sp, d, "events").groupBy("event_type").agg(*op.latency(F.col("value"))), f"SELECT event_type, {_LAT} FROM events GROUP BY event_type")
-add("g21_latency_by_stage", lambda sp, d: table(sp, d, "events").select("event_type", (F.col("user_id") % 3).alias("stage"), "value").groupBy("event_type", "stage").agg(*op.latency(F.col("value"))), f"SELECT event_type, user_id % 3 AS stage, {_LAT} FROM events GROUP BY 1, 2")
-add("g12_indexed_percentiles", lambda sp, d: table(sp, d, "events").groupBy("event_type").agg(*[op.indexed_percentile(F.col("value"), p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]), "SELECT event_type, " + ", ".join(f"list_sort(list(value))[least(floor(count(value) * {p})::BIGINT, count(value) - 1) + 1] AS {n}" for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM events GROUP BY event_type")
+add("g11_latency", lambda sp, d: op.latency(table(sp, d, "events"), "value", ["event_type"]), f"SELECT event_type, {_LAT} FROM events GROUP BY event_type")
+add("g21_latency_by_stage", lambda sp, d: op.latency(table(sp, d, "events").withColumn("stage", F.col("user_id") % 3), "value", ["event_type", "stage"]), f"SELECT event_type, user_id % 3 AS stage, {_LAT} FROM events GROUP BY 1, 2")
+add("g12_indexed_percentiles", lambda sp, d: op.indexed_percentiles(table(sp, d, "events"), "value", ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "SELECT event_type, " + ", ".join(f"list_sort(list(value))[least(floor(count(value) * {p})::BIGINT, count(value) - 1) + 1] AS {n}" for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM events GROUP BY event_type")
 add("g13_extrapolation", lambda sp, d: table(sp, d, "events").agg(F.round(F.sum("value") * 1000000 / F.count("value"), 2).alias("total")), "SELECT round(sum(value) * 1000000 / count(value), 2) AS total FROM events")
 add("g14_speedup", lambda sp, d: table(sp, d, "events").agg(F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))) / F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("ratio")), "SELECT round(avg(value) FILTER (WHERE event_type = 'view') / avg(value) FILTER (WHERE event_type = 'click'), 6) AS ratio FROM events")
 _LAB = "CASE WHEN (image_id * 7 + box_id * 3) % 100 < pred_prob * 100 THEN 1 ELSE 0 END"

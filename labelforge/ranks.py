@@ -54,36 +54,14 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str)
 
 
 def at_places(df: DataFrame, group: Sequence[str], value: str, places: DataFrame, place: str = "place") -> DataFrame:
-    """Rows of `places` (group columns, place from 0, anything else) with the value that stands there in the group's order.
+    """places (group columns, place from 0, anything else) with the value that stands there in its group's order.
 
-    Values are counted first, so equal ones share a row; only the runs of distinct values are ranked, by the sums of
-    their counts before them. Nulls are no values. Places outside a group have no row.
+    Nulls are no values. Places outside their group have no row. Only group and value are laid out.
     """
-    runs = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_runs"))
-    x = free_prefix(runs)
-    at, part, there, upto = x + "at", x + "part", x + "there", x + "upto"
-    cols = [F.col(c) for c in (*group, value)]
-    laid = saved(runs.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(at, F.monotonically_increasing_id()), "runs").withColumn(part, F.shiftright(at, 33))
-    names = [f"{x}g{i}" for i in range(len(group))]
-    spans = laid.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(part).alias(there)).agg(F.sum("_runs").alias("_all"))
-    before = Window.partitionBy(*names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn(upto, F.coalesce(F.sum("_all").over(before), F.lit(0)))
-    # A place first meets the partition that holds it, then the run within it.
-    own = [F.col(c).alias(f"{x}p{i}") for i, c in enumerate(group)]
-    asked = places.select(*own, *[F.col(c) for c in places.columns if c not in group])
-    met = asked.join(F.broadcast(spans) if not group else spans, _both(asked, x, "p", spans, "g", len(group)) & (F.col(place) >= F.col(upto)) & (F.col(place) < F.col(upto) + F.col("_all")))
-    met = met.drop(*names).withColumnRenamed(upto, x + "base")
-    within = Window.partitionBy(part, *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = laid.withColumn(x + "from", F.coalesce(F.sum("_runs").over(within), F.lit(0)))
-    same = (local[part] == met[there]) & (F.col(place) - F.col(x + "base") >= F.col(x + "from")) & (F.col(place) - F.col(x + "base") < F.col(x + "from") + local["_runs"])
+    x = free_prefix(places)
+    known = df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(f"{x}g{i}") for i, c in enumerate(group)], F.col(value).alias(x + "value"))
+    laid = ranked(known, [f"{x}g{i}" for i in range(len(group))], [x + "value"], x + "place")
+    same = laid[x + "place"] == places[place]
     for i, c in enumerate(group):
-        same = same & local[c].eqNullSafe(met[f"{x}p{i}"])
-    kept = [c for c in places.columns if c not in group]
-    return local.join(met, same).select(*group, *kept, value)
-
-
-def _both(left: DataFrame, x: str, a: str, right: DataFrame, b: str, n: int):
-    same = F.lit(True)
-    for i in range(n):
-        same = same & left[f"{x}{a}{i}"].eqNullSafe(right[f"{x}{b}{i}"])
-    return same
+        same = same & laid[f"{x}g{i}"].eqNullSafe(places[c])
+    return places.join(laid, same).select(*places.columns, F.col(x + "value").alias(value))
