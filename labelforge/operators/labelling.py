@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .likeness import Likeness
 
 
 def is_stop(c: Column) -> Column:
@@ -40,19 +39,8 @@ def likened(threshold: float = fixed.LABEL_RATIO):
 
     @F.pandas_udf("boolean")
     def test(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for t, items in zip(texts, lists):
-            needle, hit = (t or "").lower().strip(), False
-            m = difflib.SequenceMatcher(None, "", "")
-            m.set_seq1(needle)
-            for x in () if len(needle) < 2 else items:
-                m.set_seq2(x.lower().strip())
-                # Upper bounds first: ratio() is the slow part.
-                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                    hit = True
-                    break
-            out.append(hit)
-        return pd.Series(out)
+        like, needles = Likeness(), [(t or "").lower().strip() for t in texts]
+        return pd.Series([len(n) > 1 and any(like.ratio(n, x.lower().strip(), threshold) >= threshold for x in items) for n, items in zip(needles, lists)], dtype=bool)
 
     return test
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..ranks import at_places
+from .likeness import Likeness
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -49,19 +50,16 @@ def word_accuracy(pred: Column, true: Column) -> Column:
     return F.when(true == "", F.when(pred == "", 1.0).otherwise(0.0)).when(pred == "", 0.0).when(F.size(t) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(p, t)) / F.size(t))
 
 
-def greedy_matches(pred: Iterable[str], true: Iterable[str], threshold: float) -> int:
-    """Predictions that find a true item, each its likest free one, in order."""
-    free = [t.lower().strip() for t in true]
+def greedy_matches(pred: Iterable[str], true: Iterable[str], threshold: float, like: Likeness | None = None) -> int:
+    """Predictions that find a true item, each its likest free one (the first on ties), in order."""
+    like = like or Likeness()
+    free: list[str | None] = [t.lower().strip() for t in true]
     found = 0
     for p in pred:
-        m = difflib.SequenceMatcher(None, p.lower().strip(), "")
-        best, at = 0.0, None
+        p, best, at = p.lower().strip(), 0.0, None
         for k, t in enumerate(free):
-            if t is None:
-                continue
-            m.set_seq2(t)
-            # Quick upper bounds first: ratio() is the slow part.
-            if m.real_quick_ratio() > best and m.quick_ratio() > best and (r := m.ratio()) > best:
+            # A ratio under the threshold matches nothing, and one that only equals the best comes too late.
+            if t is not None and (r := like.ratio(p, t, max(best, threshold))) > best:
                 best, at = r, k
         if at is not None and best >= threshold:
             free[at] = None
@@ -74,7 +72,8 @@ def fuzzy(rows: DataFrame, pred: str = "predicted", true: str = "truth", thresho
 
     @F.pandas_udf("int")
     def matches(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([greedy_matches(x, y, threshold) for x, y in zip(a, b)])
+        like = Likeness()
+        return pd.Series([greedy_matches(x, y, threshold, like) for x, y in zip(a, b)])
 
     p, t, n = F.size(pred), F.size(true), F.col("_n")
     out = rows.withColumn("_n", matches(pred, true))

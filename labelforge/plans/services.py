@@ -159,7 +159,7 @@ def _cache(sp, d):
     path = shared_path(sp, "cache")
     rows = table(sp, d, "documents").select(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("image_id"), F.concat_ws(" ", "lang", "source").alias("value"))
     sinks.replace_lines(rows.filter("length(image_id) % 2 = 0"), path)
-    old = sp.read.schema(rows.schema).json(path)
+    old = sinks.read_lines(sp, path, rows.schema)
     return sinks.write_cache(old, rows.filter("value like 'en%'").withColumn("value", F.lit("fresh")), path)
 
 
@@ -170,10 +170,10 @@ def _lines(sp, d):
     path = shared_path(sp, "lines")
     rows = table(sp, d, "documents").select("doc_id", "lang", "text")
     sinks.replace_lines(rows, path)
-    lines = sp.read.text(path).withColumnRenamed("value", "line")
+    lines = sp.read.text(sinks.current_version(sp, path)).withColumnRenamed("value", "line")
     kept, _ = sinks.kept_lines(lines, "doc_id long, lang string, text string", F.col("row.lang") == "en")
     sinks.replace_lines(kept, path)
-    return sp.read.schema("doc_id long, text string").json(path).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    return sinks.read_lines(sp, path, "doc_id long, text string").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
 
 
 add("k13_lines_in_place", _lines, "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents WHERE lang = 'en'")

@@ -33,29 +33,78 @@ def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
 def write_cache(cache: DataFrame, fresh: DataFrame, path: str, key: str = "image_id") -> DataFrame:
     """The cache with fresh rows in place of older ones of their key, written and read back; same columns in both."""
     old = cache.join(fresh.select(key).distinct(), key, "left_anti")
-    replace_lines(old.unionByName(fresh), path, backup=False)
-    return cache.sparkSession.read.schema(cache.schema).json(path)
+    replace_lines(old.unionByName(fresh), path)
+    return read_lines(cache.sparkSession, path, cache.schema)
 
 
-def replace_lines(rows: DataFrame, path: str, backup: bool = True) -> None:
-    """Writes JSON lines beside path and then puts them in its place; what was there stays as path.bak.
+#: The folder of marks, of which the last names the version that holds; and how many versions stay.
+MARKS, VERSIONS = "_marks", 8
 
-    Readers see the old or the new lines, and rows may come from path itself.
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file context for a path, and a maker of paths."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of all whole versions under path, the oldest first."""
+    fc, at = _files(spark, path)
+    if not fc.util().exists(at(path)):
+        return []
+    names = [f.getPath().getName() for f in fc.util().listStatus(at(path))]
+    return sorted(n for n in names if n.startswith("v") and fc.util().exists(at(f"{path}/{n}/_SUCCESS")))
+
+
+def _marks(spark: SparkSession, path: str) -> list[str]:
+    fc, at = _files(spark, path)
+    if not fc.util().exists(at(f"{path}/{MARKS}")):
+        return []
+    return sorted(f.getPath().getName() for f in fc.util().listStatus(at(f"{path}/{MARKS}")))
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds now, or None before the first write."""
+    marks = _marks(spark, path)
+    return f"{path}/{marks[-1].split('.', 1)[1]}" if marks else None
+
+
+def read_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The JSON lines of the version that holds now; no rows before the first write."""
+    now = current_version(spark, path)
+    return spark.read.schema(schema).json(now) if now else spark.createDataFrame([], schema)
+
+
+def replace_lines(rows: DataFrame, path: str, kept: int = VERSIONS) -> str:
+    """Writes JSON lines as a new version under path, then lets it hold by making one mark.
+
+    A mark is made in one step and none is ever replaced, so a reader meets the old or the new version, never none, and goes
+    on with the one it found: the last `kept` versions stay (the one before is the backup). Rows may come from the version
+    that holds. A write that fails leaves all as it was.
     """
     spark = rows.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.bak" if backup else f"{path}.{uuid.uuid4().hex}"
-    rows.write.json(fresh)
-    if fs.exists(at(path)):
-        if fs.exists(at(old)):
-            fs.delete(at(old), True)
-        if not fs.rename(at(path), at(old)):
-            raise OSError(f"cannot move {path}")
-    if not fs.rename(at(fresh), at(path)):
-        raise OSError(f"cannot move {fresh}")
-    if not backup and fs.exists(at(old)):
-        fs.delete(at(old), True)
+    before = versions(spark, path)
+    name = f"v{int(before[-1][1:].split('-')[0]) + 1 if before else 0:09d}-{uuid.uuid4().hex[:8]}"
+    rows.write.json(f"{path}/{name}")
+    point_at(spark, path, name)
+    fc, at = _files(spark, path)
+    for old in [v for v in versions(spark, path) if v != name][: -(kept - 1) or None]:
+        fc.delete(at(f"{path}/{old}"), True)
+    for old in _marks(spark, path)[:-kept]:
+        fc.delete(at(f"{path}/{MARKS}/{old}"), True)
+    return f"{path}/{name}"
+
+
+def point_at(spark: SparkSession, path: str, name: str) -> None:
+    """Lets a version of path hold, an older one too."""
+    if name not in versions(spark, path):
+        raise FileNotFoundError(f"{path}/{name}")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = _marks(spark, path)
+    following = int(marks[-1].split(".", 1)[0]) + 1 if marks else 0
+    if not fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKS}/{following:09d}.{name}")):
+        raise OSError(f"cannot mark {name}")
 
 
 def kept_lines(lines: DataFrame, schema: str, keep, line: str = "line") -> tuple[DataFrame, DataFrame]:

@@ -3,12 +3,13 @@
 import difflib
 import random
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelforge.functions import fixed
-from labelforge.operators import analysis, corrector, labelling, learning, products, prompts, services
+from labelforge.operators import analysis, corrector, labelling, learning, likeness, products, prompts, services
 from labelforge.session import shared_path
 from labelforge.sources import readers, sinks
 
@@ -84,7 +85,9 @@ def test_writers(spark):
     one, two = (spark.createDataFrame([(k, f't "{k}"\n, x')], "id int, text string") for k in (1, 2))
     sinks.replace_lines(one, path)
     sinks.replace_lines(two, path)
-    assert [spark.read.schema(one.schema).json(p).first().id for p in (path, f"{path}.bak")] == [2, 1]
+    assert sinks.read_lines(spark, path, one.schema).first().id == 2
+    sinks.point_at(spark, path, sinks.versions(spark, path)[0])
+    assert sinks.read_lines(spark, path, one.schema).first().id == 1
     at = shared_path(spark, "csv")
     sinks.write_csv(one, at, ["text", "id"])
     assert sinks.read_csv(spark, at, "text string, id int").collect() == one.select("text", "id").collect()
@@ -93,6 +96,44 @@ def test_writers(spark):
     assert [tuple(r) for r in kept.collect()] == [("en", 1)] and tuple(counts.first()) == (1, 1, 1)
 
 
+def test_readers_never_meet_a_missing_path(spark):
+    path, bad, stop = shared_path(spark, "looped"), [], threading.Event()
+    schema = "id int, text string"
+    assert sinks.read_lines(spark, path, schema).count() == 0 and sinks.current_version(spark, path) is None
+    sinks.replace_lines(spark.createDataFrame([(0, "a"), (0, "b")], schema), path)
+
+    def read():
+        while not stop.is_set():
+            try:
+                got = {r.id for r in sinks.read_lines(spark, path, schema).collect()}
+                if len(got) != 1:
+                    bad.append(got)
+            except Exception as e:  # noqa: BLE001
+                bad.append(e)
+
+    readers_ = [threading.Thread(target=read) for _ in range(2)]
+    for t in readers_:
+        t.start()
+    for k in range(1, 50):
+        sinks.replace_lines(spark.createDataFrame([(k, "a"), (k, "b")], schema), path)
+    stop.set()
+    for t in readers_:
+        t.join()
+    assert not bad and sinks.read_lines(spark, path, schema).first().id == 49 and len(sinks.versions(spark, path)) == sinks.VERSIONS
+    with pytest.raises(Exception):
+        sinks.replace_lines(spark.createDataFrame([(99, "a")], schema).withColumn("id", F.raise_error(F.lit("stop"))), path)
+    assert sinks.read_lines(spark, path, schema).first().id == 49
+
+
+def test_likeness_equals_the_plain_ratio():
+    rng, like = random.Random(8), likeness.Likeness(kept=50)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcde ", k=rng.choice([0, 3, 9, 30, 260]))) for _ in "xy")
+        want = difflib.SequenceMatcher(None, a, b).ratio()
+        assert like.ratio(a, b) == want and like.ratio(a, b, 0.5) == (want if want >= 0.5 else like.ratio(a, b, 0.5))
+        assert (like.ratio(a, b, 0.5) >= 0.5) == (want >= 0.5)
+
+
 def test_corrected_text(spark):
     df = spark.createDataFrame([(1, "suger, watr and salt"), (2, ""), (3, None)], "doc_id int, raw string")
     got = {r.doc_id: r.raw for r in corrector.corrected_text(df, "raw", readers.vocabulary(spark), readers.aliases(spark)).collect()}
