@@ -75,9 +75,10 @@ class Vocabulary:
         c, m = self.classes, self.members
         return {"emb": (c * m, WIDTH), "pos": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "cls": (c, WIDTH), "clsb": (c,), "out": (c, m, WIDTH), "outb": (c, m)}
 
-    def plain(self) -> tuple:
-        """The fields: broadcasts name classes by their module, which executors need not have."""
-        return self.classes, self.members, self.words, self.own, self.tokens, self.share, self.listed, self.other
+    def plain(self, words: bool = False) -> tuple:
+        """The fields: broadcasts name classes by their module, which executors need not have. The network needs no words."""
+        none = np.zeros(0)
+        return self.classes, self.members, self.words if words else [], self.own, self.tokens, self.share, self.listed if words else none, self.other if words else none
 
     def unpack(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -193,7 +194,7 @@ def slots(texts: pa.Array, v: Vocabulary, listed: pa.Array) -> tuple[np.ndarray,
 
 def prepared(docs: DataFrame, v: Vocabulary, shards: int, rounds: int) -> DataFrame:
     """Per row: doc_id, turn, shard, place (a hash of id and text), n_tokens, inner (log P of words in slots), ids (v.kind)."""
-    sent = docs.sparkSession.sparkContext.broadcast(v.plain())
+    sent = docs.sparkSession.sparkContext.broadcast(v.plain(words=True))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*sent.value)

@@ -9,10 +9,10 @@
    its own that no hub of the bucket is linked with yet) is compared with all others. Pairs are pruned by the
    posterior of their likeness after each batch of hashes, survivors are confirmed on full sets, and confirmed links
    merge components. A group of copies so costs one pair per member.
-6. What is left meets over its rarest shingles. In one order of all shingles, the rarest first, two sets of n and n' alike
-   enough share one of the first floor((1 - t) n) + 1 of either, so what a whole template shares makes no pair. With i
-   shingles in common with the hub and s shared with anyone, two members have at most min(i, i') + min(s - i, s' - i') in
-   common. Pairs of different components that share a band and that this bound allows are compared.
+6. What is left meets over its rarest shared shingles. In one order of all shingles, the rarest first, what two sets have
+   from their first common one on bounds their intersection, so what a whole template shares makes no pair. With i shingles
+   in common with the hub and s shared with anyone, two members have at most min(i, i') + min(s - i, s' - i') in common.
+   Pairs of different components that share a band and that both bounds allow are compared.
 7. Links are contracted by alternating large and small stars, in tables, never on the driver.
 """
 
@@ -147,18 +147,19 @@ def unshared(texts: DataFrame) -> DataFrame:
 
 
 def prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """rep, shingle: the rarest shingles of each of reps (rep, n, single) that another has too.
+    """rep, comp, n, single, shingle, place, shared: the rarest of the shingles that each of reps has in common with another.
 
-    Of n shingles the first floor((1 - t) n) + 1 count, by the number of reps that have them and then by hash; of ids that
-    stand for several texts all do.
+    They are in one order for all, by the number of reps that have them and then by hash; shared is how many a rep has, place
+    counts them from 1. To be alike enough a set of n needs t * n in common with another, so the first shared - t * n + 1 will
+    do; of ids that stand for several texts all do.
     """
-    rows = saved(shingle_rows(texts.join(reps.select(F.col("rep").alias("_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")), "left_shingles")
-    held = rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count_distinct("rep").alias("held"))
-    by_rarity = Window.partitionBy("rep").orderBy("held", "shingle")
-    met = rows.distinct().join(held, F.col("shingle") == F.col("_shingle")).withColumn("place", F.row_number().over(by_rarity))
+    rows = saved(shingle_rows(texts.join(reps.select(F.col("rep").alias("_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")).distinct(), "left_shingles")
+    held = rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = rows.join(held, F.col("shingle") == F.col("_shingle"))
+    of_rep = Window.partitionBy("rep")
+    met = met.withColumns({"place": F.row_number().over(of_rep.orderBy("held", "shingle")), "shared": F.count(F.lit(1)).over(of_rep)})
     met = met.join(reps.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"))
-    first = F.floor((100 - percent) * F.col("n") / 100) + 1
-    return met.filter((F.col("held") > 1) & (~F.col("single") | (F.col("place") <= first))).select("rep", "shingle")
+    return met.filter(~F.col("single") | (100 * (F.col("shared") - F.col("place") + 1) >= percent * F.col("n"))).select("rep", "comp", "n", "single", "shingle", "place", "shared")
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -250,13 +251,14 @@ def left_over(buckets: DataFrame, found: DataFrame | None, texts: DataFrame, per
     keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min("n").alias("_least")).filter("_low < _high")
     placed = placed.join(keys, F.col("key") == F.col("_key")).filter(_possible(F.col("s"), F.col("n"), F.greatest("_least", "s"), percent))
     left = saved(placed.select("key", "rep", "comp", "n", "s", "single", "met"), "left")
-    reps = saved(left.select("rep", "n", "single").distinct(), "left_reps")
+    reps = saved(left.select("rep", "comp", "n", "single").distinct(), "left_reps")
     rare = saved(prefixes(reps, texts, percent), "prefixes")
-    one, other = rare.select(F.col("rep").alias("a"), "shingle"), rare.select(F.col("rep").alias("b"), F.col("shingle").alias("_shingle"))
-    size = reps.select("rep", F.when(F.col("single"), F.col("n")).alias("n"))
-    pairs = one.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    pairs = pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("_na")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("_nb")), "b")
-    pairs = saved(pairs.filter(F.coalesce(_possible(F.least("_na", "_nb"), F.col("_na"), F.col("_nb"), percent), F.lit(True))).select("a", "b"), "rare_pairs")
+    other = rare.select(F.col("rep").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("comp", "n", "single", "shingle", "place", "shared")])
+    # At the first shingle that two sets have in common, what they have from there on bounds what they have in common.
+    after = F.least(F.col("shared") - F.col("place"), F.col("_shared") - F.col("_place")) + 1
+    fits = ~F.col("single") | ~F.col("_single") | _possible(after, F.col("n"), F.col("_n"), percent)
+    met = (F.col("shingle") == F.col("_shingle")) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("_comp")) & fits
+    pairs = saved(rare.join(other, met).select(F.col("rep").alias("a"), "b").distinct(), "rare_pairs")
     # Of these the ones that lie in a bucket together and that its hubs do not exclude.
     x = left.select("key", F.col("rep").alias("a"), "comp", "n", "s", "met")
     y = left.select(F.col("rep").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("key", "comp", "n", "s", "met")])
