@@ -83,7 +83,7 @@ def jdbc_table(spark: SparkSession, url: str, name: str, by: str | None = None,
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     if by is None:
         return reader.load()
-    low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({by}), max({by}) FROM {name}", **options).load().first()
+    low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({by}) AS low, max({by}) AS high FROM {name}", **options).load().first()
     if low is None:
         return reader.load()
     return reader.options(partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 
 def append_scans(scans: DataFrame, path: str) -> DataFrame:
     """Adds rows to the stored scans and gives the table with them; a missing created_at is now."""
@@ -15,6 +18,44 @@ def append_scans(scans: DataFrame, path: str) -> DataFrame:
     return scans.sparkSession.read.parquet(path)
 
 
+def _execute(spark: SparkSession, url: str, statement: str) -> bool:
+    """Runs one statement from the driver; False if the database refuses it because it is done already."""
+    held = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        held.createStatement().execute(statement)
+        return True
+    except Exception as e:
+        if "already exists" in str(e):
+            return False
+        raise
+    finally:
+        held.close()
+
+
+def append_unique(rows: DataFrame, url: str, name: str, unique: Sequence[Sequence[str]], **options: str) -> DataFrame:
+    """Appends rows to a database table, each set of `unique` columns at most once, and gives the rows that were refused.
+
+    Of rows that share a key the first by all columns is taken; the sets are tested in turn, first in the rows and then against
+    the table. Nulls are no keys. The table is made if it is missing, with an index for each set, so that a writer beside
+    this one makes the append fail instead of storing a key twice; a failed append can be run again.
+    """
+    spark = rows.sparkSession
+    given = saved(rows, "given")
+    # The empty table first, then its indexes.
+    spark.createDataFrame([], rows.schema).write.mode("append").jdbc(url, name, properties=options)
+    for k, cols in enumerate(unique):
+        _execute(spark, url, f"CREATE UNIQUE INDEX {name}_unique_{k} ON {name} ({', '.join(f'"{c}"' for c in cols)})")
+    kept = given
+    for cols in unique:
+        keyed = " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
+        place = Window.partitionBy(*cols).orderBy(*rows.columns)
+        first = kept.filter(keyed).withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+        stored = spark.read.jdbc(url, name, properties=options).select(*cols)
+        kept = saved(first.join(stored, list(cols), "left_anti").select(*rows.columns).unionByName(kept.filter(f"NOT ({keyed})")), "kept")
+    kept.write.mode("append").jdbc(url, name, properties=options)
+    return given.exceptAll(kept)
+
+
 def write_csv(rows: DataFrame, path: str, fields: list[str] | None = None) -> None:
     """CSV with a header and the given fields in order; quotes inside values are doubled."""
     rows.select(*(fields or rows.columns)).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
