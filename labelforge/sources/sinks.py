@@ -18,16 +18,16 @@ def append_scans(scans: DataFrame, path: str) -> DataFrame:
     return scans.sparkSession.read.parquet(path)
 
 
-def _execute(spark: SparkSession, url: str, statement: str) -> bool:
-    """Runs one statement from the driver; False if the database refuses it because it is done already."""
+def _make_unique(spark: SparkSession, rows: DataFrame, url: str, name: str, unique: Sequence[Sequence[str]], options: dict[str, str]) -> None:
+    """Makes the table with its constraints, from the driver, unless it is there."""
     held = spark._jvm.java.sql.DriverManager.getConnection(url)
     try:
-        held.createStatement().execute(statement)
-        return True
-    except Exception as e:
-        if "already exists" in str(e):
-            return False
-        raise
+        if any(held.getMetaData().getTables(None, None, n, None).next() for n in (name, name.upper(), name.lower())):
+            return
+        spark.createDataFrame([], rows.schema).write.jdbc(url, name, properties=options)
+        for k, cols in enumerate(unique):
+            quoted = ", ".join(f'"{c}"' for c in cols)
+            held.createStatement().execute(f"ALTER TABLE {name} ADD CONSTRAINT {name}_unique_{k} UNIQUE ({quoted})")
     finally:
         held.close()
 
@@ -36,15 +36,12 @@ def append_unique(rows: DataFrame, url: str, name: str, unique: Sequence[Sequenc
     """Appends rows to a database table, each set of `unique` columns at most once, and gives the rows that were refused.
 
     Of rows that share a key the first by all columns is taken; the sets are tested in turn, first in the rows and then against
-    the table. Nulls are no keys. The table is made if it is missing, with an index for each set, so that a writer beside
+    the table. Nulls are no keys. The table is made if it is missing, with a constraint for each set, so that a writer beside
     this one makes the append fail instead of storing a key twice; a failed append can be run again.
     """
     spark = rows.sparkSession
     given = saved(rows, "given")
-    # The empty table first, then its indexes.
-    spark.createDataFrame([], rows.schema).write.mode("append").jdbc(url, name, properties=options)
-    for k, cols in enumerate(unique):
-        _execute(spark, url, f"CREATE UNIQUE INDEX {name}_unique_{k} ON {name} ({', '.join(f'"{c}"' for c in cols)})")
+    _make_unique(spark, rows, url, name, unique, options)
     kept = given
     for cols in unique:
         keyed = " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
