@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,7 +39,8 @@ def answered(prompts: DataFrame, ask: Provider, attempts: int = 3, buckets: int
             if reply is not None or tries + 1 >= attempts:
                 out.append((i, p, reply, tries + 1))
             else:
-                waiting.append([i, p, tries + 1, now + 1000 * min(2**tries, LONGEST_DELAY)])
+                # From now on: the batch's own time is that of its start.
+                waiting.append([i, p, tries + 1, int(time.time() * 1000) + 1000 * min(2**tries, LONGEST_DELAY)])
         if waiting:
             state.update((json.dumps(waiting),))
             state.setTimeoutDuration(max(1, min(w[3] for w in waiting) - now))
