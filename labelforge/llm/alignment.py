@@ -19,8 +19,12 @@ from . import common
 from .stretches import batches, bpe_encode, byte_table, cut, flattened, lasting
 from .tokens import _Known, spread
 
+#: Rows of an Arrow batch between Spark and Python, which holds whole texts or all links of them.
+ARROW_ROWS = 1000
+#: Links whose counts are looked up at once.
+SCORED_LINKS = 1 << 18
 #: A batch's text; distinct pairs whose counts a task holds before it gives them out; pairs that are broadcast at most.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 HELD_PAIRS = 1 << 20
 SENT_PAIRS = 2_000_000
 #: Distinct stretches that each side keeps, at most, and the memory of DuckDB in a task.
@@ -38,6 +42,7 @@ CREATE OR REPLACE TEMP TABLE own AS
   SELECT *, (count_if(cut) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cut::INT)::BIGINT AS g FROM met;
 CREATE OR REPLACE TEMP TABLE other AS
   SELECT b.s, b.i, b.start, b.stop, b.id, coalesce(c.g + 1, 0) AS g FROM b ASOF LEFT JOIN (SELECT stop, g FROM own WHERE cut) c ON b.start >= c.stop;
+DROP TABLE met;
 """
 TOKENS = "SELECT s, g, side, id FROM (SELECT s, g, 0 AS side, i, a AS id FROM own UNION ALL SELECT s, g, 1, i, id FROM other) ORDER BY g, side, i"
 LINKS = "SELECT s, a::BIGINT * $size + b AS pair, same FROM own WHERE cut ORDER BY i"
@@ -95,9 +100,10 @@ def sides(tokenizer_json: str, model: bytes) -> tuple[Side, Side]:
 
 
 def intervals(ids: np.ndarray, lens: np.ndarray, sizes: np.ndarray, stretches: np.ndarray) -> pa.Table:
-    """Tokens with their stretch, place and bytes."""
+    """Tokens with their stretch, place and bytes. Arrow's strings, and so the bytes of a batch, end below 2 GB."""
     stop = np.cumsum(sizes[ids])
-    return pa.table({"s": np.repeat(stretches, lens), "i": np.arange(len(ids)), "id": ids.astype(np.int32), "start": stop - sizes[ids], "stop": stop})
+    columns = {"s": np.repeat(stretches, lens), "i": np.arange(len(ids)), "id": ids, "start": stop - sizes[ids], "stop": stop}
+    return pa.table({k: v.astype(np.int32) for k, v in columns.items()})
 
 
 class Aligner:
@@ -205,16 +211,19 @@ def aligned(docs: DataFrame, tokenizer_path: str, model_path: str, digest: bool
                 columns, counted = aligner.align(con, some.column(1), digest)
                 columns = [some.column(0), *columns, pa.nulls(high - low, schema.field("counts").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+                pa.default_memory_pool().release_unused()
                 held = [merged([*held, counted])]
                 if len(held[0]) >= HELD_PAIRS:
                     yield counts()
                     held = []
         con.close()
+        pa.default_memory_pool().release_unused()
         if held and len(held[0]):
             yield counts()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return common.saved(rows.mapInArrow(work, ALIGNED.format(pair=kind[0])), "aligned")
+    with common.arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return common.saved(rows.mapInArrow(work, ALIGNED.format(pair=kind[0])), "aligned")
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -251,15 +260,20 @@ def scored(made: DataFrame, size: int, sent_pairs: int = SENT_PAIRS) -> DataFram
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = sent.value
+        lasting("scored", lambda: None)  # the tokenizers and what they know are done with
         for batch in source:
             lists = batch.column(len(kept))
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            at = np.searchsorted(pairs, lists.flatten().to_numpy())
-            sums = [np.diff(np.concatenate([[0], np.cumsum(v[at], dtype=np.int64)])[edges]) for v in (best, n)]
+            links, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sums = [np.zeros(len(lists), np.int64) for _ in range(2)]
+            for low, high in batches(np.diff(edges), SCORED_LINKS):
+                at, some = np.searchsorted(pairs, links[edges[low] : edges[high]]), edges[low : high + 1] - edges[low]
+                for told, v in zip(sums, (best, n)):
+                    told[low:high] = np.diff(np.concatenate([[0], np.cumsum(v[at], dtype=np.int64)])[some])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, sums)], [*kept, "n_best", "count_sum"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, "pairs").mapInArrow(work, f"{fields}, n_best long, count_sum long")
+    with common.arrow_rows(spark, ARROW_ROWS):
+        return common.saved(docs.select(*kept, "pairs").mapInArrow(work, f"{fields}, n_best long, count_sum long"), "scored")
 
 
 def align(docs: DataFrame, tokenizer_path: str, model_path: str, digest: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

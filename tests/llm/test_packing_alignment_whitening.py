@@ -153,6 +153,24 @@ def test_alignment_of_nothing(spark):
     assert [(r.n_a, r.groups) for r in alignment.align(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A, B).collect()] == [(0, ""), (0, "")]
 
 
+def test_alignment_holds_few_rows_and_links_at_once(spark, docs, monkeypatch):
+    """Arrow batches of the session's length held all links of 10,000 documents, which a task looked up at once."""
+    key, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, alignment.common.saved
+
+    def saved(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return keep(df, name)
+
+    monkeypatch.setattr(alignment.common, "saved", saved)
+    before, want = spark.conf.get(key), sorted(alignment.align(docs, A, B).collect(), key=str)
+    assert seen["aligned"] <= alignment.ARROW_ROWS and seen["scored"] <= alignment.ARROW_ROWS and spark.conf.get(key) == before
+    monkeypatch.setattr(alignment, "ARROW_ROWS", 3)
+    monkeypatch.setattr(alignment, "SCORED_LINKS", 5)
+    assert sorted(alignment.align(docs, A, B).collect(), key=str) == want and seen["scored"] == 3
+    places = alignment.intervals(np.array([1, 0], np.uint32), np.array([2]), np.array([1, 2], np.int64), np.array([0], np.int32))
+    assert {str(t) for t in places.schema.types} == {"int32"} and places["stop"].to_pylist() == [2, 3]
+
+
 # 12 ----------------------------------------------------------------------------------------------
 VECTORS = "vec_id long, embedding array<float>, n long, component string, x string"
 
