@@ -129,6 +129,27 @@ def test_decontamination(spark, docs, empty):
     assert not decontam.report(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_words_are_found_in_few_steps_a_character(spark):
+    """The same characters as the contract's class, in well under the time that its union of ranges takes."""
+    import time
+
+    given, jvm = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", spark._jvm
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(map(chr, every[k : k + 4096])),) for k in range(0, len(every), 4096)], "text string")
+    both = rows.select(decontam.words_of(F.col("text")).alias("got"), F.regexp_extract_all("text", F.lit(given), F.lit(0)).alias("want"))
+    assert both.filter("got <> want").count() == 0
+
+    def seconds(pattern):
+        text, best = "Some words, of 3 or 4 kinds; \u00e9t\u00e9 too. " * 20_000, 1e9
+        for _ in range(6):
+            began = time.perf_counter()
+            jvm.java.util.regex.Pattern.compile(pattern).matcher(text).results().count()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(decontam.WORDS) < 0.7 * seconds(given)
+
+
 def test_proximity(docs):
     got = decontam.within(docs.filter("doc_id = 5").limit(1), ["three", "nine", "six"], 8).collect()
     assert [(r.start, r.stop) for r in got] == [(2, 8)]
