@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import saved
+from .common import arrow_rows, saved
 
 BANDS, ROWS = 24, 5
 #: Hashes compared before each test of the posterior, and the chance that a test drops a true link.
@@ -38,6 +38,8 @@ BATCH, MISS = 24, 1e-7
 HUB_ROUNDS = 2
 #: Ids sent to all executors to pick out texts, at most; beyond it the texts are joined by shuffling.
 SENT_IDS = 500_000
+#: Rows (two texts each at most) in an Arrow batch while the pipeline's documents are compared.
+ARROW_ROWS = 1_000
 PIECE_BYTES = 1 << 20
 
 
@@ -334,7 +336,8 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Null ids are all kept.
     """
-    gone = saved(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        gone = saved(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left

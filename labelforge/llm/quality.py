@@ -15,6 +15,8 @@ from . import common
 
 #: Labelled rows used for fitting, those of the least xxhash64(doc_id); all rows are scored.
 SAMPLE_ROWS = 20_000
+#: Texts in an Arrow batch of the fit.
+ARROW_ROWS = 1_000
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -64,14 +66,13 @@ class Forest:
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
-        inner = self.feature.shape[1]
-        for f, t, v in zip(self.feature, self.threshold, self.value):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(int(np.log2(inner + 1))):
-                node = 2 * node + 1 + (x[rows, f[node]] > t[node])
-            out += v[node - inner]
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        """All trees go down a level at a time; leaves are added up in the order of the trees."""
+        rows, trees, inner = np.arange(len(x))[:, None], np.arange(len(self.feature)), self.feature.shape[1]
+        node = np.zeros((len(x), len(trees)), np.int64)
+        for _ in range(int(np.log2(inner + 1))):
+            node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
+        leaves = np.concatenate([np.full((len(x), 1), self.base), self.value[trees, node - inner]], 1)
+        return 1 / (1 + np.exp(-np.clip(leaves.cumsum(1)[:, -1], -30, 30)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: int = 64, rate: float = 0.1, least: float = 2.0, ridge: float = 1.0) -> Forest:
@@ -136,19 +137,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["_label"], "x": [statistics(t) for t in b["_text"]]})
 
-    got = pairs.mapInPandas(work, "doc_id long, label int, x array<double>").toPandas()
+    with common.arrow_rows(docs.sparkSession, ARROW_ROWS):
+        got = pairs.mapInPandas(work, "doc_id long, label int, x array<double>").toPandas()
     got = got.assign(x=[tuple(v) for v in got["x"]]).sort_values(["doc_id", "x"], kind="stable")
     return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["label"].to_numpy(float))
 
 
 def scored(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
-    """Adds the probability of label 1 for each whole text; null and empty texts are scored alike."""
+    """Adds the probability of label 1 for each whole text; null and empty texts are scored alike.
+
+    Texts go to Python by the hundred, as Spark sends rows to a plain function: Arrow batches would hold a whole
+    partition's texts in the executor and again in each worker, and their size is the session's when the result is written.
+    """
     model = docs.sparkSession.sparkContext.broadcast((forest.feature, forest.threshold, forest.value, forest.base))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), len(FEATURES))
-        return pd.Series(Forest(*model.value).score(x))
+    @F.udf("double", useArrow=False)
+    def score(text: str | None) -> float:
+        return float(Forest(*model.value).score(np.array([statistics(text)], float))[0])
 
     return docs.withColumn(name, score(F.col("text")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,9 @@ def shard(rows: DataFrame, key: str, size: str, shards: int | None = None, capac
     lots = sizes.filter(F.col("_size") < least).groupBy(F.concat(F.lit("l"), lot).alias("_item")).agg(F.sum("_size").alias("_size"))
     items = [(r[0], r[1]) for r in own.unionAll(lots).collect()]
     placed = pack_into(items, shards) if shards else pack(items, capacity)
-    made = spark.createDataFrame(sorted(placed.items()), "_item string, _shard int")
+    names = sorted(placed)
+    # As a table, which stays in the driver's plan; a list of rows would be read by Python workers of its own on the executors.
+    made = spark.createDataFrame(pa.table({"_item": pa.array(names, pa.string()), "_shard": pa.array([placed[n] for n in names], pa.int32())}))
     x = common.free_prefix(rows)
     single = made.filter(F.col("_item").startswith("g")).select(F.col("_item").alias(x + "g"), F.col("_shard").alias(x + "gs"))
     mixed = made.filter(F.col("_item").startswith("l")).select(F.col("_item").alias(x + "l"), F.col("_shard").alias(x + "ls"))
