@@ -1,17 +1,22 @@
 """From detection boxes of label images to ingredient text.
 
 Every step keeps image_id as its only key, so one exchange serves all windows and aggregations of a plan.
-Ties of position go by box_id.
+Ties of position go by box_id. Steps take `by`: image_id, and what else parts the boxes that are clustered.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 
 READING = ("y_center", "x1", "box_id")
+IMAGE = ("image_id",)
+FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 
 def from_detections(raw: DataFrame) -> DataFrame:
@@ -82,38 +87,69 @@ def neighbours(boxes: DataFrame, near_y: float = fixed.NEAR_Y, near_x: float = f
     return met.groupBy("image_id", "box_id").agg(F.count(F.lit(1)).alias("near"))
 
 
+def hinted(lowered: Column) -> Column:
+    """text.has_bad_hint of texts in lower case; Arrow's expressions ask for all hints in one pass over a text."""
+    pattern = text.phrases(fixed.BAD_HINTS)
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        return pc.match_substring_regex(texts, pattern)
+
+    return test(lowered)
+
+
+def has_neighbour(by: tuple[str, ...] = IMAGE, near_y: float = fixed.NEAR_Y, near_x: float = fixed.NEAR_X) -> Column:
+    """Whether another box is within the band, told from a window of its height."""
+    # The frame is wider, so that rounding at its ends leaves none out.
+    frame = Window.partitionBy(*by).orderBy("y_center").rangeBetween(-math.ceil(near_y) - 1, math.ceil(near_y) + 1)
+    around = F.collect_list(F.struct("box_id", "y_center", "x_center")).over(frame)
+    x, y = F.col("x_center"), F.col("y_center")
+    return F.exists(around, lambda o: (o["box_id"] != F.col("box_id")) & (F.abs(y - o["y_center"]) <= near_y) & (F.abs(x - o["x_center"]) <= near_x))
+
+
+def joined_by_others(continues: Column, by: tuple[str, ...] = IMAGE) -> Column:
+    """Whether a box is sure, has a neighbour or continues a line, or is its image's only one."""
+    many = F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy("y_center").rowsBetween(FIRST, LAST))
+    return (many <= 1) | (F.col("pred_prob") >= fixed.LONELY_KEEP) | continues | has_neighbour(by)
+
+
 def without_isolated(boxes: DataFrame) -> DataFrame:
     """Drops lonely, unsure boxes that continue no line; an image's only box stays."""
-    many = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-    rows = boxes.withColumn("_n", many).join(neighbours(boxes), ["image_id", "box_id"], "left")
-    return rows.filter((F.col("_n") <= 1) | (F.col("pred_prob") >= fixed.LONELY_KEEP) | (F.coalesce("near", F.lit(0)) >= 1) | text.is_continuation(F.col("text"))).drop("_n", "near")
+    return boxes.withColumn("_joined", joined_by_others(text.is_continuation(F.col("text")))).filter("_joined").drop("_joined")
 
 
-def row_clusters(boxes: DataFrame, gap: float = fixed.ROW_GAP) -> DataFrame:
+def row_clusters(boxes: DataFrame, gap: float = fixed.ROW_GAP, by: tuple[str, ...] = IMAGE) -> DataFrame:
     """Adds cluster: a new one where the step to the box before is above gap."""
-    w = Window.partitionBy("image_id").orderBy(*READING)
+    w = Window.partitionBy(*by).orderBy(*READING)
     new = F.when(F.col("y_center") - F.lag("y_center").over(w) > gap, 1).otherwise(0)
     return boxes.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
 
 
-def merged_clusters(boxes: DataFrame, gap: float = fixed.CLUSTER_GAP) -> DataFrame:
+def merged_clusters(boxes: DataFrame, gap: float = fixed.CLUSTER_GAP, by: tuple[str, ...] = IMAGE) -> DataFrame:
     """Adds group: clusters whose top is within gap of the lowest point of all before are one."""
-    c = boxes.groupBy("image_id", "cluster").agg(F.min("y1").alias("top"), F.max("y2").alias("low"))
-    w = Window.partitionBy("image_id").orderBy("cluster")
-    c = c.withColumn("_before", F.max("low").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    c = c.withColumn("_new", F.when(F.col("top") - F.col("_before") > gap, 1).otherwise(0)).withColumn("group", F.sum("_new").over(w))
-    return boxes.join(c.select("image_id", "cluster", "group"), ["image_id", "cluster"])
+    own, w = Window.partitionBy(*by, "cluster").orderBy(*READING), Window.partitionBy(*by).orderBy("cluster", *READING)
+    c = boxes.withColumns({"_top": F.min("y1").over(own.rowsBetween(FIRST, LAST)), "_place": F.row_number().over(own), "_before": F.max("y2").over(w.rowsBetween(FIRST, -1))})
+    # A cluster's first box has all clusters before it, and no more, before it.
+    new = F.when((F.col("_place") == 1) & (F.col("_top") - F.col("_before") > gap), 1).otherwise(0)
+    return c.withColumn("_new", new).withColumn("group", F.sum("_new").over(w.rowsBetween(FIRST, 0))).drop("_top", "_place", "_before", "_new")
+
+
+def _sums(bad: Column, length: Column) -> dict[str, Column]:
+    return {"size": F.count(F.lit(1)), "_p": F.sum("pred_prob"), "_bad": F.count_if(bad), "_len": F.avg(length), "_top": F.min("y1")}
+
+
+def _score() -> Column:
+    far = F.coalesce(0.002 * F.greatest(F.lit(0.0), F.col("_top") - F.col("header_y2")), F.lit(0.0))
+    return F.col("_p") + 0.18 * F.col("size") - 0.8 * F.col("_bad") + F.least(F.col("_len") / 50, F.lit(0.6)) - far
 
 
 def group_scores(boxes: DataFrame, heads: DataFrame) -> DataFrame:
     """image_id, group, size, mean_prob, score."""
-    t = text.strip(F.col("text"))
-    g = boxes.groupBy("image_id", "group").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("pred_prob").alias("_p"), F.count_if(text.has_bad_hint(F.col("text"))).alias("_bad"), F.avg(F.length(t)).alias("_len"), F.min("y1").alias("_top")
-    ).join(heads, "image_id", "left")
-    far = F.coalesce(0.002 * F.greatest(F.lit(0.0), F.col("_top") - F.col("header_y2")), F.lit(0.0))
-    score = F.col("_p") + 0.18 * F.col("size") - 0.8 * F.col("_bad") + F.least(F.col("_len") / 50, F.lit(0.6)) - far
-    return g.select("image_id", "group", "size", (F.col("_p") / F.col("size")).alias("mean_prob"), score.alias("score"))
+    sums = _sums(text.has_bad_hint(F.col("text")), F.length(text.strip(F.col("text"))))
+    g = boxes.groupBy("image_id", "group").agg(*[c.alias(k) for k, c in sums.items()]).join(heads, "image_id", "left")
+    return g.select("image_id", "group", "size", (F.col("_p") / F.col("size")).alias("mean_prob"), _score().alias("score"))
 
 
 def best_groups(scores: DataFrame) -> DataFrame:
@@ -123,14 +159,22 @@ def best_groups(scores: DataFrame) -> DataFrame:
 
 
 def assigned_rows(boxes: DataFrame) -> DataFrame:
-    """Text lines of each image's boxes: image_id, lines of (row_id, boxes).
+    """Text lines of each image's boxes: image_id, placed: (row_id, x1, box_id, text) of the boxes, by line.
 
     A box opens a new line when it is farther from the line's first box than the limit, so this is one fold
     over the boxes in reading order, not a gap rule.
     """
     box = F.struct("y_center", "x1", "box_id", "text")
     rows = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("b"), F.percentile("height", 0.5).alias("median"))
-    limit = F.greatest(F.lit(fixed.LINE_GAP), fixed.LINE_SHARE * F.greatest(F.lit(1.0), F.col("median")))
+    return rows.withColumn("limit", _line_limit()).select("image_id", _placed().alias("placed"))
+
+
+def _line_limit() -> Column:
+    return F.greatest(F.lit(fixed.LINE_GAP), fixed.LINE_SHARE * F.greatest(F.lit(1.0), F.col("median")))
+
+
+def _placed() -> Column:
+    """The boxes `b` with the numbers of their lines, by `limit`."""
     item = "struct<row_id:int,x1:double,box_id:bigint,text:string>"
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast(f"array<{item}>").alias("out"))
 
@@ -140,33 +184,50 @@ def assigned_rows(boxes: DataFrame) -> DataFrame:
         put = F.struct(row.alias("row_id"), x["x1"].alias("x1"), x["box_id"].cast("bigint").alias("box_id"), x["text"].alias("text"))
         return F.struct(F.when(new, x["y_center"]).otherwise(a["anchor"]).alias("anchor"), row.alias("row"), F.array_append(a["out"], put).alias("out"))
 
-    return rows.withColumn("limit", limit).select("image_id", F.aggregate("b", start, step, lambda a: F.array_sort(a["out"])).alias("placed"))
+    return F.aggregate("b", start, step, lambda a: F.array_sort(a["out"]))
 
 
-def line_texts(boxes: DataFrame) -> DataFrame:
-    """image_id, raw_text: lines joined by line ends, boxes of a line by spaces; junk that continues nothing is out."""
-    rows = assigned_rows(boxes)
-    kept = F.filter("placed", lambda b: ~text.is_junk_fragment(b["text"]) | text.is_continuation(b["text"]))
-    numbers = F.array_distinct(F.transform("kept", lambda b: b["row_id"]))
-
-    def line(n: Column) -> Column:
-        own = F.transform(F.filter("kept", lambda b: b["row_id"] == n), lambda b: text.strip(b["text"]))
-        return text.squeeze(F.array_join(F.filter(own, lambda t: t != ""), " "))
-
-    return rows.withColumn("kept", kept).select("image_id", F.array_join(F.filter(F.transform(numbers, line), lambda t: t != ""), "\n").alias("raw_text"))
+def _lines(kept: str) -> Column:
+    """Lines joined by line ends, boxes of a line by spaces. kept: a column of boxes as placed, none blank."""
+    before = lambda b, i: F.when(i == 0, "").when(F.get(kept, i - 1)["row_id"] == b["row_id"], " ").otherwise("\n")
+    return F.array_join(F.transform(kept, lambda b, i: F.concat(before(b, i), b["text"])), "")
 
 
 def regions(boxes: DataFrame) -> DataFrame:
     """The whole way, one row per image: header_text, header_y, size, mean_prob, raw_text, final_text.
 
-    Images without a kept box have null sizes and empty texts.
+    raw_text: lines joined by line ends, boxes of a line by spaces; junk that continues nothing is out. Images without a
+    kept box have null sizes and empty texts.
+
+    Texts are tested once, before the only exchange. Boxes that are out stay as marked rows, so that no image is lost; the
+    windows of each step part the boxes that are in from those that are out.
     """
-    boxes = prepared(boxes).repartition("image_id")
-    heads = headers(boxes)
-    kept = merged_clusters(row_clusters(without_isolated(below_header(positive(boxes), heads).drop("header_text", "header_y", "header_y2"))))
-    best = best_groups(group_scores(kept, heads))
-    texts = line_texts(kept.join(best.select("image_id", "group"), ["image_id", "group"]))
-    images = boxes.select("image_id").distinct()
-    out = images.join(heads, "image_id", "left").join(best, "image_id", "left").join(texts, "image_id", "left")
-    raw = F.coalesce("raw_text", F.lit(""))
-    return out.select("image_id", "header_text", "header_y", "size", "mean_prob", raw.alias("raw_text"), text.tidy_text(raw).alias("final_text"))
+    p, t, in_ = F.col("pred_prob"), F.col("_t"), F.col("_in")
+    rows = prepared(boxes).withColumn("_t", text.strip(F.col("text"))).withColumn("_low", F.lower("_t"))
+    rows = rows.withColumn("_header", text.is_header(F.col("_low"))).withColumn("_in", (p >= fixed.THRESHOLD) & ~F.col("_header"))
+    rows = rows.withColumn("_bad", F.coalesce(hinted(F.when(in_, F.col("_low"))), F.lit(False)))
+    rows = rows.withColumns({"_junk": in_ & text.stripped_junk(t), "_continues": in_ & text.stripped_continuation(t)})
+    rows = rows.withColumn("_in", in_ & ~(F.col("_junk") & (p < fixed.STRONG)) & ~(F.col("_bad") & (p < fixed.HINTED)))
+    header = F.when(F.col("_header"), F.struct("y_center", "x1", "box_id", "text", "y2"))
+    words = F.when(in_ & (~F.col("_junk") | F.col("_continues")), text.squeeze(t))
+    needed = [F.when(in_, F.col(c)).alias(c) for c in (*READING, "x_center", "y1", "y2", "height", "pred_prob")]
+    rows = rows.select("image_id", header.alias("_head"), "_in", "_bad", "_continues", F.when(in_, F.length(t)).alias("_n"), words.alias("text"), *needed).repartition("image_id")
+
+    by, order = ("image_id", "_in"), Window.partitionBy("image_id", "_in").orderBy("cluster", *READING)
+    rows = rows.withColumn("_head", F.min("_head").over(Window.partitionBy("image_id").orderBy("_in", "y_center").rowsBetween(FIRST, LAST)))
+    rows = rows.withColumn("_in", in_ & (F.col("_head").isNull() | (F.col("y_center") >= F.col("_head.y_center") - fixed.HEADER_SLACK)))
+    rows = rows.withColumn("_in", in_ & joined_by_others(F.col("_continues"), by))
+    rows = merged_clusters(row_clusters(rows, by=by), by=by)
+    group = Window.partitionBy(*by, "group").orderBy("cluster", *READING).rowsBetween(FIRST, LAST)
+    rows = rows.withColumns({k: c.over(group) for k, c in _sums(F.col("_bad"), F.col("_n")).items()} | {"header_y2": F.col("_head.y2")})
+    best = F.max(F.struct(F.round(_score(), 9).alias("score"), (-F.col("group")).alias("first"))).over(order.rowsBetween(FIRST, LAST))
+    rows = rows.withColumn("_in", in_ & (best["first"] == -F.col("group")))
+
+    one = lambda c: F.max(F.when(in_, c))
+    box = F.when(in_, F.struct(*READING, "text"))
+    made = rows.groupBy("image_id").agg(
+        F.max("_head").alias("_head"), one(F.col("size")).alias("size"), one(F.col("_p") / F.col("size")).alias("mean_prob"), F.array_sort(F.collect_list(box)).alias("b"), F.percentile(F.when(in_, F.col("height")), 0.5).alias("median")
+    )
+    made = made.withColumn("limit", _line_limit()).withColumn("_kept", F.filter(_placed(), lambda b: b["text"] != "")).withColumn("raw_text", _lines("_kept"))
+    made = made.drop("_kept", "b", "median", "limit").withColumn("_hinted", hinted(F.lower("raw_text")))
+    return made.select("image_id", F.col("_head.text").alias("header_text"), F.col("_head.y_center").alias("header_y"), "size", "mean_prob", "raw_text", text.tidy_text(F.col("raw_text"), F.col("_hinted")).alias("final_text"))

@@ -3,11 +3,13 @@
 import datetime as dt
 import difflib
 import random
+import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from labelforge.functions import fixed
+from labelforge.functions import fixed, text
 from labelforge.operators import accounts, analysis, boxes, corrector, learning, metrics
 from labelforge.sources import readers
 
@@ -224,3 +226,47 @@ def test_files(spark, tmp_path, name):
     else:
         p.write_text('[{"image": "a", "true_ingredients": ["x", " "]}, {"image": "b", "true_ingredients": null}]')
         assert {r.image: r.true_ingredients for r in readers.truth_json(spark, str(p)).collect()} == {"a": ["x"], "b": []}
+
+
+def test_regions_in_one_pass_equal_the_steps(spark):
+    rng, rows = random.Random(9), []
+    texts = ["Ingredients:", "sugar, salt", " palm  oil ", "best", "before", "12", "%", "and more", "www.x.com", "", "per 100g", "Text\u0085", "energy", "MILK powder"]
+    for i in range(60):
+        y = 0.0
+        for b in range(rng.randint(1, 14)):
+            y += rng.choice([0, 5, 30, 60, 91, 130, 250])
+            x = float(rng.choice([0, 10, 950, 2000]))
+            rows.append((i, b, rng.choice(texts), 1.0, x, y, x + 40, y + rng.choice([10, 20, 90]), rng.randint(30, 100) / 100))
+    # A hint that stands in no box alone.
+    rows += [(60, b, t, 1.0, 10.0 * b, 20.0, 10.0 * b + 9, 40.0, 0.9) for b, t in enumerate(["sugar", "best", "before"])]
+    df = spark.createDataFrame(rows, "image_id long, box_id long, text string, confidence double, x1 double, y1 double, x2 double, y2 double, pred_prob double")
+    made = boxes.regions(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+    ready = boxes.prepared(df)
+    heads = boxes.headers(ready)
+    below = boxes.below_header(boxes.positive(ready), heads).drop("header_text", "header_y", "header_y2")
+    near = below.join(boxes.neighbours(below), ["image_id", "box_id"], "left").withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+    kept = near.filter((F.col("many") <= 1) | (F.col("pred_prob") >= fixed.LONELY_KEEP) | (F.coalesce("near", F.lit(0)) >= 1) | text.is_continuation(F.col("text")))
+    kept = boxes.merged_clusters(boxes.row_clusters(kept))
+    best = {r.image_id: r for r in boxes.best_groups(boxes.group_scores(kept, heads)).collect()}
+    told = kept.withColumn("out", text.is_junk_fragment(F.col("text")) & ~text.is_continuation(F.col("text"))).withColumn("words", text.squeeze(F.col("text"))).collect()
+    raw = {}
+    for i in range(61):
+        own = sorted((r for r in told if r.image_id == i and r.group == best[i].group), key=lambda r: (r.y_center, r.x1, r.box_id)) if i in best else []
+        limit = max(fixed.LINE_GAP, fixed.LINE_SHARE * max(1.0, statistics.median(r.height for r in own))) if own else 0
+        lines = []
+        for r in own:
+            if not lines or abs(r.y_center - lines[-1][0].y_center) > limit:
+                lines.append([])
+            lines[-1].append(r)
+        joined = [" ".join(r.words for r in sorted(x, key=lambda r: (r.x1, r.box_id)) if r.words and not r.out) for x in lines]
+        raw[i] = "\n".join(x for x in joined if x)
+    tidy = {r.i: r.t for r in spark.createDataFrame(list(raw.items()), "i long, raw string").select("i", text.tidy_text(F.col("raw")).alias("t")).collect()}
+    first = {r.image_id: r for r in heads.collect()}
+    got = {r.image_id: r for r in made.collect()}
+    assert len(got) == 61 and len(best) > 40 and raw[60] == "sugar best before" and tidy[60] == "sugar"
+    for i, r in got.items():
+        assert (r.header_text, r.header_y) == ((first[i].header_text, first[i].header_y) if i in first else (None, None))
+        assert (r.size, r.mean_prob and round(r.mean_prob, 9)) == ((best[i].size, round(best[i].mean_prob, 9)) if i in best else (None, None))
+        assert (r.raw_text, r.final_text) == (raw[i], tidy[i])
