@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..session import saved
 from .metrics import indel_ratio
 
 DISTANCE, PREFIX, RATIO, ERRORS = 2, 7, 90.0, 0.12
@@ -229,9 +230,14 @@ def corrected_lists(lists: DataFrame, vocabulary: DataFrame | None, aliases: Dat
     return lists.select(key).join(made.withColumn("items", tidy), key, "left").withColumn("items", F.coalesce("items", none))
 
 
-def corrected_text(rows: DataFrame, column: str, vocabulary: DataFrame | None, aliases: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows with the text split into items, corrected and joined again; texts that leave no item stay as they are."""
-    items = rows.select(key, text.split_ingredients(F.coalesce(column, F.lit(""))).alias("items"))
-    made = corrected_lists(items, vocabulary, aliases, key).select(F.col(key).alias("_key"), F.array_join("items", ", ").alias("_text"))
-    out = rows.join(made, rows[key] == F.col("_key"), "left")
-    return out.withColumn(column, F.coalesce(F.nullif("_text", F.lit("")), F.col(column))).drop("_key", "_text")
+def corrected_text(rows: DataFrame, column: str, vocabulary: DataFrame | None, aliases: DataFrame) -> DataFrame:
+    """Rows with the text split into items, corrected and joined again; texts that leave no item stay as they are.
+
+    Each distinct text is split, corrected and joined once. Its items are written, as all steps read them, and so is the
+    result, whose size tells how the rows meet it.
+    """
+    texts = rows.select(F.col(column).alias("_was")).filter(F.col("_was").isNotNull()).distinct()
+    items = saved(texts.select("_was", text.split_ingredients(F.col("_was")).alias("items")), "items")
+    made = saved(corrected_lists(items, vocabulary, aliases, "_was").select("_was", F.array_join("items", ", ").alias("_text")), "texts")
+    out = rows.join(made, rows[column] == F.col("_was"), "left")
+    return out.withColumn(column, F.coalesce(F.nullif("_text", F.lit("")), F.col(column))).drop("_was", "_text")

@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from labelforge.functions import fixed
+from labelforge.functions import fixed, text
 from labelforge.operators import analysis, corrector, labelling, learning, likeness, products, prompts, services
 from labelforge.session import shared_path
 from labelforge.sources import readers, sinks
@@ -140,6 +140,37 @@ def test_corrected_text(spark):
     assert got == {1: "sugar, water, salt", 2: "", 3: None}
 
 
+def test_corrected_text_takes_each_text_once(spark):
+    texts = ["suger, watr and salt", "watr (suger, salt) or honye", "", None, "42"]
+    df = spark.createDataFrame([(k // 2, texts[k % 5]) for k in range(40)], "doc_id int, raw string")
+    out = corrector.corrected_text(df, "raw", readers.vocabulary(spark), readers.aliases(spark))
+    # Rows meet the corrected texts in one join; no row's own text is split.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan and "aggregate(" not in plan
+    want = {"suger, watr and salt": "sugar, water, salt", "watr (suger, salt) or honye": "water (suger, salt), honey", "": "", None: None, "42": "42"}
+    assert sorted((r.doc_id, str(r.raw)) for r in out.collect()) == sorted((k // 2, str(want[texts[k % 5]])) for k in range(40))
+
+
+def test_splitting_by_runs_equals_splitting_by_characters(spark):
+    rng, seps = random.Random(5), set(",;&·•\n")
+    texts = ["".join(rng.choices(["a", "b c", " and ", " AND", " or ", " . ", ".", ",", ";", "(", ")", " ", "é", "\n", "\U0001f600"], k=rng.randint(0, 14))) for _ in range(300)]
+
+    def plain(t):
+        out, now, depth, k, t = [], "", 0, 0, t.strip(" \n")
+        while k < len(t):
+            word = next((w for w in (" and ", " or ", " . ") if t[k : k + len(w)].lower() == w), t[k])
+            if depth == 0 and (word in seps or len(word) > 1):
+                out, now = out + [now], ""
+            else:
+                depth = max(0, depth + (word == "(") - (word == ")"))
+                now += t[k : k + len(word)]
+            k += len(word)
+        return [x.strip(" \n") for x in [*out, now] if x.strip(" \n")]
+
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.split_ingredients(F.col("t")).alias("x")).collect()
+    assert {r.k: r.x for r in got} == {k: plain(t) for k, t in enumerate(texts)}
+
+
 def test_report_by_class(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "label int, pred_label int")
     got = {r["class"]: (r.support, r.precision, r.recall) for r in learning.report(df).collect()}
