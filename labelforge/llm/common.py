@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import arrow_rows, saved  # noqa: F401
 
 #: White space of the word contracts (U+0020, U+0009 to U+000D); everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,18 +31,6 @@ def free_prefix(df: DataFrame) -> str:
     return prefix
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside; then the session's own number holds again."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Adds the long column `name`: each row's place, from 0, in its group by order (nulls first).
 

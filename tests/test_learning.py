@@ -122,3 +122,42 @@ def test_image_splits(spark):
 def test_white_space_runs_are_one_space(spark):
     got = [r.chars for r in learning.inputs(spark.createDataFrame([(1, 0, "a  \n b", 1.0, 0.0, 0.0, 1.0, 1.0, 1)], BOXES)).collect()]
     assert len(got) == 1 and not re.search(r"\s\s", got[0]) and "a b" in got[0]
+
+
+def test_pieces_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(ngrams, "TEXTS", 3)
+    monkeypatch.setattr(ngrams, "CHARS", 10)
+    texts = ["a" * n for n in (4, 4, 4, 0, 0, 0, 25, 1, 9, 1)]
+    got = list(ngrams.pieces(texts))
+    assert got == [(0, 2), (2, 5), (5, 6), (6, 7), (7, 9), (9, 10)] and list(ngrams.pieces([])) == []
+
+
+def test_batches_stay_small(spark, monkeypatch):
+    asked, whole = [], learning.arrow_rows
+    monkeypatch.setattr(learning, "arrow_rows", lambda session, most: asked.append(most) or whole(session, most))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    learning.fit(learning.inputs(boxes(spark, 5)))
+    assert asked == [ngrams.TEXTS, ngrams.TEXTS, learning.BLOCKS] and spark.conf.get(key) == before
+
+
+def test_steps_that_are_kept_fit_the_driver(monkeypatch):
+    class Small:
+        size, dense, scale = 40, 0, np.ones(41)
+        curve = np.linspace(1, 50, 41)
+
+        def value(self, c):
+            return float(self.curve @ (c - 1) ** 2 / 2 + ((c - 1) ** 4).sum()), self.curve * (c - 1) + 4 * (c - 1) ** 3
+
+        def curvature(self, c):
+            return lambda v: (self.curve + 12 * (c - 1) ** 2) * v
+
+        def precondition(self, g):
+            return g.copy()
+
+    most, whole = [], logistic.Recycled
+    monkeypatch.setattr(logistic, "Recycled", lambda base, pairs: most.append(len(pairs)) or whole(base, pairs))
+    monkeypatch.setattr(logistic, "PAIR_BYTES", 41 * 8 * 4 * 5)
+    c, norm = logistic.minimise(Small(), 1e-8)
+    # Five steps of two vectors, beside the five that precondition meanwhile.
+    assert np.abs(c - 1).max() < 1e-6 and norm <= 1e-8 and max(most) == 5
